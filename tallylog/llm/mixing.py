@@ -3,7 +3,8 @@
 Within a source every document expects the same number of copies: the source's target over its size. Documents stand in
 order of size, the expected copies are prefix-summed over that order, one offset in [0, 1) a source is added, and a
 document is emitted once for each integer its interval crosses. As neighbours have nearly equal sizes, the words taken
-stay within about one document of the target.
+stay within about one document of the target. Small sources with a few very long documents still stray, so the offset is
+the best of 32 that start at a random one: one narrow pass sums the words that each would take.
 
 The prefix sum is distributed: documents fall into cells (source, size band, part of the id's hash), whose counts are
 summed first; a rank within the cell does the rest. A source that holds a third of all rows is thus dealt over hundreds of cells.
@@ -18,6 +19,7 @@ from .common import cell_offsets, fresh, md5_long, n_words, salts_for, stage_tab
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
+OFFSETS = 32
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -73,15 +75,20 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     cells = stage_table(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_words")), "cells")
     targets = source_targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("_source_size")), weights, most_copies)
     offset = md5_long(F.col("_null"), F.col("_source"), salt=seed) / F.lit(float(1 << 32))
-    cells = cell_offsets(cells, keys[:2], keys[2:]).join(targets, keys[:2]).withColumn("_shift", offset).drop("_n", "_words")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(size, "_order", id_col))
-    ranked = sized.withColumn("_rank", rank).join(cells, keys)
+    cells = stage_table(cell_offsets(cells, keys[:2], keys[2:]).join(targets, keys[:2]).withColumn("_start", offset).drop("_n", "_words"), "offsets")
+    order = Window.partitionBy(*keys).orderBy(size, "_order", id_col)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    upto = lambda k: F.floor(rate * k + F.col("_shift"))
     place = F.col("_offset") + F.col("_rank")
+    upto = lambda k, shift: F.floor(rate * k + shift)
     # The least() only guards against rounding of a product.
-    crossed = F.least(F.lit(most_copies), upto(place) - upto(place - 1)).cast("int")
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], size, F.col("_source_size").alias(source_size), F.col("_target").alias(target), crossed.alias(copies))
+    crossed = lambda shift: F.least(F.lit(most_copies), upto(place, shift) - upto(place - 1, shift)).cast("int")
+    shifts = [F.col("_start") + F.lit(c / OFFSETS) - F.floor(F.col("_start") + F.lit(c / OFFSETS)) for c in range(OFFSETS)]
+    narrow = sized.select(*keys, size, "_order", F.col(f"`{id_col}`").alias(id_col)).withColumn("_rank", F.row_number().over(order)).join(cells, keys)
+    taken = narrow.groupBy(*keys[:2]).agg(*[F.sum(F.col(size) * crossed(s)).alias(f"_t{c}") for c, s in enumerate(shifts)], F.first("_target").alias("_target"), F.first("_start").alias("_start"))
+    errors = F.array(*[F.struct(F.abs(F.col(f"_t{c}") - F.col("_target")).alias("e"), F.lit(c).alias("c"), s.alias("s")) for c, s in enumerate(shifts)])
+    best = stage_table(taken.select(*keys[:2], F.array_min(errors)["s"].alias("_shift")), "shifts")
+    ranked = sized.withColumn("_rank", F.row_number().over(order)).join(cells.join(best, keys[:2]), keys)
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], size, F.col("_source_size").alias(source_size), F.col("_target").alias(target), crossed(F.col("_shift")).alias(copies))
 
 
 def emit_copies(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
@@ -112,16 +119,22 @@ sources AS (
   FROM sized GROUP BY nul, src),
 ordered AS (
   SELECT *, sum(source_size) OVER () AS total,
+    row_number() OVER (ORDER BY source_size / w, nul, src) AS n,
     coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
     sum(w) OVER (ORDER BY source_size / w, nul, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
   FROM sources),
-share AS (SELECT min((total - capped)::DOUBLE / open_w) FILTER (WHERE 3 * source_size > (total - capped)::DOUBLE / open_w * w) AS per_weight FROM ordered),
+share AS (SELECT min_by((total - capped)::DOUBLE / open_w, n) FILTER (WHERE 3 * source_size > (total - capped)::DOUBLE / open_w * w) AS per_weight FROM ordered),
 targets AS (
-  SELECT nul, src, source_size, least((3 * source_size)::DOUBLE, coalesce(per_weight, 0) * w) AS target, {_md5_sql('mix', "CASE WHEN nul THEN 'true' ELSE 'false' END", 'src')} / 4294967296.0::DOUBLE AS shift
+  SELECT nul, src, source_size, least((3 * source_size)::DOUBLE, coalesce(per_weight, 0) * w) AS target, {_md5_sql('mix', "CASE WHEN nul THEN 'true' ELSE 'false' END", 'src')} / 4294967296.0::DOUBLE AS start
   FROM sources, share),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY nul, src ORDER BY band, part, size, ord, doc_id) AS k FROM cells)
-SELECT doc_id, size, source_size, target,
-  size * (CASE WHEN source_size = 0 THEN 0 ELSE
-    least(3, floor(target / source_size * k + shift) - floor(target / source_size * (k - 1) + shift)) END)::BIGINT AS taken
-FROM ranked JOIN targets USING (nul, src)
+offsets AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS rate, start + c / 32.0::DOUBLE - floor(start + c / 32.0::DOUBLE) AS shift
+  FROM targets, (SELECT unnest(range(32)) AS c)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY nul, src ORDER BY band, part, size, ord, doc_id) AS k FROM cells),
+tried AS (
+  SELECT nul, src, c, shift, rate, target, source_size, abs(sum(size * least(3, floor(rate * k + shift) - floor(rate * (k - 1) + shift))::BIGINT) - target) AS off
+  FROM ranked JOIN offsets USING (nul, src) GROUP BY nul, src, c, shift, rate, target, source_size),
+chosen AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY nul, src ORDER BY off, c) = 1)
+SELECT doc_id, size, source_size, target, size * least(3, floor(rate * k + shift) - floor(rate * (k - 1) + shift))::BIGINT AS taken
+FROM ranked JOIN chosen USING (nul, src)
 """
