@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, sharding
+from . import langid, mixing, packing, pii, sharding
 
-QUERIES = {f.__name__: f for f in (langid.op2_byte_cnn, sharding.op3_histogram_sort, mixing.op4_systematic_mix, packing.op6_best_fit)}
+QUERIES = {f.__name__: f for f in (langid.op2_byte_cnn, sharding.op3_histogram_sort, mixing.op4_systematic_mix, packing.op6_best_fit, pii.op9_feistel_pseudonyms)}
 ORACLES = {"op4_systematic_mix": mixing.OP4_SQL}
