@@ -1,2 +1,68 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""From raw documents to packed training sequences: language, near-duplicates, personal data, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again before the next.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallylog.llm import langid, mixing, neardup, packing, pii
+from tallylog.llm.common import fresh, stage_table
+
+#: The languages a document may be in, and the least probability of its language. Ordinary prose scores far above.
+LANGUAGES = ("de", "en", "es", "fr")
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or in no known language; a document's ``lang`` becomes the one found. The model learns from ``docs``' own labels."""
+    model = langid.fit(docs)
+    lang, score = fresh(docs, "lang_pred", "score")
+    known = langid.predict(docs, model, lang=lang, score=score).where((F.col(score) >= LEAST_SCORE) & F.col(lang).isin(*LANGUAGES))
+    return known.select(*[F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return neardup.keep_one(docs)
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data under pseudonyms; ``n_chars`` follows the text."""
+    done = pii.pseudonymise(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    sizes = fresh(docs, "copies")[0]
+    return mixing.emit_copies(mixing.systematic_mix(docs), docs.columns, sizes)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens. Copies of a document are told apart by nothing but their place."""
+    return packing.best_fit_pack(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("private_data", replace_private),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The first stage is a trained network, which SQL can't express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage_table(docs, name)
+    return docs

@@ -73,3 +73,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def positional(df: DataFrame, *names: str) -> tuple:
+    """``df`` with its columns named c0, c1 ..., and the new names of those given: no name of an operator's own can clash then."""
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), *[at[n] for n in names]
+
+
+def restored(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns that ``positional`` renamed, under their old names."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]

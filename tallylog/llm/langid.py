@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import positional, restored
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -152,7 +154,7 @@ def predict(df: DataFrame, model: ByteCNN, text_col: str = "text", lang: str = "
     """``df`` with two more columns: the language found and its probability.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where the model knows no language. One language known: always that one.
-    Clashing columns of ``df`` are replaced, so give other names to keep them.
+    ``df``'s own columns stay, also such as have other columns' internal names; give ``lang`` and ``score`` names that are free.
     """
 
     @F.pandas_udf("lang string, score double")
@@ -189,8 +191,10 @@ def predict(df: DataFrame, model: ByteCNN, text_col: str = "text", lang: str = "
                 langs[i], scores[i] = model.langs[k], min(1.0, sums[i, k] / total[i])
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    out = df.withColumn("_langid", scored(F.col(f"`{text_col}`")))
-    return out.withColumns({lang: F.col("_langid.lang"), score: F.col("_langid.score")}).drop("_langid")
+    own = df.columns
+    df, text_col = positional(df, text_col)
+    out = df.withColumn("_langid", scored(F.col(text_col)))
+    return out.select(*restored(out, own), F.col("_langid.lang").alias(lang), F.col("_langid.score").alias(score))
 
 
 def op2_byte_cnn(spark, sf_dir: str) -> DataFrame:

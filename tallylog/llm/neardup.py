@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stage_table
+from .common import fresh, positional, restored, stage_table
 from .components import connected_components
 from .shingles import mix, shingle_sets, sub_batches
 
@@ -270,14 +270,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Rows without words are copies of each other only where their ids are equal. Null ids: such rows are all kept.
     """
+    own = df.columns
+    df, id_col, text_col = positional(df, id_col, text_col)
     found = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    id_, class_ = found.columns[:2]
-    (name,) = fresh(df, "_keep")
-    kept = found.where(F.col(id_) == F.col(class_)).select(F.col(id_).alias(name)).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    (rank,) = fresh(df, "_rank")
-    whole = df.join(kept, F.col(id_col) == F.col(name)).drop(name).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
-    return whole.unionByName(df.where(F.col(id_col).isNull()))
+    kept = found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_keep")).distinct()
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    whole = df.join(kept, F.col(id_col) == F.col("_keep")).withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    whole = whole.select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    return whole.select(*restored(whole, own))
 
 
 def op10_minhash_join(spark, sf_dir: str) -> DataFrame:

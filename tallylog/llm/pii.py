@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, positional
 
 ROUNDS = 10
 #: For tests and demonstrations. Give a secret of your own in production.
@@ -168,17 +168,17 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = DEMO_KEY, fou
 
     Null texts stay null with 0 found, and empty ones empty. All columns and rows stay, repeated ones too, whatever their names.
     """
-    name, count = fresh(df, "_pii", "_count")
-    text = F.col(f"`{text_col}`")
-    has = text.rlike(PATTERN)
+    own = df.columns
+    (count_out,) = fresh(df, found or "found")
+    df, text_col = positional(df, text_col)
+    text, name, count = F.col(text_col), "_pii", "_new"
     parts = F.struct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"), F.split(text, PATTERN, -1).alias("between"))
-    out = df.withColumn(name, F.when(has, parts))
-    new = F.expr(f"transform(`{name}`.found, m -> {pseudonym('m', key)})")
-    out = out.withColumn(count, new)
-    joined = F.expr(f"array_join(transform(`{name}`.between, (x, i) -> concat(x, coalesce(get(`{count}`, i), ''))), '')")
-    changed = F.expr(f"coalesce(size(filter(transform(`{count}`, (x, i) -> x != get(`{name}`.found, i)), x -> x)), 0)")
-    columns = [F.when(F.col(count).isNull(), text).otherwise(joined).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, *([changed.alias(found)] if found else []))
+    out = df.withColumn(name, F.when(text.rlike(PATTERN), parts)).withColumn(count, F.expr(f"transform({name}.found, m -> {pseudonym('m', key)})"))
+    joined = F.expr(f"array_join(transform({name}.between, (x, i) -> concat(x, coalesce(get({count}, i), ''))), '')")
+    changed = F.expr(f"coalesce(size(filter(transform({count}, (x, i) -> x != get({name}.found, i)), x -> x)), 0)")
+    out = out.withColumn("_text", F.when(F.col(count).isNull(), text).otherwise(joined))
+    columns = [F.col("_text" if f"c{i}" == text_col else f"c{i}").alias(c) for i, c in enumerate(own)]
+    return out.select(*columns, *([changed.alias(count_out)] if found else []))
 
 
 def op9_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stage_table, text_size
+from .common import fresh, positional, restored, stage_table, text_size
 
 #: Key bits, and those of them that tell documents of one text apart.
 KEY_BITS, ID_BITS = 63, 20
@@ -115,8 +115,9 @@ def histogram_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     value as any other. Equal rows may swap slots, which leaves the result as it is. An empty input gives no rows.
     ``df``'s own columns stay; where their names clash with the new ones, these get leading underscores.
     """
-    size, crc, shard, slot = fresh(df, "size", "text_crc32", "shard", "slot")
-    key, cell, first, lows, top = fresh(df, "_key", "_cell", "_first", "_lows", "_top")
+    own, names = df.columns, fresh(df, "size", "text_crc32", "shard", "slot")
+    df, id_col, text_col = positional(df, id_col, text_col)
+    size, crc, shard, slot, key, cell, first, lows, top = "_size", "_crc", "_shard", "_slot", "_key", "_cell", "_first", "_lows", "_top"
     text = F.col(text_col)
     keyed = df.withColumns({key: _key(text, F.col(id_col)), size: text_size(text), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
     narrow = stage_table(keyed.select(F.col(key).alias("_key"), F.col(size).alias("_size")), "keys")
@@ -142,7 +143,8 @@ def histogram_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = keyed.withColumn(top, F.shiftright(F.col(key), KEY_BITS - bits)).join(F.broadcast(table), top).withColumn(cell, at)
     placed = placed.withColumns({shard: F.col(f"{cell}.shard"), first: F.col(f"{cell}.first"), cell: F.col(f"{cell}.cell")}).drop(lows, top)
     order = Window.partitionBy(cell).orderBy(key, id_col, crc)
-    return placed.withColumn(slot, (F.col(first) + F.row_number().over(order) - 1).cast("long")).drop(key, first, cell)
+    placed = placed.withColumn(slot, (F.col(first) + F.row_number().over(order) - 1).cast("long"))
+    return placed.select(*restored(placed, own), *[F.col(c).alias(n) for c, n in zip((size, crc, shard, slot), names, strict=True)])
 
 
 def op3_histogram_sort(spark, sf_dir: str) -> DataFrame:
