@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell_offsets, fresh, md5_long, n_words, salts_for, stage_table
+from .common import cell_offsets, fresh, md5_long, n_words, positional, restored, salts_for, stage_table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -62,17 +62,20 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     copies. Rows repeated in full get copies as any others, the same multiset on each run. Empty input: no rows. New columns
     whose names clash with ``df``'s own get leading underscores.
     """
-    spark = df.sparkSession
-    size, source_size, target, copies = fresh(df, "size", "source_size", "target", "copies")
+    size, (source_size, target, copies), own = "_size", fresh(df, "size", "source_size", "target", "copies")[1:], df.columns
+    size_out = fresh(df, "size")[0]
+    df, id_col, source_col, text_col = positional(df, id_col, source_col, text_col)
     keys = ["_null", "_source", "_band", "_part"]
     salts = salts_for(df.count())
     sized = df.withColumn(size, n_words(F.col(text_col)))
     sized = sized.withColumns({
         "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "_band": F.expr(f"cast(length(bin(`{size}`)) * 8 + shiftright(`{size}` * 8, length(bin(`{size}`)) - 1) % 8 as int)"),
+        "_band": F.expr(f"coalesce(cast(length(bin(`{size}`)) * 8 + shiftright(`{size}` * 8, length(bin(`{size}`)) - 1) % 8 as int), 0)"),
         "_order": md5_long(F.col(id_col), salt=seed),
-    }).withColumn("_part", (F.col("_order") % salts).cast("int"))
-    cells = stage_table(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_words")), "cells")
+    }).withColumn("_part", F.coalesce((F.col("_order") % salts).cast("int"), F.lit(0)))
+    # Words are counted once for all that needs sizes alone. The keys are never null, so that joins needn't test (and so compute) them.
+    counted = stage_table(sized.select(*keys, size, "_order", id_col), "sizes")
+    cells = stage_table(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_words")), "cells")
     targets = source_targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("_source_size")), weights, most_copies)
     offset = md5_long(F.col("_null"), F.col("_source"), salt=seed) / F.lit(float(1 << 32))
     cells = stage_table(cell_offsets(cells, keys[:2], keys[2:]).join(targets, keys[:2]).withColumn("_start", offset).drop("_n", "_words"), "offsets")
@@ -83,12 +86,12 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     # The least() only guards against rounding of a product.
     crossed = lambda shift: F.least(F.lit(most_copies), upto(place, shift) - upto(place - 1, shift)).cast("int")
     shifts = [F.col("_start") + F.lit(c / OFFSETS) - F.floor(F.col("_start") + F.lit(c / OFFSETS)) for c in range(OFFSETS)]
-    narrow = sized.select(*keys, size, "_order", F.col(f"`{id_col}`").alias(id_col)).withColumn("_rank", F.row_number().over(order)).join(cells, keys)
+    narrow = counted.withColumn("_rank", F.row_number().over(order)).join(cells, keys)
     taken = narrow.groupBy(*keys[:2]).agg(*[F.sum(F.col(size) * crossed(s)).alias(f"_t{c}") for c, s in enumerate(shifts)], F.first("_target").alias("_target"), F.first("_start").alias("_start"))
     errors = F.array(*[F.struct(F.abs(F.col(f"_t{c}") - F.col("_target")).alias("e"), F.lit(c).alias("c"), s.alias("s")) for c, s in enumerate(shifts)])
     best = stage_table(taken.select(*keys[:2], F.array_min(errors)["s"].alias("_shift")), "shifts")
     ranked = sized.withColumn("_rank", F.row_number().over(order)).join(cells.join(best, keys[:2]), keys)
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], size, F.col("_source_size").alias(source_size), F.col("_target").alias(target), crossed(F.col("_shift")).alias(copies))
+    return ranked.select(*restored(df, own), F.col(size).alias(size_out), F.col("_source_size").alias(source_size), F.col("_target").alias(target), crossed(F.col("_shift")).alias(copies))
 
 
 def emit_copies(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
