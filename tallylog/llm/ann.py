@@ -26,7 +26,7 @@ SAMPLE, SAMPLE_VALUES, QUERY_BLOCK, CENTROIDS, THRESHOLD = 16_384, 4_000_000, 40
 class AnisotropicCodec:
     def __init__(self, dim: int, threshold: float = THRESHOLD) -> None:
         self.dim, self.parts = dim, -(-dim // 2)
-        self.eta = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
+        self.eta = max(2.0, (dim - 1) * threshold**2 / (1 - threshold**2))
         self.centroids = np.zeros((self.parts, CENTROIDS, 2))
 
     def split(self, x: np.ndarray) -> np.ndarray:
