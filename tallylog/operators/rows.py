@@ -16,7 +16,7 @@ ORDER = ("order_us", "source_index", "line_number")
 
 def matching(records: DataFrame, query: str = "", aliases: Aliases | None = None, now_us: int | None = None, search_raw: bool = False) -> DataFrame:
     """Records for which the query holds, with all their columns."""
-    return records.where(compile_query(query, aliases, promoted=promoted_fields(records), now_us=now_us, search_raw=search_raw))
+    return records.where(compile_query(query, aliases, promoted=promoted_fields(records), now_us=now_us, search_raw=search_raw, for_filter=True))
 
 
 def count(records: DataFrame) -> DataFrame:

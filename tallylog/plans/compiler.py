@@ -42,32 +42,36 @@ def _two_valued(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def compile_node(node: q.Node, promoted: Iterable[str] = (), now_us: int | None = None, search_raw: bool = False) -> Column:
-    """The condition of a tree over records. ``now_us`` is what ``last:`` counts from, once per query; ``search_raw`` lets words also be found in the raw text."""
+def compile_node(node: q.Node, promoted: Iterable[str] = (), now_us: int | None = None, search_raw: bool = False, for_filter: bool = False) -> Column:
+    """The condition of a tree over records. ``now_us`` is what ``last:`` counts from, once per query; ``search_raw`` lets words also be found in the raw text.
+
+    ``for_filter``: the condition may be null where it doesn't hold, which a filter takes for false; without the wrapping that makes it false, leaves that aren't below a NOT can be pushed into scans.
+    """
     columns = set(promoted)
     now = now_micros() if now_us is None else now_us
 
     def field(name: str) -> Column:
         return F.col(f"`{PROMOTED}{name}`") if name in columns else F.col("fields")[name]
 
-    def walk(n: q.Node) -> Column:
+    def walk(n: q.Node, bare: bool) -> Column:
+        held = (lambda c: c) if bare else _two_valued
         match n:
             case q.MatchAll():
                 return F.lit(True)
             case q.FieldMatch(name, value):
-                same = _two_valued(field(name) == F.lit(value))
-                return same | _two_valued((F.col("level") == F.lit(value)) & (F.col("level") != "")) if name == "level" else same
+                same = held(field(name) == F.lit(value))
+                return same | held((F.col("level") == F.lit(value)) & (F.col("level") != "")) if name == "level" else same
             case q.FieldCompare(name, op, value):
                 bound = parse_double(value)
-                return F.lit(False) if bound is None else _two_valued(_COMPARE[op](strict_double(field(name)), F.lit(bound)))
+                return F.lit(False) if bound is None else held(_COMPARE[op](strict_double(field(name)), F.lit(bound)))
             case q.TimeCompare(_, op, value):
                 bound = parse_timestamp(value)
-                return F.lit(False) if bound is None else _two_valued(_COMPARE[op](F.col("ts_us"), F.lit(bound)))
+                return F.lit(False) if bound is None else held(_COMPARE[op](F.col("ts_us"), F.lit(bound)))
             case q.RelativeTime(duration):
-                return _two_valued(F.col("ts_us") >= F.lit(now - q.duration_micros(duration)))
+                return held(F.col("ts_us") >= F.lit(now - q.duration_micros(duration)))
             case q.FieldRegex(name, pattern):
                 try:
-                    return _two_valued(field(name).rlike(to_java(pattern)))
+                    return held(field(name).rlike(to_java(pattern)))
                 except BadPattern:
                     return F.lit(False)
             case q.FullText(text):
@@ -75,14 +79,14 @@ def compile_node(node: q.Node, promoted: Iterable[str] = (), now_us: int | None
                 return found | _two_valued(contains_ci(F.col("raw"), text)) if search_raw else found
             case q.And(left, right):
                 first, second = sorted((left, right), key=_cost)
-                return walk(first) & walk(second)
+                return walk(first, bare) & walk(second, bare)
             case q.Or(left, right):
-                return walk(left) | walk(right)
+                return walk(left, bare) | walk(right, bare)
             case q.Not(child):
-                return ~walk(child)
+                return ~walk(child, False)
         raise TypeError(n)
 
-    return walk(node)
+    return walk(node, for_filter)
 
 
 def compile_query(text: str, aliases: Aliases | None = None, **how) -> Column:

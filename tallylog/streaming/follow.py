@@ -82,7 +82,7 @@ def follow(spark: SparkSession, path: str, query: str, on_batch: Callable[[DataF
     """Starts a streaming query that gives the matching records of each batch to ``on_batch``. ``last:`` counts from each batch's time. ``once`` stops at the present end."""
 
     def run(lines: DataFrame, number: int) -> None:
-        condition = compile_query(query, aliases, now_us=time.time_ns() // 1000)
+        condition = compile_query(query, aliases, now_us=time.time_ns() // 1000, for_filter=True)
         on_batch(batch_records(lines).where(condition), number)
 
     writer = follow_lines(spark, path, start).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
