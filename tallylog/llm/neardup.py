@@ -27,7 +27,7 @@ from .shingles import mix, shingle_sets, sub_batches
 
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Classes of a bucket, or members of a candidate group, that meet in one task.
-BLOCK = 1024
+BLOCK = 512
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 192, low: float = 0.4) -> tuple[int, int]:
@@ -219,7 +219,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = connected_components(stage_table(_candidates(reps, kind, least), "candidates"))
     members = groups.join(reps.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node").select(F.col("node").alias("rep"), F.col("component").alias("part"), "copies", "h1", "h2")
     members = stage_table(members, "members")
-    texts = df.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(members, "rep")
+    # The members grow with the input, so they aren't broadcast at any size.
+    texts = df.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(members.hint("merge"), "rep")
 
     def sets_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
