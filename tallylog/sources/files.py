@@ -1,7 +1,7 @@
 """Log files as records.
 
 Files are read as lines in splits, as Spark reads any text. Line numbers and entries are running counts: within a split by a window, across splits by
-the splits' totals, so that one large file is still many tasks. Files of one line per entry, which most are, skip the grouping.
+the splits' totals, so that one large file is still many tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,18 +69,30 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return lines.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
 
 
-def _running(rows: DataFrame, amount, name: str) -> DataFrame:
-    """``rows`` with the running sum of ``amount`` along each file: a window over the split, plus what earlier splits have."""
-    along = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    splits = rows.groupBy("path", "block").agg(F.sum(amount).alias("_total"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("path", "block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    return rows.withColumn(name, F.sum(amount).over(along)).join(splits, ["path", "block"]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+#: Splits or files up to which tables of one row for each are broadcast; beyond, lines are shuffled to meet them.
+BROADCAST_SPLITS = 100_000
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_SPLITS else table
+
+
+def _n_splits(lines: DataFrame) -> int:
+    """No fewer than there are: Spark's partitions hold at most so many splits as there are files more."""
+    return lines.rdd.getNumPartitions() + len(lines.inputFiles())
+
+
+def _before(splits: DataFrame, amount: str) -> DataFrame:
+    """(path, block, _before) from (path, block, amount): what earlier splits of the file have."""
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("_before", F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """With ``line_number``, from 1 in each file."""
-    return _running(lines, F.lit(1), "line_number")
+    """With ``line_number``, from 1 in each file. ``at`` goes up by one within a split, so a split's first number and how many lines earlier splits have are enough: the lines themselves aren't moved."""
+    splits = _before(lines.groupBy("path", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n")), "_n").drop("_n")
+    numbered = lines.join(_small(splits, _n_splits(lines)), ["path", "block"])
+    return numbered.withColumn("line_number", F.col("at") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
 
 
 def modes(lines: DataFrame) -> DataFrame:
@@ -96,28 +109,44 @@ def group_entries(lines: DataFrame, multiline: str = "auto") -> DataFrame:
     """(path, line_number, text) of entries. ``multiline``: ``auto``, or a mode for all files.
 
     In a grouped file an entry's first line begins as its mode says; other lines go on with the entry, blank ones as well, and the first line that isn't blank always begins one.
+    ``auto`` looks at the files' first lines now; where all are of one line per entry, as most are, nothing is grouped.
     """
     blank = F.regexp_replace("value", _TRIMMED, "") == ""
-    moded = lines.join(modes(lines), "path") if multiline == "auto" else lines.withColumn("mode", F.lit(multiline))
-    single = moded.where((F.col("mode") == "single") & ~blank).select("path", "line_number", F.col("value").alias("text"))
+    if multiline == "auto":
+        found = modes(lines)
+        some = found.where("mode != 'single'").limit(BROADCAST_SPLITS + 1).collect()  # one row a file that needs grouping
+        if not some:
+            multiline = "single"
+        elif len(some) <= BROADCAST_SPLITS:
+            found = F.broadcast(lines.sparkSession.createDataFrame([(r["path"], r["mode"]) for r in some], "path string, mode string"))
     if multiline == "single":
-        return single
+        return lines.where(~blank).select("path", "line_number", F.col("value").alias("text"))
+    moded = lines.join(found, "path", "left").fillna("single", ["mode"]) if multiline == "auto" else lines.withColumn("mode", F.lit(multiline))
+    single = moded.where((F.col("mode") == "single") & ~blank).select("path", "line_number", F.col("value").alias("text"))
     grouped = moded.where("mode != 'single'").withColumn("blank", blank)
     begins = ~F.col("blank") & F.when(F.col("mode") == "timed", F.col("value").rlike(TIME_START)).otherwise(F.col("value").rlike(STRUCTURE_START))
-    opened = grouped.where("not blank").groupBy("path").agg(F.min("line_number").alias("_first"))
-    grouped = grouped.join(opened, "path").withColumn("_begin", (begins | (F.col("line_number") == F.col("_first"))).cast("long"))
-    entries = _running(grouped, F.col("_begin"), "_entry").where("_entry > 0").groupBy("path", "_entry").agg(
-        F.min("line_number").alias("line_number"), F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("_lines"))
+    opened = grouped.where("not blank").groupBy("path").agg(F.min("line_number").alias("_opens"))
+    grouped = grouped.join(opened, "path").withColumn("_begin", (begins | (F.col("line_number") == F.col("_opens"))).cast("long"))
+    # Running counts: within a split by a window, so that one file is many tasks, and over splits by the splits' sums.
+    along = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    splits = _before(grouped.groupBy("path", "block").agg(F.sum("_begin").alias("_n")), "_n").drop("_n")
+    counted = grouped.withColumn("_entry", F.sum("_begin").over(along)).join(splits, ["path", "block"]).withColumn("_entry", F.col("_entry") + F.col("_before"))
+    entries = counted.where("_entry > 0").groupBy("path", "_entry").agg(F.min("line_number").alias("line_number"), F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("_lines"))
     return single.unionByName(entries.select("path", "line_number", F.array_join(F.col("_lines.value"), "\n").alias("text")))
 
 
-@F.pandas_udf(PARSED)
-def parse_log(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+_MAP = pa.map_(pa.string(), pa.string())
+
+
+@F.arrow_udf(PARSED)
+def parse_log(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The record of each entry's text."""
     for texts in batches:
-        rows = pd.DataFrame([parse_entry(t or "") for t in texts], columns=PARSED.names)
-        rows["ts_us"] = rows["ts_us"].astype("Int64")
-        yield rows
+        rows = [parse_entry(t or "") for t in texts.to_pylist()]
+        yield pa.StructArray.from_arrays([
+            pa.array([r.ts_us for r in rows], pa.int64()), pa.array([r.level for r in rows], pa.string()), pa.array([r.message for r in rows], pa.string()),
+            pa.array([list(r.fields.items()) for r in rows], _MAP), pa.array([r.raw for r in rows], pa.string()),
+        ], PARSED.names)
 
 
 def parse_entries(entries: DataFrame, source=None) -> DataFrame:
