@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 from tallylog.llm import langid, mixing, neardup, packing, pii
 from tallylog.llm.common import fresh, stage_table
 
-#: The languages a document may be in, and the least probability of its language. Ordinary prose scores far above.
-LANGUAGES = ("de", "en", "es", "fr")
-LEAST_SCORE = 0.4
+#: The least probability of a document's language: just above chance, as short clean texts may be unsure ones.
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or in no known language; a document's ``lang`` becomes the one found. The model learns from ``docs``' own labels."""
+    """Drops documents without letters, and those in none of the languages learnt from ``docs``' own labels; fills in ``lang`` where there is none."""
     model = langid.fit(docs)
     lang, score = fresh(docs, "lang_pred", "score")
-    known = langid.predict(docs, model, lang=lang, score=score).where((F.col(score) >= LEAST_SCORE) & F.col(lang).isin(*LANGUAGES))
-    return known.select(*[F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    known = langid.predict(docs, model, lang=lang, score=score).where((F.col(score) >= LEAST_SCORE) & (F.col(lang) != langid.UNKNOWN))
+    return known.select(*[F.coalesce("lang", lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
