@@ -4,7 +4,7 @@ Every run of ``length`` words (a window) that also starts in a document with a s
 partitioned by a prefix of variable length, each group gets a tree of its own, and nodes of depth ``length`` with suffixes of several documents are the repeats.
 
 1. *Which prefixes can branch.* In each window the least hash among its eight-word runs is its core; equal windows have equal cores at the same place. Cores
-   are a quarter of all positions, and five bytes of each are exchanged in hash ranges. A core of one document only has no repeat around it and is dropped: this is exact
+   are a quarter of all positions, and four bytes and a range of each are exchanged. A core of one document only has no repeat around it and is dropped: this is exact
    in one direction (a chance agreement of hashes keeps a core too many, and never loses one).
 2. *Suffixes.* Around each core left, the suffixes that begin up to five words before it go to the group of their prefix: the core (depth 8). Equal suffixes
    within a part of the corpus go as one, from the least id; the others are settled on the spot. Where a core has more than ``HOT`` documents, its suffixes' prefix
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
-from .shingles import mix, run_hashes, sub_batches, word_hashes
+from .shingles import byte_slices, mix, run_hashes, sub_batches, word_hashes
 
 LENGTH, CORE = 13, 8
 #: Documents of a core from which on its suffixes are told apart by the whole window at once.
 HOT = 20_000
 #: Bytes of text for each part of the documents and for each range of cores.
-PART_BYTES, RANGE_BYTES = 8 << 20, 10 << 20
+PART_BYTES, RANGE_BYTES = 4 << 20, 10 << 20
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -76,23 +76,22 @@ def _ranges(df: DataFrame, bits: int, length: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for low, high in sub_batches(texts, 4 << 20):
-                words, first, *_ = word_hashes(texts[low:high])
+            made = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for low, high, texts in byte_slices(batch.column(1)):
+                words, first, *_ = word_hashes(texts)
                 runs, places, owner = cores(words, first, length)
-                key, doc = runs[places] >> np.uint64(24), ids[low:high][owner]
-                order = np.lexsort((key, doc, key >> np.uint64(40 - bits)))
-                key, doc = key[order], doc[order]
-                new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                key, doc = key[new], doc[new]
-                where = (key >> np.uint64(40 - bits)).astype(np.int64)
-                out = []
-                for r, a, b in _groups(where):
-                    own, counts = np.unique(doc[a:b], return_counts=True)
-                    out.append((int(r), _pack(own), _pack(counts.astype(np.uint32)), (key[a:b] & np.uint64((1 << (40 - bits)) - 1)).astype("<u8")[:, None].view(np.uint8)[:, : -(-(40 - bits) // 8)].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]], ["range", "docs", "counts", "keys"])
+                made.append((runs[places] >> np.uint64(32 - bits), ids[low:high][owner]))
+            key, doc = (np.concatenate(x) for x in zip(*made, strict=True))
+            order = np.lexsort((key, doc, key >> np.uint64(32)))
+            key, doc = key[order], doc[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, doc = key[new], doc[new]
+            out = []
+            for r, a, b in _groups((key >> np.uint64(32)).astype(np.int64)):
+                out.append((int(r), *_by_doc(doc[a:b]), (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]], ["range", "docs", "counts", "keys"])
 
     return df.mapInArrow(run, "range int, docs binary, counts binary, keys binary")
 
@@ -107,16 +106,12 @@ def _groups(a: np.ndarray):
 
 
 def _shared(parts: int, bits: int, hot: int):
-    width = -(-(40 - bits) // 8)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         docs, keys = [], []
         for d, c, k in zip(pdf["docs"], pdf["counts"], pdf["keys"], strict=True):
             docs.append(np.repeat(_unpack(d, "<i8"), _unpack(c, "<u4")))
-            raw = np.zeros((len(k) // width, 8), np.uint8)
-            raw[:, :width] = np.frombuffer(k, np.uint8).reshape(-1, width)
-            keys.append(raw.view("<u8").ravel())
-        doc, key = np.concatenate(docs), np.concatenate(keys) | (np.uint64(int(pdf["range"].iloc[0])) << np.uint64(40 - bits))
+            keys.append(np.frombuffer(k, "<u4").astype(np.uint64))
+        doc, key = np.concatenate(docs), np.concatenate(keys) | (np.uint64(int(pdf["range"].iloc[0])) << np.uint64(32))
         order = np.lexsort((doc, key))
         doc, key = doc[order], key[order]
         new = np.ones(len(key), bool)
@@ -154,7 +149,7 @@ def _parted(df: DataFrame, parts: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-            z = [pack.compress((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+            z = [pack.compress(t) for _, _, texts in byte_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts).astype(np.int32)), pa.array(ids), pa.array(z, pa.binary())], ["part", "id", "z"])
 
     return df.mapInArrow(run, "part int, id long, z binary")
@@ -171,7 +166,30 @@ def _open(left: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
 SUFFIX = np.dtype([("core", "<u8"), ("window", "<u8"), ("id", "<i8"), ("part", "<i4"), ("row", "<i4"), ("start", "<i4")])
 
 
-def _suffixes(groups: int, length: int):
+def _close(rec: np.ndarray) -> bytes:
+    """Suffixes of one part, sorted by core, in columns of byte planes: equal cores, and what is a document's, cost next to nothing."""
+    own, at = np.unique(rec["row"], return_index=True)
+    columns = [np.diff(rec["core"], prepend=np.uint64(0)), rec["window"], rec["row"], rec["start"], own, rec["id"][at]]
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return np.array([len(rec), len(own), rec["part"][0]], "<i4").tobytes() + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unclose(data: bytes) -> np.ndarray:
+    n, m, part = np.frombuffer(data[:12], "<i4").tolist()
+    planes, pos, columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[12:]), np.uint8), 0, []
+    for kind, size in (("<u8", n), ("<u8", n), ("<i4", n), ("<i4", n), ("<i4", m), ("<i8", m)):
+        width = int(kind[2])
+        columns.append(np.ascontiguousarray(planes[pos : pos + width * size].reshape(width, size).T).view(kind).ravel())
+        pos += width * size
+    rec = np.zeros(n, SUFFIX)
+    with np.errstate(over="ignore"):
+        rec["core"] = np.cumsum(columns[0], dtype=np.uint64)
+    rec["window"], rec["row"], rec["start"], rec["part"] = columns[1], columns[2], columns[3], part
+    rec["id"] = columns[5][np.searchsorted(columns[4], columns[2])]
+    return rec
+
+
+def _suffixes(groups: int, bits: int, length: int):
     """For cogroups of (documents of a part, its cores): rows (kind, key, payload); kind 0: suffixes for group ``key``, 1: hot ones, 2: windows settled, for part ``key``."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -185,12 +203,12 @@ def _suffixes(groups: int, length: int):
         hot_keys = np.unique(key[key >> np.uint64(63) == 1] ^ np.uint64(1 << 63))
         wanted = np.unique(mix(doc.view(np.uint64), 8) ^ (key & np.uint64((1 << 63) - 1)))
         found = []
-        for low, high in sub_batches(texts, 4 << 20):
+        for low, high in sub_batches(texts):
             words, first, *_ = word_hashes(texts[low:high])
             runs, places, owner = cores(words, first, length)
-            k40 = runs[places] >> np.uint64(24)
-            keep = np.isin(mix(ids[low:high][owner].view(np.uint64), 8) ^ k40, wanted)
-            places, owner, k40 = places[keep], owner[keep], k40[keep]
+            short = runs[places] >> np.uint64(32 - bits)
+            keep = np.isin(mix(ids[low:high][owner].view(np.uint64), 8) ^ short, wanted)
+            places, owner, short = places[keep], owner[keep], short[keep]
             windows = run_hashes(words, length, 6)
             for o in range(length - CORE + 1):
                 at = places - o
@@ -198,7 +216,7 @@ def _suffixes(groups: int, length: int):
                 rec = np.zeros(int(ok.sum()), dtype=SUFFIX)
                 rec["core"], rec["window"] = runs[places[ok]], windows[at[ok]]
                 rec["id"], rec["part"], rec["row"], rec["start"] = ids[low:high][owner[ok]], part, owner[ok] + low, at[ok] - first[owner[ok]]
-                found.append((rec, np.isin(k40[ok], hot_keys)))
+                found.append((rec, np.isin(short[ok], hot_keys)))
         rec, hot = np.concatenate([r for r, _ in found]), np.concatenate([h for _, h in found])
         # A window may lie around two cores: once is enough. Of equal windows, those with the part's least id go on.
         order = np.lexsort((rec["start"], rec["row"], rec["id"], rec["window"], rec["core"]))
@@ -216,7 +234,7 @@ def _suffixes(groups: int, length: int):
         for kind in (0, 1):
             at = np.flatnonzero(hot == bool(kind))
             at = at[np.argsort(group[at], kind="stable")]
-            out.extend((kind, int(g), rec[at[a:b]].tobytes()) for g, a, b in _groups(group[at]))
+            out.extend((kind, int(g), _close(rec[at[a:b]])) for g, a, b in _groups(group[at]))
         return pd.DataFrame(out, columns=["kind", "key", "payload"]) if out else none
 
     return run
@@ -240,7 +258,7 @@ def deep_nodes(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     """Windows to remove, by part, from all suffixes of a group."""
-    rec, node = deep_nodes(np.concatenate([np.frombuffer(p, SUFFIX) for p in pdf["payload"]]))
+    rec, node = deep_nodes(np.concatenate([_unclose(p) for p in pdf["payload"]]))
     first = np.flatnonzero(np.diff(node, prepend=0))
     least = rec["id"][first][node - 1]
     rec = rec[rec["id"] > least]
@@ -254,7 +272,7 @@ def _hot_repeats(found: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p in pdf["payload"]:
-                r = np.frombuffer(p, SUFFIX)
+                r = _unclose(p)
                 yield pd.DataFrame({"core": r["core"].view(np.int64), "win": r["window"].view(np.int64), "id": r["id"], "part": r["part"], "row": r["row"], "start": r["start"]})
 
     each = found.where("kind = 1").select("payload").mapInPandas(rows, "core long, win long, id long, part int, row int, start int")
@@ -284,7 +302,7 @@ def _removal(length: int, with_text: bool):
                 k = (int(i), unpack.decompress(z))
                 again[k] = again.get(k, 0) + 1
         out = []
-        for low, high in sub_batches(texts, 2 << 20):
+        for low, high in sub_batches(texts):
             _, first, begin, end, joined = word_hashes(texts[low:high])
             data = joined.tobytes()
             for i in range(high - low):
@@ -315,10 +333,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts, bits = max(16, size // PART_BYTES), min(32, max(4, int(size // RANGE_BYTES).bit_length()))
+    parts, bits = max(16, size // PART_BYTES), min(28, max(4, int(size // RANGE_BYTES).bit_length()))
     texts = _parted(docs, parts)
     shared = _ranges(docs, bits, length).groupBy("range").applyInPandas(_shared(parts, bits, hot), "part int, docs binary, counts binary, keys binary")
-    found = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_suffixes(parts, length), "kind int, key int, payload binary")
+    found = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_suffixes(max(16, parts // 4), bits, length), "kind int, key int, payload binary")
     found = stage_table(found, "suffixes")
     windows = found.where("kind = 2").select(F.col("key").alias("part"), F.col("payload").alias("windows"))
     trees = found.where("kind = 0").groupBy("key").applyInPandas(_repeats, "part int, windows binary")
