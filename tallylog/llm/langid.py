@@ -193,7 +193,8 @@ def predict(df: DataFrame, model: ByteCNN, text_col: str = "text", lang: str = "
 
     own = df.columns
     df, text_col = positional(df, text_col)
-    out = df.withColumn("_langid", scored(F.col(text_col)))
+    # A filter on the result would otherwise evaluate the network once more.
+    out = df.withColumn("_langid", scored.asNondeterministic()(F.col(text_col)))
     return out.select(*restored(out, own), F.col("_langid.lang").alias(lang), F.col("_langid.score").alias(score))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, positional, restored, stage_table
 from .components import connected_components
-from .shingles import mix, shingle_sets, sub_batches
+from .shingles import byte_slices, mix, shingle_sets
 
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Classes of a bucket, or members of a candidate group, that meet in one task.
@@ -63,10 +63,6 @@ def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _texts(column) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
-
-
 def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k: int = N_GRAM) -> DataFrame:
     """(id, n, h1, h2, bands, sketch) of each row: size and 128-bit digest of its set, a hash per band, 16 bits per MinHash value."""
 
@@ -74,9 +70,8 @@ def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k
         import pyarrow as pa
 
         for batch in batches:
-            texts = _texts(batch.column(1))
-            for low, high in sub_batches(texts):
-                sets = shingle_sets(texts[low:high], k)
+            for low, high, texts in byte_slices(batch.column(1)):
+                sets = shingle_sets(texts, k)
                 with np.errstate(over="ignore"):
                     digests = [np.array([mix(s, salt).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64) for salt in (11, 12)]
                 values = minhashes(sets, bands * rows)
@@ -227,10 +222,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for batch in batches:
             made, keep = [], []
-            found = _texts(batch.column(1))
             h1 = batch.column(4).to_pylist()
-            for low, high in sub_batches(found):
-                for i, s in enumerate(shingle_sets(found[low:high], k), low):
+            for low, _, found in byte_slices(batch.column(1)):
+                for i, s in enumerate(shingle_sets(found, k), low):
                     with np.errstate(over="ignore"):
                         if int(np.array(mix(s, 11).sum(dtype=np.uint64)).view(np.int64)) == h1[i]:  # else another text under the same id
                             keep.append(i)

@@ -30,7 +30,7 @@ from .common import cell_offsets, md5_long, salts_for, stage_table
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps at a time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def tokenizer_path() -> str:

@@ -58,7 +58,26 @@ def run_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out, salt)
 
 
-def sub_batches(texts: list[bytes], most: int = 1 << 20):
+#: Bytes of text that are hashed at a time: a worker's arrays are some 50 times as large.
+CHUNK = 1 << 19
+
+
+def byte_slices(column, most: int = CHUNK):
+    """(low, high, texts as bytes) over an Arrow column of strings, about ``most`` bytes at a time; nulls are empty. The column as a whole never becomes Python objects."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(data):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield low, high, [t or b"" for t in data.slice(low, high - low).to_pylist()]
+        low = high
+
+
+def sub_batches(texts: list[bytes], most: int = CHUNK):
     """Slices (low, high) of the list with about ``most`` bytes each; a longer text is alone."""
     low, held = 0, 0
     for i, t in enumerate(texts):
