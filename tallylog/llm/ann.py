@@ -6,7 +6,7 @@ is parallel to the vector weighs ``eta`` times as much as the rest. A scan adds
 each batch are ranked again by their true distance, in double precision.
 
 The codebook is fitted on a bounded sample (``SAMPLE`` vectors by a hash of the id, fewer where they are long); every vector is coded and scanned.
-Queries come in blocks of about ``QUERY_BLOCK``, each of which is one pass over the vectors. No block, and nothing sent to the driver, grows with the table.
+Queries come in blocks of about ``QUERY_BLOCK``, each of which is one pass over the vectors and their codes, made and written before the next one begins. No block, and nothing sent to the driver, grows with the table.
 """
 
 from __future__ import annotations
@@ -95,24 +95,47 @@ class AnisotropicCodec:
 
 
 def first_copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
-    """Places of the rows, least ids first, without those of a vector that ``most`` rows with lesser ids have too: none of these can be among a query's nearest."""
+    """Places of the rows, least ids first, each (id, vector) once and without those of a vector that ``most`` lesser ids have too: none of these can be among a query's nearest."""
     order = np.argsort(ids, kind="stable")
-    seen: dict[bytes, int] = {}
+    seen: dict[bytes, tuple[int, int]] = {}  # of a vector: how many ids so far, and the last of them
     keep = []
     for i in order.tolist():
-        key = vectors[i].tobytes()
-        n = seen.get(key, 0)
-        if n < most:
-            seen[key] = n + 1
+        key, own = vectors[i].tobytes(), int(ids[i])
+        n, last = seen.get(key, (0, None))
+        if n < most and own != last:
+            seen[key] = n + 1, own
             keep.append(i)
     return np.array(keep, dtype=np.int64)
 
 
-def search_batch(codec: AnisotropicCodec, query_ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, candidates: int):
-    """(query place, id, distance) of the k nearest to each query in this batch: table scan, then exact distances of the best."""
+def nearest_ids(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest ids of each query, by query, distance and id; an id counts by its least distance alone."""
+    order = np.lexsort((d, ids, q))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[fresh]
+    order = order[np.lexsort((ids[order], d[order], q[order]))]
+    place = np.arange(len(order))
+    start = np.maximum.accumulate(np.where(np.diff(q[order], prepend=-1) != 0, place, 0))
+    return order[place - start < k]
+
+
+def best_rows(score: np.ndarray, ids: np.ndarray, candidates: int, distinct: bool) -> np.ndarray:
+    """Places of the rows of best score that hold ``candidates`` ids; more rows than that where ids repeat."""
+    if len(ids) <= candidates:
+        return np.arange(len(ids))
+    if distinct:
+        return np.argpartition(-score, candidates - 1)[:candidates]
+    order = np.argsort(-score, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    return order if len(first) <= candidates else order[: first[candidates]]
+
+
+def search_batch(codec: AnisotropicCodec, query_ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, candidates: int):
+    """(query place, id, distance) of the k nearest ids to each query in this batch: table scan, then exact distances of the best."""
     keep = first_copies(ids, vectors, k + 1)
     ids, vectors = ids[keep], vectors[keep].astype(np.float64)
-    codes = codec.packed(codec.encode(codec.split(vectors)))
+    codes, distinct = codec.packed(codes[keep]), len(np.unique(ids)) == len(ids)
     half = ((vectors**2).sum(1) / 2).astype(np.float32)
     out_q, out_i, out_d = [], [], []
     for q in range(len(queries)):
@@ -120,10 +143,10 @@ def search_batch(codec: AnisotropicCodec, query_ids: np.ndarray, queries: np.nda
         for p in range(len(codes)):
             score = score + tables[q, p].take(codes[p])
         score[ids == query_ids[q]] = -np.inf
-        at = np.arange(len(ids)) if len(ids) <= candidates else np.argpartition(-score, candidates - 1)[:candidates]
+        at = best_rows(score, ids, candidates, distinct)
         at = at[ids[at] != query_ids[q]]
         d = np.sqrt(((vectors[at] - queries[q]) ** 2).sum(1))
-        best = np.lexsort((ids[at], d))[:k]
+        best = nearest_ids(np.full(len(at), q), ids[at], d, k)
         out_q.append(np.full(len(best), q))
         out_i.append(ids[at][best])
         out_d.append(d[best])
@@ -149,10 +172,23 @@ def anisotropic_search(df: DataFrame, queries: Column, id_col: str = "vec_id", v
     if lengths is None:
         return spark.createDataFrame([], result).withColumnRenamed("id", id_col)
     dim = lengths["n"]
-    rows = stage_table(rows.where(F.size("vec") == dim), "vectors")
+    rows = rows.where(F.size("vec") == dim)
     most = max(1, min(SAMPLE, SAMPLE_VALUES // dim))
     sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(most).select("vec").toPandas()["vec"]
     codec = AnisotropicCodec(dim).fit(np.stack(sample.to_numpy()))
+
+    def values(column) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(len(column), dim)
+
+    def code(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                codes = [c.tobytes() for c in codec.encode(codec.split(values(batch.column(1))))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], ["id", "vec", "is_query", "code"])
+
+    rows = stage_table(rows.mapInArrow(code, "id long, vec array<double>, is_query boolean, code binary"), "vectors")
     asked = rows.where("is_query").dropDuplicates(["id"])
     asked = stage_table(asked.select("id", "vec"), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -169,25 +205,19 @@ def anisotropic_search(df: DataFrame, queries: Column, id_col: str = "vec_id", v
             for batch in batches:
                 if not len(batch) or not len(query_ids):
                     continue
-                found = search_batch(codec, query_ids, vectors, tables, batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(len(batch), dim), k, candidates)
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), codec.parts)
+                found = search_batch(codec, query_ids, vectors, tables, batch.column(0).to_numpy(), values(batch.column(1)), codes, k, candidates)
                 if best is not None:
                     found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                order = np.lexsort((found[1], found[2], found[0]))
-                q, i = found[0][order], found[1][order]
-                fresh = np.ones(len(order), dtype=bool)  # one row of an id
-                fresh[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
-                order = order[fresh]
-                q = found[0][order]
-                start = np.maximum.accumulate(np.where(np.diff(q, prepend=-1) != 0, np.arange(len(q)), 0))
-                best = tuple(x[order[np.arange(len(q)) - start < k]] for x in found)
+                at = nearest_ids(*found, k)
+                best = tuple(x[at] for x in found)
             if best is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "id", "score"])
 
-        return rows.select("id", "vec").mapInArrow(scan, "query_id long, id long, score double")
+        return rows.select("id", "vec", "code").mapInArrow(scan, "query_id long, id long, score double")
 
-    parts = [block(b) for b in range(blocks)]
-    if blocks > 1:
-        parts = [stage_table(p, f"found{b}") for b, p in enumerate(parts)]
+    # A block's queries leave the driver before the next one's come.
+    parts = [block(0)] if blocks == 1 else [stage_table(block(b), f"found{b}") for b in range(blocks)]
     near = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.min("score").alias("score"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

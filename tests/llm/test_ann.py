@@ -93,3 +93,32 @@ def test_tables_are_the_codes_inner_products():
     scanned = np.stack([sum(tables[i, p][packed[p]] for p in range(len(packed))) for i in range(4)])
     back = codec.centroids[np.arange(codec.parts)[None, :], codes].reshape(50, -1)[:, :9]
     assert np.allclose(scanned, q @ back.T, atol=1e-4)
+
+
+@pytest.mark.parametrize("times", [2, 11, 120])
+def test_repeated_rows_take_no_neighbours_place(spark, times):
+    rows = vectors(60, 6) + [(100 + i, [0.5] * 6) for i in range(30)]
+    again = [r for r in rows for _ in range(times if r[0] < 8 or r[0] in (100, 101) else 2)]
+    want = {q: [i for _, i in v] for q, v in brute(rows).items()}
+    assert {q: [i for _, i, _ in v] for q, v in run(spark, spread(again), kind="double").items()} == want
+
+
+def spread(rows):
+    """Copies in the same batches and in different ones."""
+    return rows[::2] + rows[1::2]
+
+
+def test_ids_with_many_vectors_count_once(spark):
+    rows = [(10, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(1, 301)] + [(i, [1.0, 1.0 + i]) for i in range(2, 9)]
+    assert [i for _, i, _ in run(spark, rows, kind="double")[10]] == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_blocks_are_written_one_at_a_time(spark, monkeypatch):
+    seen = []
+    frame, stage = type(spark.range(1)), ann.stage_table
+    to_pandas = frame.toPandas
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(frame, "toPandas", lambda df: seen.append("queries") or to_pandas(df))
+    monkeypatch.setattr(ann, "stage_table", lambda df, name: seen.append(name) or stage(df, name))
+    run(spark, vectors(600))
+    assert seen[1:] == ["vectors", "queries", "queries", "found0", "queries", "found1", "queries", "found2"]
