@@ -8,6 +8,8 @@ the best of 32 that start at a random one: one narrow pass sums the words that e
 
 The prefix sum is distributed: documents fall into cells (source, size band, part of the id's hash), whose counts are
 summed first; a rank within the cell does the rest. A source that holds a third of all rows is thus dealt over hundreds of cells.
+The order is the same however many rows there are: source, band, part (always ``PARTS``), size, hash, id. Where that many parts are too few, they are
+cut further along this order, by size and the hash's leading bits.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import cell_offsets, fresh, md5_long, n_words, positional, restored
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 OFFSETS = 32
+#: Parts of a band. They are part of the order, and so fixed.
+PARTS = 16
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -65,20 +69,25 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     size, (source_size, target, copies), own = "_size", fresh(df, "size", "source_size", "target", "copies")[1:], df.columns
     size_out = fresh(df, "size")[0]
     df, id_col, source_col, text_col = positional(df, id_col, source_col, text_col)
-    keys = ["_null", "_source", "_band", "_part"]
-    salts = salts_for(df.count())
+    keys = ["_null", "_source", "_band", "_part", "_fine", "_top"]
+    bits = max(0, (salts_for(df.count()) // PARTS).bit_length() - 1)
     sized = df.withColumn(size, n_words(F.col(text_col)))
     sized = sized.withColumns({
         "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
         "_band": F.expr(f"coalesce(cast(length(bin(`{size}`)) * 8 + shiftright(`{size}` * 8, length(bin(`{size}`)) - 1) % 8 as int), 0)"),
         "_order": md5_long(F.col(id_col), salt=seed),
-    }).withColumn("_part", F.coalesce((F.col("_order") % salts).cast("int"), F.lit(0)))
+    })
+    part, top = F.coalesce((F.col("_order") % PARTS).cast("int"), F.lit(0)), F.coalesce(F.shiftright("_order", 32 - bits), F.lit(0)).cast("int")
+    sized = sized.withColumns({"_part": part, "_fine": F.col(size) if bits else F.lit(0), "_top": top if bits else F.lit(0)})
     # Words are counted once for all that needs sizes alone. The keys are never null, so that joins needn't test (and so compute) them.
     counted = stage_table(sized.select(*keys, size, "_order", id_col), "sizes")
     cells = stage_table(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_words")), "cells")
     targets = source_targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("_source_size")), weights, most_copies)
     offset = md5_long(F.col("_null"), F.col("_source"), salt=seed) / F.lit(float(1 << 32))
-    cells = stage_table(cell_offsets(cells, keys[:2], keys[2:]).join(targets, keys[:2]).withColumn("_start", offset).drop("_n", "_words"), "offsets")
+    # A source's parts first, then each part's own cells: no window sees more than counts of one of these.
+    parts = cell_offsets(cells.groupBy(*keys[:4]).agg(F.sum("_n").alias("_n")), keys[:2], keys[2:4]).withColumnRenamed("_offset", "_before").drop("_n")
+    cells = cell_offsets(cells, keys[:4], keys[4:]).join(parts, keys[:4]).withColumn("_offset", F.col("_offset") + F.col("_before")).drop("_before")
+    cells = stage_table(cells.join(targets, keys[:2]).withColumn("_start", offset).drop("_n", "_words"), "offsets")
     order = Window.partitionBy(*keys).orderBy(size, "_order", id_col)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     place = F.col("_offset") + F.col("_rank")

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallylog.llm import mixing
 from tallylog.llm.mixing import emit_copies, systematic_mix
 
 from .data import odd_documents, table
@@ -66,3 +67,11 @@ def test_no_words(spark, rows):
 def test_one_source_is_taken_once(spark):
     out = systematic_mix(table(spark, [(i, "a b c", "en", "x") for i in range(20)])).collect()
     assert [r["copies"] for r in out] == [1] * 20
+
+
+def test_order_does_not_hang_on_the_number_of_rows(spark, monkeypatch):
+    docs = table(spark, odd_documents(n=300) + [(10_000 + i, "a b c", "en", "hot") for i in range(100)])
+    got = sorted(map(str, systematic_mix(docs).collect()))
+    for salts in (32, 1024, 1 << 14):
+        monkeypatch.setattr(mixing, "salts_for", lambda rows, salts=salts: salts)
+        assert sorted(map(str, systematic_mix(docs).collect())) == got
