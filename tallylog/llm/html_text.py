@@ -48,6 +48,8 @@ _WORDS_AGAINST = set(
     "banner alert popup modal overlay newsletter subscribe subscription signup login toolbar pagination pager copyright disclaimer masthead skip outbrain taboola teaser teasers paywall announcement".split()
 )
 _WORDS_FOR = {"article", "content", "post", "entry", "story", "main", "body", "text", "articlebody", "maincontent"}
+#: Class names that tell of the layout, not of the text in the element: has-sidebar, no-comments, comments-open.
+_LAYOUT = re.compile(r"(?:has|no|with|without|hide|show)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _SENTENCE = re.compile(r"[.!?…][\"'”’)]*(?:\s|$)")
 _TAGS = ("p", "li", "h", "div", "td")
@@ -89,8 +91,10 @@ def _state(tag: str, attrs: str, up: _Element) -> tuple[float | None, bool]:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
+                value = " ".join(w for w in value.split() if not _LAYOUT.fullmatch(w))
                 words = {w.lower() for w in _CAMEL.split(value)} | {value.strip().lower()}
-                if words & _WORDS_AGAINST or ("header" in words and not inside and tag[0] != "h"):
+                # An article of its own is one whatever its class; one within another may be a comment.
+                if (words & _WORDS_AGAINST and (up.inside or tag not in ("article", "main"))) or ("header" in words and not inside and tag[0] != "h"):
                     return -STRONG, inside
                 if words & _WORDS_FOR and state < 2:
                     state = 2.0

@@ -62,3 +62,11 @@ def test_table(spark):
     assert all(got[i]["text"] == want for i, want in enumerate(PAGES.values()))
     assert got[100]["text"] == "" and got[101]["text"] == LONG * 3000 and all(r["n_chars"] == len(r["text"]) for r in out)
     assert extract(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<article class='post comments-open'>", "</article>"), ("<main class='content no-sidebar'>", "</main>"), ("<div class='layout has-sidebar'><article>", "</article></div>"),
+    ("<article class='post related'>", "</article>"), ("<div class='with_sidebar'><main id=main>", "</main></div>"),
+])
+def test_layout_classes_leave_the_article(start, end):
+    assert main_text(f"<nav>Menu</nav>{start}<p>{LONG}</p><div class='comments'><article class=comment><p>{LONG}</p></article></div>{end}<div class=sidebar>{LONG}</div>") == LONG
