@@ -1,10 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. Each gets a log-odds of being content: what its ancestors say of themselves (element names, roles, class words), plus a
-logistic classifier over its text, trained here on blocks that lie in elements of plain meaning. The log-odds are the capacities to the two
+A page is cut into blocks of text. A logistic classifier gives each block a log-odds of being content, from its text, its place in the page and what the elements
+around it say of themselves (names, roles, class words): all of these are features, none of them decides alone. The log-odds are the capacities to the two
 terminals; neighbours in the page and in the element tree are joined by edges, the stronger the nearer their common ancestor. The minimum cut, found by max-flow,
 labels all blocks of the page at once. A block whose own capacity exceeds all its edges is settled before; its edges then act as its neighbours' capacities,
 which leaves the cut the same and most pages without a flow to push.
+
+The classifier is trained here, on a bounded sample of pages: blocks in elements of plain meaning are its labelled rows. Each is learnt twice, once as it is and once
+with all names and class words taken away, so that text and place must do where a page says nothing of itself. Only what is never part of an article stays out for good:
+scripts, styles, forms and what is hidden.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages to train the text classifier on, chosen by a hash of the page's id, and the most bytes of each.
+from .common import fresh, positional
+
+#: Most pages to train the classifier on, chosen by a hash, and the most characters that such a page has.
 SAMPLE_PAGES, SAMPLE_CHARS = 400, 200_000
 
 _TOKEN = re.compile(
@@ -39,12 +45,12 @@ _BLOCK = set(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _HOLD = {"ul", "ol", "dl", "table", "select", "menu"}
 _ENDS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "html", "head", "body"}
-_DEAD = {"head", "svg", "math", "object", "canvas", "audio", "video", "map"}
-_AGAINST = {"nav", "aside", "footer", "form", "button", "select", "label", "menu", "dialog", "search", "fieldset", "dir"}
-_ROLES_AGAINST = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "alertdialog", "dialog", "toolbar"}
+_DEAD = {"head", "svg", "math", "object", "canvas", "audio", "video", "map", "form", "button", "select", "fieldset", "label", "dialog", "search"}
+_ROLES_AGAINST = {"navigation", "banner", "contentinfo", "complementary", "menu", "menubar", "alert", "toolbar"}
+_ROLES_DEAD = {"search", "form", "dialog", "alertdialog"}
 _WORDS_AGAINST = set(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted nav navbar navigation menu menubar topbar breadcrumb breadcrumbs footer "
-    "sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices "
+    "sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices "
     "banner alert popup modal overlay newsletter subscribe subscription signup login toolbar pagination pager copyright disclaimer masthead skip outbrain taboola teaser teasers paywall announcement".split()
 )
 _WORDS_FOR = {"article", "content", "post", "entry", "story", "main", "body", "text", "articlebody", "maincontent"}
@@ -52,69 +58,101 @@ _WORDS_FOR = {"article", "content", "post", "entry", "story", "main", "body", "t
 _LAYOUT = re.compile(r"(?:has|no|with|without|hide|show)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _SENTENCE = re.compile(r"[.!?…][\"'”’)]*(?:\s|$)")
+#: What a block's elements say of themselves, as features.
+_SAYS = ("article", "nav", "footer", "aside", "header", "role", "against", "partly", "for")
+_SAYS_AT = {k: i for i, k in enumerate(_SAYS)}
 _TAGS = ("p", "li", "h", "div", "td")
-STRONG = 8.0
+#: Features: the text's and the place's, then the names'; the last says that the page has an article, and this block is outside it.
+NAMES = ["bias", "length", "links", "sentences", "ends", "sign", "inside", "share", "late", "last", "siblings", *_TAGS, *_SAYS, "elsewhere"]
+_PLAIN = 11
 #: How strongly the classifier is held to its prior weights.
-PULL = 0.05
-#: Weights for a page set from which nothing can be learnt: bias, log length, links, sentences, tags.
-PRIOR = np.array([-2.0, 0.5, -3.0, 0.6, 0.8, -0.3, 0.3, 0.0, 0.0])
+PULL = 0.02
+#: Weights for a page set from which nothing can be learnt.
+PRIOR = np.array([-2.2, 0.35, -3.5, 0.5, 0.3, -2.0, 1.6, 0.8, 0.0, -0.5, 0.3, 0.8, -0.2, 0.3, 0.0, 0.0, 3.0, -6.0, -6.0, -6.0, -5.0, -7.0, -8.0, -2.5, 1.2, -2.5])
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "odds", "parent", "known")
+    __slots__ = ("text", "links", "tag", "says", "parent")
 
-    def __init__(self, text, links, tag, odds, parent, known):
-        self.text, self.links, self.tag, self.odds, self.parent, self.known = text, links, tag, odds, parent, known
+    def __init__(self, text, links, tag, says, parent):
+        self.text, self.links, self.tag, self.says, self.parent = text, links, tag, says, parent
 
 
 class _Element:
-    __slots__ = ("tag", "up", "state", "inside", "link", "depth")
+    __slots__ = ("tag", "up", "says", "link", "depth", "chars", "leaf")
 
-    def __init__(self, tag, up, state, inside, link):
-        self.tag, self.up, self.state, self.inside, self.link = tag, up, state, inside, link
+    def __init__(self, tag, up, says, link):
+        self.tag, self.up, self.says, self.link = tag, up, says, link
         self.depth = up.depth + 1 if up else 0
+        self.chars, self.leaf = 0, False
 
 
-def _state(tag: str, attrs: str, up: _Element) -> tuple[float | None, bool]:
-    """What an element says of the text in it, and whether it is inside an article: None for no text at all, else a log-odds."""
-    if up.state is None or tag in _DEAD:
-        return None, up.inside
-    inside = up.inside or tag in ("article", "main")
-    state = up.state
-    if state <= -STRONG:
-        return state, inside
-    if tag in _AGAINST or (tag == "header" and not up.inside):
-        return -STRONG, inside
-    if tag in ("article", "main"):
-        state = STRONG
+def _class_words(value: str) -> tuple[float, bool]:
+    """The greatest share of words against content in one class name or id, and whether some word speaks for it."""
+    most, good = 0.0, False
+    for name in value.split():
+        if _LAYOUT.fullmatch(name):
+            continue
+        words = [w.lower() for w in _CAMEL.split(name) if w]
+        if words:
+            whole = name.lower() in _WORDS_AGAINST
+            most = max(most, 1.0 if whole else sum(w in _WORDS_AGAINST for w in words) / len(words))
+            good = good or any(w in _WORDS_FOR for w in words)
+    return most, good
+
+
+def _says(tag: str, attrs: str, up: _Element) -> list[float] | None:
+    """What the elements down to this one say of the text in it: None for no text at all, else a value for each of ``_SAYS``."""
+    if up.says is None or tag in _DEAD:
+        return None
+    own = tag in ("article", "main") and not up.says[0]
+    if not attrs and not own and tag not in ("article", "main", "nav", "menu", "dir", "footer", "aside", "header"):
+        return up.says
+    says = list(up.says)
+
+    def put(kind: str, value: float = 1.0) -> None:
+        says[_SAYS_AT[kind]] = max(says[_SAYS_AT[kind]], value)
+
+    if own:  # its wrappers' class words are of the layout
+        says = [0.0 if k in ("against", "partly") else x for k, x in zip(_SAYS, says, strict=True)]
+        put("article")
+    elif tag in ("nav", "menu", "dir"):
+        put("nav")
+    elif tag in ("footer", "aside"):
+        put(tag)
+    elif tag == "header" and not up.says[0]:
+        put("header")
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                value = " ".join(w for w in value.split() if not _LAYOUT.fullmatch(w))
-                words = {w.lower() for w in _CAMEL.split(value)} | {value.strip().lower()}
-                # An article of its own is one whatever its class; one within another may be a comment.
-                if (words & _WORDS_AGAINST and (up.inside or tag not in ("article", "main"))) or ("header" in words and not inside and tag[0] != "h"):
-                    return -STRONG, inside
-                if words & _WORDS_FOR and state < 2:
-                    state = 2.0
+                most, good = _class_words(value)
+                if most and not own:
+                    put("against" if most == 1 else "partly")
+                if value.strip().lower() == "header" and not says[0] and tag[0] != "h":
+                    put("header")
+                if good:
+                    put("for")
             elif name == "role":
-                if value.lower() in _ROLES_AGAINST:
-                    return -STRONG, inside
-                if value.lower() in ("main", "article"):
-                    state, inside = STRONG, True
+                role = value.strip().lower()
+                if role in _ROLES_DEAD:
+                    return None
+                if role in _ROLES_AGAINST:
+                    put("role")
+                if role in ("main", "article"):
+                    put("article")
             elif name == "itemprop" and value.lower() == "articlebody":
-                state, inside = STRONG, True
+                put("article")
             elif (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (name == "aria-hidden" and value.lower() == "true"):
-                return -STRONG, inside
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs):
-        return -STRONG, inside
-    return state, inside
+                return None
+        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs):
+            return None
+    return says
 
 
 def blocks_of(page: str) -> list[Block]:
     """All blocks of text of a page, in order; scripts, styles, comments and the head have none."""
-    top = _Element("", None, 0.0, False, False)
+    top = _Element("", None, [0.0] * len(_SAYS), False)
     at, out, parts, linked, pos, raw = top, [], [], 0, 0, None
 
     def flush() -> None:
@@ -125,12 +163,15 @@ def blocks_of(page: str) -> list[Block]:
                 box = at
                 while box.tag not in _BLOCK and box.up:
                     box = box.up
-                out.append(Block(text, min(1.0, linked / max(1, len(text))), box.tag, box.state, box, False))
+                out.append(Block(text, min(1.0, linked / max(1, len(text))), box.tag, at.says, box))
+                box.leaf, up = True, box
+                while up:
+                    up.chars, up = up.chars + len(text) - min(linked, len(text)), up.up
         parts, linked = [], 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if at.state is None or not text:
+        if at.says is None or not text:
             return
         if "&" in text:
             text = html.unescape(text)
@@ -180,39 +221,78 @@ def blocks_of(page: str) -> list[Block]:
                 box = box.up
         if tag in _VOID:
             continue
-        state, inside = _state(tag, attrs, at)
-        at = _Element(tag, at, state, inside, at.link or tag == "a")
+        at = _Element(tag, at, _says(tag, attrs, at), at.link or tag == "a")
     flush()
-    has_article = any(b.odds >= STRONG for b in out)
-    for b in out:
-        b.known = abs(b.odds) >= STRONG
-        if has_article and not b.known:
-            b.odds -= 4.0  # the page says where its article is, and this is elsewhere
     return out
 
 
+def _main_box(blocks: list[Block]) -> _Element:
+    """The deepest element with two thirds of the page's text outside links, of those that hold more than a block."""
+    path: dict[int, _Element] = {}
+    for b in blocks:
+        box = b.parent
+        while box and id(box) not in path:
+            path[id(box)] = box
+            box = box.up
+    whole = max(x.chars for x in path.values())
+    inner = [x for x in path.values() if 3 * x.chars >= 2 * whole and not (x.leaf and x.up)]
+    return max(inner, key=lambda x: x.depth) if inner else max(path.values(), key=lambda x: -x.depth)
+
+
 def features(blocks: list[Block]) -> np.ndarray:
-    rows = np.zeros((len(blocks), 4 + len(_TAGS)))
+    """A row of ``NAMES`` for each block."""
+    rows, n = np.zeros((len(blocks), len(NAMES))), len(blocks)
+    if not n:
+        return rows
+    box, total = _main_box(blocks), sum(len(b.text) for b in blocks)
+    has_article = any(b.says[0] for b in blocks)
+    inside = []
+    for b in blocks:
+        up = b.parent
+        while up and up.depth > box.depth:
+            up = up.up
+        inside.append(up is box)
+    around = max(1, sum(len(b.text) for b, x in zip(blocks, inside, strict=True) if x))
+    last = max((i for i in range(n) if inside[i] and len(blocks[i].text) * 20 > around), default=n - 1)
     for i, b in enumerate(blocks):
-        tag = "h" if re.fullmatch("h[1-6]", b.tag) else b.tag
-        rows[i, :4] = 1, np.log1p(len(b.text)), b.links, min(4, len(_SENTENCE.findall(b.text)))
+        tag, text = "h" if re.fullmatch("h[1-6]", b.tag) else b.tag, b.text
+        up = b.parent.up or b.parent
+        rows[i, :_PLAIN] = (
+            1, np.log1p(len(text)), b.links, min(4, len(_SENTENCE.findall(text))), text[-1] in ".!?…:\"'”’)", bool(re.match(r"[©®™]|\(c\)", text, re.I)),
+            inside[i], len(text) / total, i > last, i == n - 1 and n > 1, up is box)
         if tag in _TAGS:
-            rows[i, 4 + _TAGS.index(tag)] = 1
+            rows[i, _PLAIN + _TAGS.index(tag)] = 1
+        rows[i, -len(_SAYS) - 1 : -1] = b.says
+        rows[i, -1] = has_article and not b.says[0]
     return rows
 
 
+def _plain_meaning(b: Block) -> bool | None:
+    """Whether a block's elements alone make it content (or not) beyond doubt."""
+    says = dict(zip(_SAYS, b.says, strict=True))
+    if any(says[k] for k in ("nav", "footer", "aside", "header", "role", "against")):
+        return False
+    return True if says["article"] and not says["partly"] else None
+
+
 def train(pages: list[str]) -> np.ndarray:
-    """Logistic weights over the text of blocks whose surroundings are of plain meaning; the prior ones where one of the classes is missing."""
+    """Logistic weights, learnt from blocks whose elements are of plain meaning; the prior ones where one of the classes is missing."""
     x, y = [], []
     for page in pages:
-        known = [b for b in blocks_of(page) if b.known]
-        if known:
-            x.append(features(known))
-            y.extend(b.odds > 0 for b in known)
+        blocks = blocks_of(page)
+        known = [_plain_meaning(b) for b in blocks]
+        at = [i for i, k in enumerate(known) if k is not None]
+        if at:
+            x.append(features(blocks)[at])
+            y.extend(known[i] for i in at)
     y = np.array(y, dtype=float)
     if not len(y) or y.min() == y.max():
         return PRIOR
-    x, w = np.concatenate(x), PRIOR.copy()
+    x = np.concatenate(x)
+    bare = x.copy()
+    bare[:, _PLAIN:] = 0
+    bare[:, _PLAIN + _TAGS.index("div")] = 1
+    x, y, w = np.concatenate([x, bare]), np.concatenate([y, y]), PRIOR.copy()
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def loss(v: np.ndarray) -> float:
@@ -231,8 +311,10 @@ def train(pages: list[str]) -> np.ndarray:
 
 
 def _proximity(a: Block, b: Block) -> float:
-    """Weight of the edge between two blocks: by the steps to their common ancestor."""
+    """Weight of the edge between two blocks: by the steps to their common ancestor. A heading goes with what follows it in its element."""
     x, y, steps = a.parent, b.parent, 0
+    if x.up is y.up and re.fullmatch("h[1-6]", a.tag):
+        return 1.6
     while x is not y and steps < 6:
         if x.depth >= y.depth:
             x = x.up
@@ -295,13 +377,9 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     return label
 
 
-def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
-    if not blocks:
-        return []
-    # Where the page itself says something, the text says less.
-    most = np.array([1.5 if b.odds else 3.0 for b in blocks])
-    learnt = np.clip(features(blocks) @ weights, -most, most)
-    odds = [b.odds + float(s) for b, s in zip(blocks, learnt, strict=True)]
+def page_graph(blocks: list[Block], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of the blocks, and the edges between them."""
+    odds = (features(blocks) @ weights).tolist()
     edges = [(i, i + 1, _proximity(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}  # blocks of the same element that aren't next to each other
     for i, b in enumerate(blocks):
@@ -309,7 +387,11 @@ def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
         if box in last and last[box] < i - 1:
             edges.append((last[box], i, 0.4))
         last[box] = i
-    return min_cut(odds, edges)
+    return odds, edges
+
+
+def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+    return min_cut(*page_graph(blocks, weights)) if blocks else []
 
 
 def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
@@ -318,18 +400,36 @@ def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     return "\n".join(b.text for b, keep in zip(blocks, label_blocks(blocks, weights), strict=True) if keep)
 
 
-def extract(df: DataFrame, html_col: str = "html", id_col: str = "page_id", text: str = "text") -> DataFrame:
-    """``df`` without its HTML, with the main text and its length in code points. One row out per row in, repeated ones as well; a clashing column is replaced."""
-    pages = df.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col, F.lit("html")).alias("k"), F.substring(html_col, 1, SAMPLE_CHARS).alias("h"))
-    sample = pages.orderBy("k", "h").limit(SAMPLE_PAGES).collect()
-    weights = train([r["h"] for r in sample])
+def sample_pages(df: DataFrame, html_col: str, most: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
+    """At most ``most`` whole pages of at most ``chars`` characters, by a hash of the page: a count, then a threshold, so that no task sends more than its share."""
+    pages = df.where(F.length(html_col).between(1, chars)).select(F.col(html_col).alias("h"))
+    n = pages.count()
+    if not n:
+        return []
+    luck = F.abs(F.xxhash64("h", F.lit("html"))) / F.lit(float(1 << 63))
+    return [r["h"] for r in pages.where(luck < min(1.0, most / n)).distinct().limit(most).collect()]
+
+
+def extract(df: DataFrame, html_col: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``df`` without its HTML, with the main text and its length in code points.
+
+    One row out per row in, repeated ones as well. A null or empty page has an empty text. ``df``'s other columns stay as they are; where one has the name of a
+    new column, the new one gets leading underscores. An empty input gives no rows.
+    """
+    own = df.columns
+    kept = df.drop(html_col)
+    text_out, n_out = fresh(kept, text, n_chars)
+    df, html_col = positional(df, html_col)
+    weights = train(sorted(sample_pages(df, html_col)))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pages.map(lambda p: main_text(p, weights), na_action=None)
 
-    return df.withColumn(text, run(F.col(html_col))).drop(html_col).withColumn("n_chars", F.length(text).cast("long"))
+    done = df.withColumn("_main", run(F.col(html_col)))
+    names = {f"c{i}": c for i, c in enumerate(own) if f"c{i}" != html_col}
+    return done.select(*[F.col(k).alias(c) for k, c in names.items()], F.col("_main").alias(text_out), F.length("_main").cast("long").alias(n_out))
 
 
 def op7_min_cut(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallylog.llm.html_text import PRIOR, extract, main_text, min_cut, train
+from tallylog.llm.html_text import PRIOR, blocks_of, extract, label_blocks, main_text, min_cut, page_graph, sample_pages, train
 
 LONG = "A long sentence of an article, with many words in it. It goes on for a while, as articles do."
 PAGES = {
@@ -70,3 +71,51 @@ def test_table(spark):
 ])
 def test_layout_classes_leave_the_article(start, end):
     assert main_text(f"<nav>Menu</nav>{start}<p>{LONG}</p><div class='comments'><article class=comment><p>{LONG}</p></article></div>{end}<div class=sidebar>{LONG}</div>") == LONG
+
+
+@pytest.mark.parametrize("attrs", ["id='related-work'", "id=discussion", "class='text share-info'", "class='post-related-notes'"])
+def test_words_in_names_do_not_veto_long_text(attrs):
+    assert main_text(f"<nav>Menu</nav><article><p>{LONG}</p><section {attrs}><h2>More</h2><p>{LONG}</p><p>{LONG}</p></section></article>") == f"{LONG}\nMore\n{LONG}\n{LONG}"
+    assert main_text(f"<div {attrs}><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+
+
+def some_page(rng, i, bare=False):
+    """A page and its article; ``bare``: without a name that tells."""
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n)).capitalize() + "."
+    body = [text(rng.randint(3, 9))[:-1]] + [" ".join(text(rng.randint(5, 14)) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(2, 7))]
+    nav = "".join(f"<li><a href=/{k}>{text(1)[:-1]}</a>" for k in range(rng.randint(3, 8)))
+    box = (lambda name, s: f"<div>{s}</div>") if bare else (lambda name, s: f"<{name}>{s}</{name}>")
+    inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{p}" for p in body[1:])
+    return box("nav", f"<ul>{nav}</ul>") + box("article", inner) + box("footer", f"&copy; {2000 + i} {text(4)}"), "\n".join(body)
+
+
+def test_text_and_place_do_where_names_say_nothing():
+    rng = random.Random(4)
+    weights = train([some_page(rng, i)[0] for i in range(60)])
+    pages = [some_page(rng, i, bare=True) for i in range(60)]
+    assert sum(main_text(page, weights) == want for page, want in pages) >= 57
+
+
+def test_labels_of_whole_pages_are_the_least_cut():
+    rng, turned = random.Random(5), 0
+    for i in range(40):
+        page = some_page(rng, i, bare=True)[0].replace("<p>", "<p><a href=/>x y</a> ", 1)
+        blocks = blocks_of(page)[:14]
+        weights = PRIOR + np.array([rng.uniform(-1, 1) for _ in PRIOR])
+        odds, edges = page_graph(blocks, weights)
+
+        def cost(label, odds=odds, edges=edges):
+            return sum(abs(x) for x, y in zip(odds, label, strict=True) if (x > 0) != y) + sum(w for a, b, w in edges if label[a] != label[b])
+
+        found = label_blocks(blocks, weights)
+        turned += sum((x > 0) != y for x, y in zip(odds, found, strict=True))
+        assert cost(found) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=len(blocks)))))
+    assert turned  # the edges do change labels
+
+
+def test_clashing_columns_and_the_sample(spark):
+    df = spark.createDataFrame([(i, f"<article><p>{LONG} {i}</p></article>", "own", 5) for i in range(300)], "page_id long, html string, text string, n_chars int")
+    out = extract(df).where("page_id = 7").first()
+    assert (out["text"], out["n_chars"], out["_text"]) == ("own", 5, LONG + " 7") and out["_n_chars"] == len(out["_text"])
+    assert 20 <= len(sample_pages(df, "html", most=60)) <= 60 and sample_pages(df, "html", chars=5) == []
+    assert len(sample_pages(df.withColumn("html", F.lit("<p>x")), "html")) == 1
