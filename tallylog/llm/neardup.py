@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, positional, restored, stage_table
 from .components import connected_components
-from .shingles import byte_slices, mix, shingle_sets
+from .shingles import byte_slices, mix, new_key, shingle_sets
 
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Classes of a bucket, or members of a candidate group, that meet in one task.
@@ -63,7 +63,7 @@ def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k: int = N_GRAM) -> DataFrame:
+def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k: int = N_GRAM, key: int = 0) -> DataFrame:
     """(id, n, h1, h2, bands, sketch) of each row: size and 128-bit digest of its set, a hash per band, 16 bits per MinHash value."""
 
     def run(batches: Iterator) -> Iterator:
@@ -71,7 +71,7 @@ def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k
 
         for batch in batches:
             for low, high, texts in byte_slices(batch.column(1)):
-                sets = shingle_sets(texts, k)
+                sets = shingle_sets(texts, k, key)
                 with np.errstate(over="ignore"):
                     digests = [np.array([mix(s, salt).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64) for salt in (11, 12)]
                 values = minhashes(sets, bands * rows)
@@ -203,9 +203,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     coefficient of the sets of k-word runs (of all words together in texts of fewer than k). A text that is null or without words has no links and
     its own id as class, even beside others. A repeated row counts as a copy of the first. An empty input gives no rows.
     """
-    bands, rows = choose_bands(threshold, recall)
+    bands, rows, key = *choose_bands(threshold, recall), new_key()
     kind = df.schema[id_col].dataType.simpleString()
-    docs = stage_table(describe(df, id_col, text_col, bands, rows, k), "sketches")
+    docs = stage_table(describe(df, id_col, text_col, bands, rows, k, key), "sketches")
     worded = docs.where("n > 0")
     reps = worded.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = stage_table(reps, "classes")
@@ -224,7 +224,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             made, keep = [], []
             h1 = batch.column(4).to_pylist()
             for low, _, found in byte_slices(batch.column(1)):
-                for i, s in enumerate(shingle_sets(found, k), low):
+                for i, s in enumerate(shingle_sets(found, k, key), low):
                     with np.errstate(over="ignore"):
                         if int(np.array(mix(s, 11).sum(dtype=np.uint64)).view(np.int64)) == h1[i]:  # else another text under the same id
                             keep.append(i)

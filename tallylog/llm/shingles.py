@@ -1,7 +1,13 @@
-"""Hashes of words and of runs of words, vectorised over whole batches of texts."""
+"""Hashes of words and of runs of words, vectorised over whole batches of texts.
+
+A word's hash is a sum of its bytes, each times a random 64-bit number of its place (multilinear hashing): whatever two different words are, they meet
+with a chance of at most 2**-55, as long as the key is drawn after the texts were written. Operators draw a key for each run.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from functools import lru_cache
 
 import numpy as np
@@ -9,7 +15,13 @@ import numpy as np
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
+#: Words of more bytes than this are hashed one by one (keyed BLAKE2b).
+LONG_WORD = 256
+
+
+def new_key() -> int:
+    """A key for one run."""
+    return secrets.randbits(62)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -22,28 +34,35 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    """base ** i modulo 2**64, for i below n."""
-    out = np.full(n, base, dtype=_U)
-    out[:1] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+def _factors(key: int) -> np.ndarray:
+    """A random number for each place in a word."""
+    return np.random.Generator(np.random.Philox(key)).integers(0, 1 << 64, LONG_WORD, dtype=_U)
 
 
-def word_hashes(texts: list[bytes], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words are runs without ASCII white space. Of all texts: (hash of each word, first word of each text with the total
     at the end, start and end byte of each word in the joined bytes, the joined bytes)."""
     joined = np.frombuffer(b"\n" + b"".join([t + b"\n" for t in texts]), dtype=np.uint8)
     space = _SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
-    size = 1 << max(16, (len(joined) - 1).bit_length())  # a few sizes only, so that the powers are kept
-    base = (_BASE + 2 * salt * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
-    with np.errstate(over="ignore"):
-        sums = np.cumsum((joined.astype(_U) + _U(1)) * _powers(size, base)[: len(joined)])
-        hashes = (sums[ends - 1] - sums[starts - 1]) * _powers(size, pow(base, -1, 1 << 64))[starts]
+    hashes, factors, sizes = np.zeros(len(starts), dtype=_U), _factors(key), ends - starts
+    low = 0
+    while low < len(starts):  # some bytes at a time, as a text may be very long
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + CHUNK, side="right")))
+        part, size = joined[starts[low] : ends[high - 1]], sizes[low:high]
+        letters = part[~space[starts[low] : ends[high - 1]]]
+        at = np.cumsum(size) - size
+        place = np.arange(len(letters), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+        with np.errstate(over="ignore"):
+            terms = factors.take(place, mode="clip")
+            terms *= letters.astype(_U) + _U(1)
+            hashes[low:high] = np.add.reduceat(terms, at) >> _U(8)
+        low = high
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
     text_starts = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return mix(hashes, salt), np.searchsorted(starts, text_starts), starts, ends, joined
+    return mix(hashes), np.searchsorted(starts, text_starts), starts, ends, joined
 
 
 def run_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -89,9 +108,9 @@ def sub_batches(texts: list[bytes], most: int = CHUNK):
         yield low, len(texts)
 
 
-def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int = 5, key: int = 0) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of k words. A text of 1 to k - 1 words has one, of all its words; one without words none."""
-    words, first, _, _, _ = word_hashes(texts)
+    words, first, _, _, _ = word_hashes(texts, key)
     runs = run_hashes(words, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -1,17 +1,19 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-Every run of ``length`` words (a window) that also starts in a document with a smaller id is removed. The suffixes that matter begin at a window; they are
-partitioned by a prefix of variable length, each group gets a tree of its own, and nodes of depth ``length`` with suffixes of several documents are the repeats.
-
-1. *Which prefixes can branch.* In each window the least hash among its eight-word runs is its core; equal windows have equal cores at the same place. Cores
-   are a quarter of all positions, and four bytes and a range of each are exchanged. A core of one document only has no repeat around it and is dropped: this is exact
-   in one direction (a chance agreement of hashes keeps a core too many, and never loses one).
-2. *Suffixes.* Around each core left, the suffixes that begin up to five words before it go to the group of their prefix: the core (depth 8). Equal suffixes
-   within a part of the corpus go as one, from the least id; the others are settled on the spot. Where a core has more than ``HOT`` documents, its suffixes' prefix
-   is all of the window (depth 13): such a group is a single leaf, of which only the least id matters, so it is aggregated and never gathered.
-3. *Trees.* A group's suffixes are sorted by their path (edges are labelled by 64-bit fingerprints of their words, the core's and the window's, 128 bits in all); runs of equal paths are the
-   deep nodes. Every suffix of a node but those of its least id starts a window to remove.
-4. *Removal.* The windows' starts return to their documents, whose covered words go.
+Every run of ``length`` words (a window) that also starts in a document with a smaller id is removed.
+
+1. *Which places can repeat.* In each window the least hash among its eight-word runs is its core; equal windows have equal cores at the same place. A core that
+   only one document has has no repeat around it and is dropped: exact in one direction (a chance agreement of hashes keeps a core too many, and never loses one).
+   Cores are exchanged by ranges of their hash; a range that holds more than ``LOT_BYTES``, as that of a passage everyone has, is dealt into lots, each of which
+   reports its cores' least and greatest documents only.
+2. *Suffixes.* A suffix begins at each core left, and carries its next ``PATH`` words and the five before it, the words themselves. Within a part of the corpus
+   equal ones go as one, from the least id; the others are settled on the spot.
+3. *Groups by prefixes of variable length.* Suffixes are counted by their first word; where more than ``GROUP`` share it, by the first two, then four, then eight. Each group thus
+   fits a task's memory. Where even eight words are shared by more, the prefix is a whole window: its least id is aggregated and met again in salted lots, never gathered.
+4. *Trees.* A task sorts its groups' suffixes by their paths; the depths that neighbours share, in words, make the tree. A node of d words, with those to the left that its suffixes
+   share, is a repeat where left and right make ``length`` or more and its suffixes are of several documents. Every suffix of a node but those of the least id returns the stretch of its
+   deepest such node. Words are compared as words here, not by hashes.
+5. *Removal.* The stretches return to their documents, whose covered words go.
 
 Parts, hash ranges and groups grow in number with the bytes of the corpus, and so stay of one size.
 """
@@ -29,20 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
-from .shingles import byte_slices, mix, run_hashes, sub_batches, word_hashes
-
-LENGTH, CORE = 13, 8
-#: Documents of a core from which on its suffixes are told apart by the whole window at once.
-HOT = 20_000
-#: Bytes of text for each part of the documents and for each range of cores.
-PART_BYTES, RANGE_BYTES = 4 << 20, 10 << 20
+from .shingles import byte_slices, mix, new_key, run_hashes, sub_batches, word_hashes
+
+LENGTH, CORE, PATH = 13, 8, 20
+#: Bytes of text for each part of the documents and for each range of cores; bytes of cores in a lot.
+PART_BYTES, RANGE_BYTES, LOT_BYTES = 4 << 20, 10 << 20, 8 << 20
+#: Suffixes in a group of one prefix, and of several prefixes in one task.
+GROUP = 1 << 15
+#: Lengths of prefixes that are tried in turn. None is longer than a core, as windows reach over less than that to its right.
+LADDER = (1, 2, 4, 8)
+#: Prefixes of one length that may be too frequent: groups grow where there would be more, so that what the driver holds is bounded.
+MOST_PREFIXES = 1 << 20
+#: Lots that a window's suffixes are dealt into where its group is never gathered.
+SALTS = 32
 _NULL_ID = np.iinfo(np.int64).max
 
 
 def _pack(a: np.ndarray) -> bytes:
     """Sorted or small integers, compressed by planes of bytes."""
     a = np.ascontiguousarray(a, dtype="<u4" if a.dtype.itemsize == 4 else "<i8")
-    return zlib.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    return zlib.compress(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes(), 1)
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
@@ -68,8 +76,29 @@ def cores(words: np.ndarray, first: np.ndarray, length: int = LENGTH, core: int
     return runs, places, owner[places]
 
 
-def _ranges(df: DataFrame, bits: int, length: int) -> DataFrame:
-    """(range, docs, counts, keys) rows: for each hash range, the cores that a batch has there."""
+def _groups(a: np.ndarray):
+    """(value, start, end) of each run of equal values."""
+    cut = np.flatnonzero(np.diff(a)) + 1 if len(a) else np.zeros(0, np.int64)
+    edges = [0, *cut.tolist(), len(a)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        if high > low:
+            yield a[low], low, high
+
+
+def _by_doc(doc: np.ndarray) -> tuple[bytes, bytes]:
+    own, counts = np.unique(doc, return_counts=True)
+    return _pack(own), _pack(counts.astype(np.uint32))
+
+
+def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
+
+
+# 1. Cores that several documents have.
+
+
+def _core_lists(df: DataFrame, bits: int, length: int, key: int) -> DataFrame:
+    """(range, docs, counts, keys) rows: for each hash range, the cores that a batch has there, four bytes each."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -78,66 +107,78 @@ def _ranges(df: DataFrame, bits: int, length: int) -> DataFrame:
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             made = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for low, high, texts in byte_slices(batch.column(1)):
-                words, first, *_ = word_hashes(texts)
+                words, first, *_ = word_hashes(texts, key)
                 runs, places, owner = cores(words, first, length)
                 made.append((runs[places] >> np.uint64(32 - bits), ids[low:high][owner]))
-            key, doc = (np.concatenate(x) for x in zip(*made, strict=True))
-            order = np.lexsort((key, doc, key >> np.uint64(32)))
-            key, doc = key[order], doc[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[new], doc[new]
+            found, doc = (np.concatenate(x) for x in zip(*made, strict=True))
+            order = np.lexsort((found, doc, found >> np.uint64(32)))
+            found, doc = found[order], doc[order]
+            new = np.ones(len(found), dtype=bool)
+            new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+            found, doc = found[new], doc[new]
             out = []
-            for r, a, b in _groups((key >> np.uint64(32)).astype(np.int64)):
-                out.append((int(r), *_by_doc(doc[a:b]), (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
+            for r, a, b in _groups((found >> np.uint64(32)).astype(np.int64)):
+                out.append((int(r), *_by_doc(doc[a:b]), (found[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]], ["range", "docs", "counts", "keys"])
 
     return df.mapInArrow(run, "range int, docs binary, counts binary, keys binary")
 
 
-def _groups(a: np.ndarray):
-    """(value, start, end) of each run of equal values."""
-    cut = np.flatnonzero(np.diff(a)) + 1 if len(a) else np.zeros(0, np.int64)
-    edges = [0, *cut.tolist(), len(a)]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        if high > low:
-            yield a[low], low, high
+def _listed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, cores' four bytes) of some rows of one range."""
+    doc = np.concatenate([np.repeat(_unpack(d, "<i8"), _unpack(c, "<u4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)])
+    return doc, np.concatenate([np.frombuffer(k, "<u4") for k in pdf["keys"]])
 
 
-def _shared(parts: int, bits: int, hot: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, keys = [], []
-        for d, c, k in zip(pdf["docs"], pdf["counts"], pdf["keys"], strict=True):
-            docs.append(np.repeat(_unpack(d, "<i8"), _unpack(c, "<u4")))
-            keys.append(np.frombuffer(k, "<u4").astype(np.uint64))
-        doc, key = np.concatenate(docs), np.concatenate(keys) | (np.uint64(int(pdf["range"].iloc[0])) << np.uint64(32))
-        order = np.lexsort((doc, key))
-        doc, key = doc[order], key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        doc, key = doc[new], key[new]
-        starts = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
-        n = np.diff(starts, append=len(key))
-        n = np.repeat(n, n)
-        # The top bit says that the core is hot.
-        doc, key = doc[n > 1], key[n > 1] | ((n[n > 1] > hot).astype(np.uint64) << np.uint64(63))
+def _ends_of(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with the least and the greatest document."""
+    order = np.argsort(keys, kind="stable")
+    keys, low, high = keys[order], low[order], high[order]
+    at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+
+
+def _lot_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    doc, keys = _listed(pdf)
+    keys, low, high = _ends_of(keys, doc, doc)
+    return pd.DataFrame({"range": [pdf["range"].iloc[0]], "keys": [_pack(keys)], "low": [_pack(low)], "high": [_pack(high)]})
+
+
+def _two_docs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cores of a range whose least and greatest documents differ."""
+    keys, low, high = _ends_of(*[np.concatenate([_unpack(b, kind) for b in pdf[c]]) for c, kind in (("keys", "<u4"), ("low", "<i8"), ("high", "<i8"))])
+    return pd.DataFrame({"range": [pdf["range"].iloc[0]], "shared": [_pack(keys[low < high])]})
+
+
+def _return_cores(parts: int, bits: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"part": [], "docs": [], "counts": [], "keys": []})
+        doc, keys = _listed(left)
+        keep = np.isin(keys, _unpack(right["shared"].iloc[0], "<u4"))
+        doc, keys = doc[keep], keys[keep].astype(np.uint64) | (np.uint64(int(left["range"].iloc[0])) << np.uint64(32))
         part = part_of(doc, parts)
-        order = np.lexsort((key, doc, part))
-        doc, key, part = doc[order], key[order], part[order]
-        rows = [(int(p), *_by_doc(doc[a:b]), key[a:b].astype("<u8").tobytes()) for p, a, b in _groups(part)]
+        order = np.lexsort((keys, doc, part))
+        doc, keys, part = doc[order], keys[order], part[order]
+        rows = [(int(p), *_by_doc(doc[a:b]), keys[a:b].astype("<u8").tobytes()) for p, a, b in _groups(part)]
         return pd.DataFrame(rows, columns=["part", "docs", "counts", "keys"])
 
     return run
 
 
-def _by_doc(doc: np.ndarray) -> tuple[bytes, bytes]:
-    own, counts = np.unique(doc, return_counts=True)
-    return _pack(own), _pack(counts.astype(np.uint32))
+def shared_cores(docs: DataFrame, parts: int, bits: int, length: int, key: int, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """(part, docs, counts, keys): the documents of each part and their cores that another document has, too."""
+    held = stage_table(_core_lists(docs, bits, length, key), "cores")
+    lots = held.groupBy("range").agg(F.ceil(F.sum(F.octet_length("keys")) / lot_bytes).cast("int").alias("lots"))
+    dealt = held.join(lots, "range").withColumn("lot", F.pmod(F.xxhash64("docs", "keys"), F.col("lots")).cast("int")).drop("lots")
+    ends = dealt.groupBy("range", "lot").applyInPandas(_lot_ends, "range int, keys binary, low binary, high binary")
+    shared = ends.groupBy("range").applyInPandas(_two_docs, "range int, shared binary")
+    each = shared.join(lots, "range").select("range", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "shared")
+    return dealt.groupBy("range", "lot").cogroup(each.groupBy("range", "lot")).applyInPandas(_return_cores(parts, bits), "part int, docs binary, counts binary, keys binary")
 
 
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
+# 2. Suffixes.
 
 
 def _parted(df: DataFrame, parts: int) -> DataFrame:
@@ -162,140 +203,288 @@ def _open(left: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     return np.array([i for i, _ in rows], dtype=np.int64), [t for _, t in rows]
 
 
-#: A suffix: its core, its window, its document's id, and the place to which the answer returns.
-SUFFIX = np.dtype([("core", "<u8"), ("window", "<u8"), ("id", "<i8"), ("part", "<i4"), ("row", "<i4"), ("start", "<i4")])
-
-
-def _close(rec: np.ndarray) -> bytes:
-    """Suffixes of one part, sorted by core, in columns of byte planes: equal cores, and what is a document's, cost next to nothing."""
-    own, at = np.unique(rec["row"], return_index=True)
-    columns = [np.diff(rec["core"], prepend=np.uint64(0)), rec["window"], rec["row"], rec["start"], own, rec["id"][at]]
-    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
-    return np.array([len(rec), len(own), rec["part"][0]], "<i4").tobytes() + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _unclose(data: bytes) -> np.ndarray:
-    n, m, part = np.frombuffer(data[:12], "<i4").tolist()
-    planes, pos, columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[12:]), np.uint8), 0, []
-    for kind, size in (("<u8", n), ("<u8", n), ("<i4", n), ("<i4", n), ("<i4", m), ("<i8", m)):
-        width = int(kind[2])
-        columns.append(np.ascontiguousarray(planes[pos : pos + width * size].reshape(width, size).T).view(kind).ravel())
-        pos += width * size
-    rec = np.zeros(n, SUFFIX)
-    with np.errstate(over="ignore"):
-        rec["core"] = np.cumsum(columns[0], dtype=np.uint64)
-    rec["window"], rec["row"], rec["start"], rec["part"] = columns[1], columns[2], columns[3], part
-    rec["id"] = columns[5][np.searchsorted(columns[4], columns[2])]
-    return rec
-
-
-def _suffixes(groups: int, bits: int, length: int):
-    """For cogroups of (documents of a part, its cores): rows (kind, key, payload); kind 0: suffixes for group ``key``, 1: hot ones, 2: windows settled, for part ``key``."""
+class Suffixes:
+    """Suffixes of some documents: a row of word numbers each (``LEFT`` before the core, then the path; 0 where the document has none), the words by number, and where each is from."""
+
+    LEFT = LENGTH - CORE
+
+    def __init__(self, codes: np.ndarray, vocabulary: list[bytes], **columns: np.ndarray) -> None:
+        self.codes, self.vocabulary, self.columns = codes, vocabulary, columns
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def take(self, at: np.ndarray) -> Suffixes:
+        return Suffixes(self.codes[at], self.vocabulary, **{k: v[at] for k, v in self.columns.items()})
+
+    def left(self) -> np.ndarray:
+        """How many words there are before each core, of those carried."""
+        return (self.codes[:, : self.LEFT] > 0).sum(axis=1)
+
+    def right(self) -> np.ndarray:
+        return (self.codes[:, self.LEFT :] > 0).sum(axis=1)
+
+    def close(self) -> bytes:
+        """Columns of byte planes, the words that occur renumbered, in the order of paths."""
+        used = np.unique(self.codes)
+        used = used[used > 0]
+        codes = np.where(self.codes > 0, np.searchsorted(used, self.codes) + 1, 0).astype("<u4")
+        order = np.lexsort(codes[:, self.LEFT : self.LEFT + 4].T[::-1])
+        columns = [*codes[order].T, *[self.columns[k][order].astype("<i8") for k in ("id", "row", "start")]]
+        planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+        words = b"\n".join([self.vocabulary[i] for i in used.tolist()])
+        head = np.array([len(codes), codes.shape[1], self.columns["part"][0], len(words)], "<i8").tobytes()
+        return head + zstandard.ZstdCompressor(level=3).compress(words + planes)
+
+    @classmethod
+    def unclose(cls, data: bytes) -> Suffixes:
+        n, width, part, size = np.frombuffer(data[:32], "<i8").tolist()
+        raw = zstandard.ZstdDecompressor().decompress(data[32:])
+        planes, pos, columns = np.frombuffer(raw, np.uint8, offset=size), 0, []
+        for kind in ["<u4"] * width + ["<i8"] * 3:
+            step = n * int(kind[2])
+            columns.append(np.ascontiguousarray(planes[pos : pos + step].reshape(-1, n).T).view(kind).ravel())
+            pos += step
+        own = dict(zip(("id", "row", "start"), columns[width:], strict=True), part=np.full(n, part))
+        return cls(np.stack(columns[:width], axis=1).astype(np.int32), [b"", *raw[:size].split(b"\n")], **own)
+
+    @classmethod
+    def joined(cls, some: list[Suffixes]) -> Suffixes:
+        """All together, with one numbering of words."""
+        number: dict[bytes, int] = {b"": 0}
+        codes = []
+        for s in some:
+            table = np.array([number.setdefault(w, len(number)) for w in s.vocabulary], np.int32)
+            codes.append(table[s.codes])
+        return cls(np.concatenate(codes), list(number), **{k: np.concatenate([s.columns[k] for s in some]) for k in some[0].columns})
+
+
+def settle(suffixes: Suffixes) -> tuple[Suffixes, Suffixes]:
+    """(suffixes of the least id among those that are equal, the others)."""
+    mark = np.zeros(len(suffixes), np.uint64)
+    for c in suffixes.codes.T:
+        mark = mix(mark ^ c.astype(np.uint64))
+    order = np.lexsort((suffixes.columns["id"], mark))
+    codes, ids = suffixes.codes[order], suffixes.columns["id"][order]
+    head = np.ones(len(order), bool)
+    head[1:] = (codes[1:] != codes[:-1]).any(axis=1)
+    least = ids[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return suffixes.take(order[ids == least]), suffixes.take(order[ids > least])
+
+
+def _answers(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """(row, start, length) of stretches to remove."""
+    return np.stack([rows, starts, lengths]).astype("<i4").tobytes()
+
+
+def _suffixes(length: int, bits: int, key: int):
+    """For cogroups of (documents of a part, its cores): rows (kind, part, payload); kind 0: suffixes, 2: stretches settled."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"kind": [], "key": [], "payload": []})
+        none = pd.DataFrame({"kind": [], "part": [], "payload": []})
         if not len(left) or not len(right):
             return none
         part = int(left["part"].iloc[0])
         ids, texts = _open(left)
         doc = np.concatenate([np.repeat(_unpack(d, "<i8"), _unpack(c, "<u4")) for d, c in zip(right["docs"], right["counts"], strict=True)])
-        key = np.concatenate([np.frombuffer(k, "<u8") for k in right["keys"]])
-        hot_keys = np.unique(key[key >> np.uint64(63) == 1] ^ np.uint64(1 << 63))
-        wanted = np.unique(mix(doc.view(np.uint64), 8) ^ (key & np.uint64((1 << 63) - 1)))
-        found = []
+        wanted = np.unique(mix(doc.view(np.uint64), 8) ^ np.concatenate([np.frombuffer(k, "<u8") for k in right["keys"]]))
+        number: dict[bytes, int] = {b"": 0}
+        span, found = np.arange(-Suffixes.LEFT, PATH), []
         for low, high in sub_batches(texts):
-            words, first, *_ = word_hashes(texts[low:high])
+            words, first, begin, end, joined = word_hashes(texts[low:high], key)
             runs, places, owner = cores(words, first, length)
-            short = runs[places] >> np.uint64(32 - bits)
-            keep = np.isin(mix(ids[low:high][owner].view(np.uint64), 8) ^ short, wanted)
-            places, owner, short = places[keep], owner[keep], short[keep]
-            windows = run_hashes(words, length, 6)
-            for o in range(length - CORE + 1):
-                at = places - o
-                ok = (at >= first[owner]) & (at + length <= first[owner + 1])
-                rec = np.zeros(int(ok.sum()), dtype=SUFFIX)
-                rec["core"], rec["window"] = runs[places[ok]], windows[at[ok]]
-                rec["id"], rec["part"], rec["row"], rec["start"] = ids[low:high][owner[ok]], part, owner[ok] + low, at[ok] - first[owner[ok]]
-                found.append((rec, np.isin(short[ok], hot_keys)))
-        rec, hot = np.concatenate([r for r, _ in found]), np.concatenate([h for _, h in found])
-        # A window may lie around two cores: once is enough. Of equal windows, those with the part's least id go on.
-        order = np.lexsort((rec["start"], rec["row"], rec["id"], rec["window"], rec["core"]))
-        rec, hot = rec[order], hot[order]
-        head = np.ones(len(rec), bool)
-        head[1:] = (rec["core"][1:] != rec["core"][:-1]) | (rec["window"][1:] != rec["window"][:-1])
-        least = rec["id"][np.maximum.accumulate(np.where(head, np.arange(len(rec)), 0))]
-        settled = rec[rec["id"] > least]
-        go = rec["id"] == least
-        rec, hot, head = rec[go], hot[go], head[go]
-        out = []
-        if len(settled):
-            out.append((2, part, _answers(settled)))
-        group = (rec["core"] >> np.uint64(20)) % np.uint64(groups)
-        for kind in (0, 1):
-            at = np.flatnonzero(hot == bool(kind))
-            at = at[np.argsort(group[at], kind="stable")]
-            out.extend((kind, int(g), _close(rec[at[a:b]])) for g, a, b in _groups(group[at]))
-        return pd.DataFrame(out, columns=["kind", "key", "payload"]) if out else none
+            keep = np.isin(mix(ids[low:high][owner].view(np.uint64), 8) ^ (runs[places] >> np.uint64(32 - bits)), wanted)
+            places, owner = places[keep], owner[keep]
+            if not len(places):
+                continue
+            at = places[:, None] + span[None, :]
+            inside = (at >= first[owner][:, None]) & (at < first[owner + 1][:, None])
+            at = np.where(inside, at, 0)
+            used, data = np.unique(at[inside]), joined.tobytes()
+            table = np.zeros(len(words), np.int32)
+            table[used] = [number.setdefault(data[x:y], len(number)) for x, y in zip(begin[used].tolist(), end[used].tolist(), strict=True)]
+            found.append((np.where(inside, table[at], 0), ids[low:high][owner], owner + low, places - first[owner]))
+        if not found:
+            return none
+        codes, own, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        go, others = settle(Suffixes(codes, list(number), id=own, row=row, start=start, part=np.full(len(own), part)))
+        before = others.left()
+        out = [(2, part, _answers(others.columns["row"], others.columns["start"] - before, before + others.right()))] if len(others) else []
+        return pd.DataFrame([(0, part, go.close()), *out], columns=["kind", "part", "payload"])
 
     return run
 
 
-def _answers(rec: np.ndarray) -> bytes:
-    """(row, start) pairs."""
-    return np.stack([rec["row"], rec["start"]]).astype("<i4").tobytes()
+# 3. Groups by prefixes.
+
+
+def _assigned(suffixes: Suffixes, key: int, heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix, level) of each suffix: the shortest of ``LADDER`` that isn't among the frequent ones; level ``len(heavy)`` where all those known so far are."""
+    words = np.zeros(len(suffixes.vocabulary), np.uint64)
+    words[1:] = word_hashes([b"\n".join(suffixes.vocabulary[1:])], key)[0]
+    path, mark = suffixes.codes[:, Suffixes.LEFT :], np.zeros(len(suffixes), np.uint64)
+    prefix, level = mark, np.zeros(len(suffixes), np.int64)
+    for k in range(min(len(heavy) + 1, len(LADDER))):
+        for j in range(LADDER[k - 1] if k else 0, LADDER[k]):
+            mark = mix(mark ^ words[path[:, j]])
+        here = level == k
+        prefix = np.where(here, mark, prefix)
+        if k < len(heavy):
+            level = level + (here & np.isin(mark, heavy[k]))
+    return prefix, level
+
+
+def frequent_prefixes(found: DataFrame, key: int, group: int = GROUP) -> tuple[list[np.ndarray], int]:
+    """For each length of ``LADDER`` the prefixes that more suffixes share than fit a group, as hashes; and the number of suffixes. At most ``MOST_PREFIXES`` a length get to the driver."""
+    heavy: list[np.ndarray] = []
+    total = 0
+    for k in range(len(LADDER)):
+
+        def counts(batches: Iterator[pd.DataFrame], heavy: list[np.ndarray] = tuple(heavy), k: int = k) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for p in pdf["payload"]:
+                    prefix, level = _assigned(Suffixes.unclose(p), key, list(heavy))
+                    own, n = np.unique(prefix[level == k], return_counts=True)
+                    yield pd.DataFrame({"prefix": own.view(np.int64), "n": n})
+
+        counted = found.where("kind = 0").select("payload").mapInPandas(counts, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+        if not k:
+            counted = stage_table(counted, "prefixes")
+            total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            group = max(group, total // MOST_PREFIXES)
+        rows = counted.where(F.col("n") > group).select("prefix").collect()
+        heavy.append(np.array(sorted(r["prefix"] for r in rows), np.int64).view(np.uint64))
+        if not rows:
+            break
+    return heavy, total
+
+
+def _dealt(found: DataFrame, key: int, heavy: list[np.ndarray], tasks: int) -> DataFrame:
+    """(task, payload): suffixes by group; task -1: those whose core itself is too frequent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf["payload"]:
+                suffixes = Suffixes.unclose(p)
+                prefix, level = _assigned(suffixes, key, heavy)
+                task = np.where(level >= len(LADDER), -1, (mix(prefix, 3) % np.uint64(tasks)).astype(np.int64))
+                order = np.argsort(task, kind="stable")
+                yield pd.DataFrame([(int(t), suffixes.take(order[a:b]).close()) for t, a, b in _groups(task[order])], columns=["task", "payload"])
+
+    return found.where("kind = 0").select("payload").mapInPandas(run, "task int, payload binary")
+
+
+# 4. Trees.
+
+
+def shared_depths(path: np.ndarray) -> np.ndarray:
+    """For sorted paths, how many words each shares with the one before it."""
+    n, width = path.shape
+    if not n:
+        return np.zeros(0, np.int64)
+    differ = np.ones((n - 1, width + 1), bool)
+    differ[:, :width] = path[1:] != path[:-1]
+    depth = np.minimum(differ.argmax(axis=1), np.minimum((path[1:] > 0).sum(axis=1), (path[:-1] > 0).sum(axis=1)))
+    return np.concatenate([[0], depth])
 
 
-def deep_nodes(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of a group, sorted by path, and a number that is equal for those under the same node of full depth. A sorted list of suffixes with the depths common to neighbours is the tree."""
-    order = np.lexsort((rec["id"], rec["window"], rec["core"]))
-    rec = rec[order]
-    common = np.zeros(len(rec), dtype=np.int64)  # depth that a suffix shares with the one before: none, the core's, the window's
-    same = rec["core"][1:] == rec["core"][:-1]
-    common[1:][same] = CORE
-    common[1:][same & (rec["window"][1:] == rec["window"][:-1])] = LENGTH
-    return rec, np.cumsum(common < LENGTH)
+def _least(starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id of the run that each row is in; ``starts`` marks where runs begin."""
+    at = np.flatnonzero(starts)
+    return np.minimum.reduceat(ids, at)[np.cumsum(starts) - 1]
 
 
-def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows to remove, by part, from all suffixes of a group."""
-    rec, node = deep_nodes(np.concatenate([_unclose(p) for p in pdf["payload"]]))
-    first = np.flatnonzero(np.diff(node, prepend=0))
-    least = rec["id"][first][node - 1]
-    rec = rec[rec["id"] > least]
-    rec = rec[np.argsort(rec["part"], kind="stable")]
-    return pd.DataFrame([(int(p), _answers(rec[a:b])) for p, a, b in _groups(rec["part"])], columns=["part", "windows"])
+def repeats(suffixes: Suffixes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the repeat of each suffix that is in a document with a smaller id, too; length 0 where there is none.
 
+    Cutting the tree at depth d leaves its nodes of d words as runs of the sorted suffixes. At the core itself nodes of ``length`` words and more count; with o words
+    to the left, nodes of ``length`` - o words, each split by these words.
+    """
+    n = len(suffixes)
+    path, before = suffixes.codes[:, Suffixes.LEFT :], suffixes.codes[:, : Suffixes.LEFT][:, ::-1]
+    order = np.lexsort(path.T[::-1])
+    path, before, ids = path[order], before[order], suffixes.columns["id"][order]
+    depth, right, left = shared_depths(path), (path > 0).sum(axis=1), (before > 0).sum(axis=1)
+    deepest = np.zeros(n, np.int64)
+    for d in range(length, path.shape[1] + 1):
+        late = ids > _least(depth < d, ids)
+        if not late.any():
+            break
+        deepest[late & (right >= d)] = d
+    least_left, most_left = np.where(deepest > 0, 0, n + length), np.zeros(n, np.int64)
+    for o in range(1, length - CORE + 1):
+        node = np.cumsum(depth < length - o)
+        ok = np.flatnonzero((left >= o) & (right >= length - o))
+        if not len(ok):
+            continue
+        keys = [before[ok, j] for j in range(o)] + [node[ok]]
+        by = np.lexsort(keys)
+        start = np.ones(len(ok), bool)
+        start[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
+        at = ok[by][ids[ok][by] > _least(start, ids[ok][by])]
+        least_left[at] = np.minimum(least_left[at], o)
+        most_left[at] = o
+    # One stretch a suffix: its windows follow each other by five words at most, so they leave no hole.
+    some = least_left <= length
+    end = np.where(deepest > 0, deepest, length - least_left)
+    starts, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts[order] = suffixes.columns["start"][order] - most_left
+    lengths[order] = np.where(some, end + most_left, 0)
+    return starts, lengths
+
+
+def _trees(length: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        suffixes = Suffixes.joined([Suffixes.unclose(p) for p in pdf["payload"]])
+        starts, lengths = repeats(suffixes, length)
+        at = np.flatnonzero(lengths)
+        part, row = suffixes.columns["part"], suffixes.columns["row"]
+        at = at[np.argsort(part[at], kind="stable")]
+        return pd.DataFrame([(int(p), _answers(row[at[a:b]], starts[at[a:b]], lengths[at[a:b]])) for p, a, b in _groups(part[at])], columns=["part", "payload"])
+
+    return run
 
-def _hot_repeats(found: DataFrame) -> DataFrame:
-    """The same for hot cores: rows of single suffixes, least ids aggregated before any exchange, joined back in salted lots."""
+
+def _hot_repeats(dealt: DataFrame, length: int) -> DataFrame:
+    """The same where the core is too frequent: the prefix is a whole window, as words. Its least id is aggregated before any exchange, and joined back in salted lots."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p in pdf["payload"]:
-                r = _unclose(p)
-                yield pd.DataFrame({"core": r["core"].view(np.int64), "win": r["window"].view(np.int64), "id": r["id"], "part": r["part"], "row": r["row"], "start": r["start"]})
-
-    each = found.where("kind = 1").select("payload").mapInPandas(rows, "core long, win long, id long, part int, row int, start int")
-    least = each.groupBy("core", "win").agg(F.min("id").alias("least"))
-    late = each.join(least, ["core", "win"]).where("id > least")
-    lists = late.groupBy("part").agg(F.collect_list(F.struct("row", "start")).alias("w"))
+                s = Suffixes.unclose(p)
+                left, right, own = s.left(), s.right(), s.columns
+                for o in range(length - CORE + 1):
+                    at = np.flatnonzero((left >= o) & (right >= length - o))
+                    window = s.codes[at, Suffixes.LEFT - o : Suffixes.LEFT - o + length]
+                    text = [b" ".join([s.vocabulary[i] for i in w]) for w in window.tolist()]
+                    yield pd.DataFrame({"win": text, "id": own["id"][at], "part": own["part"][at], "row": own["row"][at], "start": own["start"][at] - o})
+
+    each = dealt.where("task = -1").select("payload").mapInPandas(rows, "win binary, id long, part int, row int, start int")
+    least = each.groupBy("win").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").drop("most")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    late = each.withColumn("salt", F.pmod(F.xxhash64("part", "row"), F.lit(SALTS)).cast("int")).join(least, ["win", "salt"]).where("id > least")
+    lists = late.groupBy("part").agg(F.collect_list(F.struct("row", "start")).alias("w"))  # no more than a part's own places
 
     def blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"part": pdf["part"], "windows": [np.array([(x["row"], x["start"]) for x in w], "<i4").reshape(-1, 2).T.tobytes() for w in pdf["w"]]})
+            pairs = [np.array([(x["row"], x["start"]) for x in w]).reshape(-1, 2) for w in pdf["w"]]
+            yield pd.DataFrame({"part": pdf["part"], "payload": [_answers(p[:, 0], p[:, 1], np.full(len(p), length)) for p in pairs]})
+
+    return lists.mapInPandas(blobs, "part int, payload binary")
+
 
-    return lists.mapInPandas(blobs, "part int, windows binary")
+# 5. Removal.
 
 
-def _removal(length: int, with_text: bool):
+def _removal(with_text: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
+        columns = ["id", "n_words", "n_removed", "kept_sha256", *["kept", "removed"] * with_text]
         if not len(left):
             return pd.DataFrame(columns=columns)
         ids, texts = _open(left)
-        pairs = np.concatenate([np.frombuffer(b, "<i4").reshape(2, -1) for b in right["windows"]], axis=1) if len(right) else np.zeros((2, 0), np.int32)
-        order = np.argsort(pairs[0], kind="stable")
-        starts = {int(r): pairs[1][order[a:b]] for r, a, b in _groups(pairs[0][order])}
+        cuts = np.concatenate([np.frombuffer(b, "<i4").reshape(3, -1) for b in right["payload"]], axis=1) if len(right) else np.zeros((3, 0), np.int32)
+        order = np.argsort(cuts[0], kind="stable")
+        stretches = {int(r): cuts[1:, order[a:b]] for r, a, b in _groups(cuts[0][order])}
         unpack, again = zstandard.ZstdDecompressor(), {}
         if len(ids) < len(left):  # repeated rows
             for i, z in zip(left["id"], left["z"], strict=True):
@@ -303,46 +492,50 @@ def _removal(length: int, with_text: bool):
                 again[k] = again.get(k, 0) + 1
         out = []
         for low, high in sub_batches(texts):
-            _, first, begin, end, joined = word_hashes(texts[low:high])
-            data = joined.tobytes()
-            for i in range(high - low):
-                a, b = int(first[i]), int(first[i + 1])
-                n, removed = b - a, 0
-                at = starts.get(low + i)
-                spans = [data[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]
-                if at is not None:
+            for i in range(low, high):
+                words = texts[i].split()  # bytes split at ASCII white space, as words are
+                n, keep, edges = len(words), None, ()
+                if i in stretches:
                     cover = np.zeros(n + 1, np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + length, -1)
+                    np.add.at(cover, stretches[i][0], 1)
+                    np.add.at(cover, stretches[i].sum(axis=0), -1)
                     keep = np.cumsum(cover[:n]) == 0
-                    removed = int(n - keep.sum())
-                    spans = [s for s, k in zip(spans, keep.tolist(), strict=True) if k]
-                kept = b" ".join(spans)
-                row = (ids[low + i], n, removed, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else []))
-                out.extend([row] * again.get((int(ids[low + i]), texts[low + i]), 1))
+                    edges = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]])))
+                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                kept = b" ".join(words)
+                row = [ids[i], n, n - len(words), hashlib.sha256(kept).hexdigest()]
+                if with_text:
+                    row += [kept.decode("utf-8", "replace"), [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]]
+                out.extend([row] * again.get((int(ids[i]), texts[i]), 1))
         return pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """One row per row of ``df``: (id, n_words, n_removed, kept_sha256), and the kept words as ``kept`` if ``with_text``.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, lot_bytes: int = LOT_BYTES, with_text: bool = False) -> DataFrame:
+    """One row per row of ``df``: (id, n_words, n_removed, kept_sha256); if ``with_text`` also the kept words as ``kept`` and the stretches ``removed`` (first word, first after it).
 
     Words are runs without ASCII white space. A null or empty text has none. Rows with the same id never remove each other's words, and repeated
     rows get the same answer each; null ids count as the greatest. Other columns of ``df`` are not carried. An empty input gives no rows.
+    ``length`` is 9 to 13.
     """
+    if not CORE < length <= LENGTH:
+        raise ValueError("length must be 9 to 13")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts, bits = max(16, size // PART_BYTES), min(28, max(4, int(size // RANGE_BYTES).bit_length()))
+    parts, bits, key = max(16, size // PART_BYTES), min(28, max(4, int(size // RANGE_BYTES).bit_length())), new_key()
     texts = _parted(docs, parts)
-    shared = _ranges(docs, bits, length).groupBy("range").applyInPandas(_shared(parts, bits, hot), "part int, docs binary, counts binary, keys binary")
-    found = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_suffixes(max(16, parts // 4), bits, length), "kind int, key int, payload binary")
+    shared = shared_cores(docs, parts, bits, length, key, lot_bytes)
+    found = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_suffixes(length, bits, key), "kind int, part int, payload binary")
     found = stage_table(found, "suffixes")
-    windows = found.where("kind = 2").select(F.col("key").alias("part"), F.col("payload").alias("windows"))
-    trees = found.where("kind = 0").groupBy("key").applyInPandas(_repeats, "part int, windows binary")
-    windows = stage_table(windows.unionByName(trees).unionByName(_hot_repeats(found)), "windows")
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    done = texts.groupBy("part").cogroup(windows.groupBy("part")).applyInPandas(_removal(length, with_text), schema)
+    heavy, total = frequent_prefixes(found, key, group)
+    dealt = _dealt(found, key, heavy, max(16, total // group))
+    cuts = found.where("kind = 2").select("part", "payload").unionByName(dealt.where("task >= 0").groupBy("task").applyInPandas(_trees(length), "part int, payload binary"))
+    if len(heavy) == len(LADDER) and len(heavy[-1]):
+        cuts = cuts.unionByName(_hot_repeats(dealt, length))
+    cuts = stage_table(cuts, "stretches")
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<struct<start:long,end:long>>" * with_text
+    done = texts.groupBy("part").cogroup(cuts.groupBy("part")).applyInPandas(_removal(with_text), schema)
     return done.withColumn("id", F.when(F.col("id") != int(_NULL_ID), F.col("id"))).withColumnRenamed("id", id_col)
 
 

@@ -60,8 +60,62 @@ def test_random(spark, seed):
     check(spark, shared(seed))
 
 
-def test_hot_cores(spark):
-    check(spark, shared(4) + odd_documents()[60:100], hot=1)
+@pytest.mark.parametrize("group, lot_bytes", [(1, 40), (3, 200), (20, 1000)])
+def test_prefixes_grow_and_hot_ones_are_never_gathered(spark, group, lot_bytes):
+    check(spark, shared(4) + odd_documents()[60:100], group=group, lot_bytes=lot_bytes)
+
+
+def test_prefixes_of_several_lengths(spark):
+    rng = random.Random(7)
+    passages = [f"the same {'old ' * (i % 4)}start " + words(rng, 30, 50) for i in range(12)]
+    docs = [(i, words(rng, rng.randint(0, 9), 60) + " " + rng.choice(passages) + " " + words(rng, 5, 60), "en", "s") for i in range(60)]
+    for group in (4, 12, 40):
+        check(spark, docs, group=group)
+
+
+def test_a_passage_in_every_document(spark):
+    """With the sizes of production: in the first, before and after other words, in the midst, twice."""
+    rng = random.Random(8)
+    passage = words(rng, 60, 9000)
+    check(spark, [(i, f"{words(rng, rng.randint(0, 20), 9000)} {passage} {words(rng, rng.randint(0, 20), 9000)} {passage if i % 7 == 0 else ''}", "en", "s") for i in range(400)])
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_words_that_collide_modulo_powers_of_two(spark, n):
+    x, y = thue_morse(n, "ab", "ba"), thue_morse(n, "ba", "ab")
+    line = [f"w{i}" for i in range(12)]
+    docs = [(1, " ".join(line[:6] + [x] + line[6:]), "en", "s"), (2, " ".join(line[:6] + [y] + line[6:]), "en", "s"), (3, " ".join(line[:6] + [x] + line[6:]), "en", "s")]
+    check(spark, docs)
+    check(spark, docs, group=1)
+
+
+def test_words_are_compared_even_if_all_hashes_agree(spark, monkeypatch):
+    """Trees hold words: with every core equal, nothing is removed but true repeats."""
+    import numpy as np
+
+    rng = random.Random(9)
+    texts = [words(rng, 16, 5) for _ in range(60)]
+    codes, vocabulary = [], {b"": 0}
+    for t in texts:
+        w = [vocabulary.setdefault(x.encode(), len(vocabulary)) for x in t.split()]
+        codes.append(([0] * 5 + w + [0] * substring.PATH)[3 : 3 + 5 + substring.PATH])
+    suffixes = substring.Suffixes(np.array(codes, np.int32), list(vocabulary), id=np.arange(60), row=np.arange(60), start=np.zeros(60, np.int64), part=np.zeros(60, np.int64))
+    starts, lengths = substring.repeats(suffixes)
+    for i, t in enumerate(texts):
+        w = t.split()
+        shares = any(tuple(w[:13]) == tuple(o.split()[:13]) for o in texts[:i])
+        assert bool(lengths[i]) == shares
+
+
+def test_nodes_have_real_depths():
+    import numpy as np
+
+    path = np.array([[1, 2, 3, 0], [1, 2, 3, 4], [1, 2, 5, 0], [2, 0, 0, 0], [2, 0, 0, 0]])
+    assert substring.shared_depths(path).tolist() == [0, 3, 2, 0, 1]
 
 
 def test_repeated_words(spark):
@@ -72,5 +126,6 @@ def test_kept_text_and_nothing(spark):
     text = words(random.Random(1), 30, 9000)
     rows = substring.remove_repeats(table(spark, [(1, text, "en", "s"), (2, "x y " + text + " z", "en", "s")]), with_text=True).collect()
     assert {r["doc_id"]: r["kept"] for r in rows} == {1: text, 2: "x y z"}
+    assert {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in rows} == {1: [], 2: [(2, 32)]}
     assert substring.remove_repeats(table(spark, [])).collect() == []
     check(spark, [(1, None, None, None), (2, "", "en", "s")])
