@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stage_table
 from .shingles import byte_slices, mix, new_key, run_hashes, sub_batches, word_hashes
 
-LENGTH, CORE, PATH = 13, 8, 20
+LENGTH, CORE, PATH = 13, 8, 16
 #: Bytes of text for each part of the documents and for each range of cores; bytes of cores in a lot.
 PART_BYTES, RANGE_BYTES, LOT_BYTES = 4 << 20, 10 << 20, 8 << 20
 #: Suffixes in a group of one prefix, and of several prefixes in one task.
@@ -225,12 +225,18 @@ class Suffixes:
         return (self.codes[:, self.LEFT :] > 0).sum(axis=1)
 
     def close(self) -> bytes:
-        """Columns of byte planes, the words that occur renumbered, in the order of paths."""
-        used = np.unique(self.codes)
-        used = used[used > 0]
-        codes = np.where(self.codes > 0, np.searchsorted(used, self.codes) + 1, 0).astype("<u4")
-        order = np.lexsort(codes[:, self.LEFT : self.LEFT + 4].T[::-1])
-        columns = [*codes[order].T, *[self.columns[k][order].astype("<i8") for k in ("id", "row", "start")]]
+        """Columns of byte planes in the order of paths. Words are numbered as they come, so that a new one, as most are, is 1; others are their number and 2, none is 0."""
+        order = np.lexsort(self.codes[:, self.LEFT : self.LEFT + 4].T[::-1])
+        flat = self.codes[order].ravel()
+        first = np.full(len(self.vocabulary), -1)
+        first[flat[::-1]] = np.arange(len(flat))[::-1]
+        first[0] = -1
+        new = (first[flat] == np.arange(len(flat))) & (flat > 0)
+        used = flat[new]
+        number = np.zeros(len(self.vocabulary), np.int64)
+        number[used] = np.arange(len(used)) + 2
+        codes = np.where(new, 1, number[flat]).astype("<u4").reshape(len(order), -1)
+        columns = [*codes.T, *[self.columns[k][order].astype("<i8") for k in ("id", "row", "start")]]
         planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
         words = b"\n".join([self.vocabulary[i] for i in used.tolist()])
         head = np.array([len(codes), codes.shape[1], self.columns["part"][0], len(words)], "<i8").tobytes()
@@ -246,7 +252,10 @@ class Suffixes:
             columns.append(np.ascontiguousarray(planes[pos : pos + step].reshape(-1, n).T).view(kind).ravel())
             pos += step
         own = dict(zip(("id", "row", "start"), columns[width:], strict=True), part=np.full(n, part))
-        return cls(np.stack(columns[:width], axis=1).astype(np.int32), [b"", *raw[:size].split(b"\n")], **own)
+        codes = np.stack(columns[:width], axis=1).astype(np.int32)
+        new = (codes == 1).ravel()
+        codes = np.where(new, np.cumsum(new), np.maximum(codes.ravel() - 1, 0)).reshape(n, width)
+        return cls(codes.astype(np.int32), [b"", *raw[:size].split(b"\n")], **own)
 
     @classmethod
     def joined(cls, some: list[Suffixes]) -> Suffixes:
@@ -300,8 +309,9 @@ def _suffixes(length: int, bits: int, key: int):
             at = places[:, None] + span[None, :]
             inside = (at >= first[owner][:, None]) & (at < first[owner + 1][:, None])
             at = np.where(inside, at, 0)
-            used, data = np.unique(at[inside]), joined.tobytes()
-            table = np.zeros(len(words), np.int32)
+            data, table = joined.tobytes(), np.zeros(len(words), np.int32)
+            table[at[inside]] = 1
+            used = np.flatnonzero(table)
             table[used] = [number.setdefault(data[x:y], len(number)) for x, y in zip(begin[used].tolist(), end[used].tolist(), strict=True)]
             found.append((np.where(inside, table[at], 0), ids[low:high][owner], owner + low, places - first[owner]))
         if not found:
