@@ -1,15 +1,16 @@
-"""Best-fit packing into sequences of fixed length, in bulk-synchronous supersteps over runs.
-
-Only the last piece of a document can be shorter than a sequence, and a length is one of at most ``capacity`` integers. So
-documents of one length, and gaps of one size, are interchangeable: the sorted lists of documents and of gaps are kept
-run-length encoded, as (length, how many). A superstep takes the longest run of documents left, finds the successor of its length
-among the gaps, matches documents to gaps by their rank in the two runs (the ranks beyond the shorter run are the conflicts,
-and go to the next successor), updates the gaps and repeats; what finds no gap opens sequences. This is best fit in
-decreasing order, exactly, with at most a few supersteps a run.
-
-The rows never take part in the supersteps. They are ranked within their length by a distributed prefix sum (lengths dealt into salted
-cells, as one length may hold a third of all rows), and one last pass looks the ranks up in the plan, which is bounded by the
-number of lengths and not by the rows.
+"""Best-fit packing into sequences of fixed length, in bulk-synchronous supersteps.
+
+Only the last piece of a document can be shorter than a sequence, and a length is one of at most ``capacity`` integers. So documents of one length, and gaps of one size, are
+interchangeable: documents and gaps are tables of runs, (length, how many) and (gap, first sequence, how many), in order of size. A superstep takes the documents of one octave of lengths,
+the longest first, and the gaps that can hold them. A sweep over both finds each run's successor among the gaps, matches documents to gaps by their rank in the two runs (the
+ranks beyond the shorter run are the conflicts, and go to the next successor), and updates the gaps; what finds no gap opens sequences. The gaps are written, and
+the next octave follows: this is best fit in decreasing order, exactly. The driver sees how many documents there are, and nothing else.
+
+Where documents are more than ``STRIPE``, they are dealt by rank into stripes of so many, whose sweeps run side by side with gaps of their own: a task's table has a few
+rows a length, whatever the corpus, and packing costs at most one sequence a stripe more.
+
+Rows never take part in the supersteps. They are ranked within their length by a distributed prefix sum (lengths dealt into salted
+cells, as one length may hold a third of all rows), and meet their run's places in one last join.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import cell_offsets, md5_long, salts_for, stage_table
 
 CAPACITY = 4096
 END_ID = 1
+#: Documents whose runs are swept together.
+STRIPE = 4_000_000
 #: Words whose ids a worker keeps at a time.
 CACHED_WORDS = 200_000
 
@@ -132,39 +135,79 @@ def pieces(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, in
     return [(k, k * capacity, len(part := ids[k * width : (k + 1) * width]) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // width))]
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), sorted: documents of a length from that rank on, up to the next row's, go to sequences from that number on."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, how many)
-    sizes: list[int] = []  # the gaps there are, ascending
-    plan, opened = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
+def sweep(counts: dict[int, int], gaps: list[tuple[int, int, int]], opened: int, capacity: int = CAPACITY) -> tuple[list, list, int]:
+    """One superstep over runs of documents (length: how many) and of gaps (gap, first sequence, how many).
 
+    Returns (rows (length, first rank, first sequence, offset): documents of a length from that rank on, up to the next row's, go to sequences from that number on;
+    the gaps left; the number of sequences opened so far).
+    """
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for gap, first, n in gaps:
+        by_size.setdefault(gap, []).append((first, n))
+    sizes, plan = sorted(by_size), []
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
-            at = bisect.bisect_left(sizes, length)
+            at = bisect.bisect_left(sizes, length)  # the successor
             if at < len(sizes):
                 gap = sizes[at]
-                first, n = gaps[gap].pop()
+                first, n = by_size[gap].pop()
                 took = min(n, left)
                 if took < n:
-                    gaps[gap].append((first + took, n - took))
-                elif not gaps[gap]:
-                    del gaps[gap], sizes[at]
+                    by_size[gap].append((first + took, n - took))
+                elif not by_size[gap]:
+                    del by_size[gap], sizes[at]
             else:
                 gap, first = capacity, opened
                 took = -(-left // (capacity // length))  # each new one takes as many of this run as fit
                 opened += took
             plan.append((length, rank, first, capacity - gap))
             rank, left = rank + took, left - took
-            add(gap - length, first, took)
-    return np.array(sorted(plan), dtype=np.int64).reshape(-1, 4)
+            if gap > length:
+                if gap - length not in by_size:
+                    by_size[gap - length] = []
+                    bisect.insort(sizes, gap - length)
+                by_size[gap - length].append((first, took))
+    return plan, [(gap, first, n) for gap in sizes for first, n in by_size[gap]], opened
+
+
+def octaves(capacity: int) -> list[tuple[int, int]]:
+    """(greatest length, least length) of each superstep."""
+    out, top = [], capacity
+    while top:
+        out.append((top, top // 2 + 1))
+        top //= 2
+    return out
+
+
+_STATE = "stripe long, kind int, size int, first long, n long, rank long"
+_GAP, _OPENED, _PLACE, _RUN = range(4)
+
+
+def best_fit_runs(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(stripe, length, places) from (stripe, length, n): where the documents of each run go, as an array of (rank, first, offset) by rank."""
+
+    def superstep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        of = {k: pdf[pdf["kind"] == k] for k in (_GAP, _OPENED, _RUN)}
+        gaps = list(of[_GAP][["size", "first", "n"]].itertuples(index=False, name=None))
+        plan, gaps, opened = sweep(dict(zip(of[_RUN]["size"].tolist(), of[_RUN]["n"].tolist(), strict=True)), gaps, int(of[_OPENED]["n"].sum()), capacity)
+        rows = [(key[0], _OPENED, 0, 0, opened, 0)] + [(key[0], _GAP, g, f, n, 0) for g, f, n in gaps] + [(key[0], _PLACE, length, first, offset, rank) for length, rank, first, offset in plan]
+        return pd.DataFrame(rows, columns=["stripe", "kind", "size", "first", "n", "rank"])
+
+    spark, zero = runs.sparkSession, F.lit(0).cast("long")
+    state = spark.createDataFrame([], _STATE)
+    placed = []
+    for top, low in octaves(capacity):
+        docs = runs.where(F.col("length").between(low, top)).select("stripe", F.lit(_RUN).alias("kind"), F.col("length").cast("int").alias("size"), zero.alias("first"), "n", zero.alias("rank"))
+        # Gaps too small for this octave wait; they need no sweep.
+        active = state.where((F.col("kind") == _OPENED) | (F.col("size") >= low)).unionByName(docs)
+        done = stage_table(active.groupBy("stripe").applyInPandas(superstep, _STATE).unionByName(state.where((F.col("kind") == _GAP) & (F.col("size") < low))).coalesce(8), "superstep")
+        placed.append(done.where(F.col("kind") == _PLACE))
+        state = done.where(F.col("kind") != _PLACE)
+    places = placed[0]
+    for p in placed[1:]:
+        places = places.unionByName(p)
+    return places.groupBy("stripe", F.col("size").cast("long").alias("length")).agg(F.array_sort(F.collect_list(F.struct("rank", "first", F.col("n").alias("offset")))).alias("places"))
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -189,32 +232,27 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, stripe: int = STRIPE) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.
 
     Repeated rows are packed each for itself; equal ones may swap places, which leaves the result as it is. An empty input gives no rows.
     Other columns of ``df`` are not carried, so their names can't clash.
     """
     made = stage_table(token_pieces(df, id_col, text_col, path, capacity), "pieces")
-    keys = ["length", "_part"]
-    made = made.withColumn("_part", (md5_long(F.col("id"), F.col("piece"), salt="pack") % salts_for(made.count())).cast("int"))
+    keys, total = ["length", "_part"], made.count()
+    stripes = max(1, total // stripe)
+    made = made.withColumn("_part", (md5_long(F.col("id"), F.col("piece"), salt="pack") % salts_for(total)).cast("int"))
     cells = stage_table(made.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "lengths")
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
-    plan = best_fit_plan(counts, capacity)
-    starts = plan[:, 0] * (1 << 44) + plan[:, 1]
+    runs = cells.groupBy("length").agg(F.sum("_n").alias("_n")).withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
+    runs = runs.select("stripe", "length", (F.floor(F.col("_n") / stripes) + (F.col("stripe") < F.col("_n") % stripes).cast("int")).cast("long").alias("n")).where("n > 0")
+    places = stage_table(best_fit_runs(stage_table(runs, "runs"), capacity), "places")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id", "piece", "ids_crc32")) - 1
-    ranked = made.withColumn("_rank", rank).join(cell_offsets(cells, ["length"], ["_part"]).drop("_n"), keys)
-    ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_offset")).alias("rank"))
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rank = rows["rank"].to_numpy()
-            at = np.searchsorted(starts, rows["length"].to_numpy() * (1 << 44) + rank, side="right") - 1
-            yield rows.drop(columns="rank").assign(sequence_id=plan[at, 2] + rank - plan[at, 1], offset=plan[at, 3])
-
-    placed = ranked.mapInPandas(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.withColumnRenamed("id", id_col)
+    ranked = made.withColumn("_rank", rank).join(cell_offsets(cells, ["length"], ["_part"]).drop("_n"), keys).withColumn("_rank", F.col("_rank") + F.col("_offset"))
+    ranked = ranked.withColumns({"stripe": F.col("_rank") % stripes, "_rank": F.floor(F.col("_rank") / stripes)})
+    at = F.element_at(F.filter("places", lambda p: p["rank"] <= F.col("_rank")), -1)
+    placed = ranked.join(places, ["stripe", "length"]).withColumn("_at", at)
+    sequence = (F.col("_at.first") + F.col("_rank") - F.col("_at.rank")) * stripes + F.col("stripe")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
 def op6_best_fit(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tallylog.llm.packing import WordEncoder, best_fit_pack, best_fit_plan, pieces, tokenizer_path
+from tallylog.llm.packing import WordEncoder, best_fit_pack, best_fit_runs, octaves, pieces, sweep, tokenizer_path
 
 from .data import odd_documents, table
 
@@ -59,7 +59,10 @@ def test_plan_is_best_fit(seed):
     lengths = [rng.randint(1, rng.choice([5, 40, 100])) for _ in range(500)]
     counts = {n: lengths.count(n) for n in set(lengths)}
     fill, used = {}, set()
-    plan = best_fit_plan(counts, 100)
+    plan, gaps, opened = [], [], 0
+    for top, low in octaves(100):
+        rows, gaps, opened = sweep({k: n for k, n in counts.items() if low <= k <= top}, gaps, opened, 100)
+        plan = sorted(plan + rows)
     for k, (length, rank, first, offset) in enumerate(plan):
         end = plan[k + 1][1] if k + 1 < len(plan) and plan[k + 1][0] == length else counts[length]
         for s in range(first, first + end - rank):
@@ -72,9 +75,34 @@ def test_plan_is_best_fit(seed):
     assert len(fill) == naive_best_fit(lengths, 100)
 
 
-def test_packing_whole(spark, tokenizer):
+def test_octaves():
+    assert octaves(12) == [(12, 7), (6, 4), (3, 2), (1, 1)] and octaves(1) == [(1, 1)]
+
+
+@pytest.mark.parametrize("stripes", [1, 3])
+def test_supersteps_are_best_fit(spark, stripes):
+    rng = random.Random(9)
+    lengths = [rng.randint(1, rng.choice([4, 30, 64])) for _ in range(600)]
+    rows = [(s, n, lengths.count(n) // stripes + (s < lengths.count(n) % stripes)) for n in set(lengths) for s in range(stripes)]
+    found = best_fit_runs(spark.createDataFrame([r for r in rows if r[2]], "stripe long, length long, n long"), 64).collect()
+    used = set()
+    for r in found:
+        n = next(x[2] for x in rows if x[:2] == (r["stripe"], r["length"]))
+        ends = [p["rank"] for p in r["places"][1:]] + [n]
+        for p, end in zip(r["places"], ends, strict=True):
+            for k in range(end - p["rank"]):
+                spots = {(r["stripe"], p["first"] + k, p["offset"] + i) for i in range(r["length"])}
+                assert not spots & used and p["offset"] + r["length"] <= 64
+                used |= spots
+    assert len(used) == sum(lengths)
+    n = len({x[:2] for x in used})
+    assert n == naive_best_fit(lengths, 64) if stripes == 1 else n <= naive_best_fit(lengths, 64) + stripes
+
+
+@pytest.mark.parametrize("stripe", [4_000_000, 40])
+def test_packing_whole(spark, tokenizer, stripe):
     docs = odd_documents()
-    rows = best_fit_pack(table(spark, docs, clashes=True), capacity=256).collect()
+    rows = best_fit_pack(table(spark, docs, clashes=True), capacity=256, stripe=stripe).collect()
     want = []
     for i, text, _, _ in docs:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -89,7 +117,8 @@ def test_packing_whole(spark, tokenizer):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(sequences) == naive_best_fit([r["length"] for r in rows], 256)
+    least = naive_best_fit([r["length"] for r in rows], 256)
+    assert len(sequences) == least if stripe > 1000 else least <= len(sequences) <= least + len(rows) // stripe
 
 
 def test_nothing(spark):
