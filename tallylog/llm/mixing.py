@@ -1,15 +1,12 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source every document expects the same number of copies: the source's target over its size. Documents stand in
-order of size, the expected copies are prefix-summed over that order, one offset in [0, 1) a source is added, and a
-document is emitted once for each integer its interval crosses. As neighbours have nearly equal sizes, the words taken
-stay within about one document of the target. Small sources with a few very long documents still stray, so the offset is
-the best of 32 that start at a random one: one narrow pass sums the words that each would take.
+Within a source the documents' expected copies are prefix-summed, one random offset in [0, 1) a source is added, and a document is emitted once for each integer its
+interval crosses. Documents stand in octaves of size, the longest first; within an octave they have the same expected copies, the words still wanted over the words still to come.
+So what a long document takes too much or too little is made good by the shorter ones after it, and the words taken end near the target even in a small source.
 
-The prefix sum is distributed: documents fall into cells (source, size band, part of the id's hash), whose counts are
+The prefix sum is distributed: documents fall into cells (source, octave and, where rows are many, exact size and leading bits of the id's hash), whose counts are
 summed first; a rank within the cell does the rest. A source that holds a third of all rows is thus dealt over hundreds of cells.
-The order is the same however many rows there are: source, band, part (always ``PARTS``), size, hash, id. Where that many parts are too few, they are
-cut further along this order, by size and the hash's leading bits.
+The order is the same however many cells there are: source, octave, size, hash, id. An octave is one narrow job over its own rows; only the sources' sums go on to the next.
 """
 
 from __future__ import annotations
@@ -21,9 +18,6 @@ from .common import cell_offsets, fresh, md5_long, n_words, positional, restored
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-OFFSETS = 32
-#: Parts of a band. They are part of the order, and so fixed.
-PARTS = 16
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -59,48 +53,64 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, most_copies: int = MOST_
     return ranked.select("_null", "_source", "_source_size", F.least(F.col("_cap").cast("double"), F.lit(float(share)) * F.col("_weight")).alias("_target"))
 
 
-def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, most_copies: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
+def _crossed(place, rate, rank, most_copies: int):
+    """Integers in (place + rate * (rank - 1), place + rate * rank]. The least() only guards against rounding of a product."""
+    return F.least(F.lit(most_copies), F.floor(place + rate * rank) - F.floor(place + rate * (rank - 1))).cast("int")
+
+
+def octave_rates(ranked: DataFrame, targets: DataFrame, octaves: list[int], most_copies: int, seed: str) -> DataFrame:
+    """(_null, _source, _octave, _place, _rate): expected copies of a document of each octave, and their sum before it. ``ranked``: (_null, _source, _octave, _k, _size)."""
+    keys = ["_null", "_source"]
+    start = md5_long(F.col("_null"), F.col("_source"), salt=seed) / F.lit(float(1 << 32))
+    state = targets.select(*keys, start.alias("_place"), F.col("_target").alias("_wanted"), F.col("_source_size").alias("_ahead"))
+    rates = []
+    for octave in sorted(octaves, reverse=True):
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most_copies)), F.when(F.col("_ahead") > 0, F.col("_wanted") / F.col("_ahead")).otherwise(F.lit(0.0))))
+        state = state.withColumns({"_rate": rate, "_octave": F.lit(octave)})
+        here = ranked.where(F.col("_octave") == octave).select(*keys, "_k", "_size").join(state.select(*keys, "_place", "_rate"), keys)
+        sums = here.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"), F.sum(F.col("_size") * _crossed(F.col("_place"), F.col("_rate"), F.col("_k"), most_copies)).alias("_taken"))
+        none = F.lit(0).cast("long")
+        state = stage_table(state.join(sums, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("_n", "_words", "_taken")}).coalesce(8), "octave")
+        rates.append(state.where("_n > 0").select(*keys, "_octave", "_place", "_rate"))
+        state = state.select(*keys, (F.col("_place") + F.col("_n") * F.col("_rate")).alias("_place"), (F.col("_wanted") - F.col("_taken")).alias("_wanted"), (F.col("_ahead") - F.col("_words")).alias("_ahead"))
+    found = rates[0]
+    for r in rates[1:]:
+        found = found.unionByName(r)
+    return found
+
+
+def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, most_copies: int = MOST_COPIES, seed: str = "mix", carry: bool = True) -> DataFrame:
     """Every row of ``df`` with ``size``, ``source_size``, ``target`` and ``copies`` (times the mix takes it, 0 to ``most_copies``).
 
-    Null source: a source of its own, after all others. Null text: size 0. A source without words has target 0 and gives no
-    copies. Rows repeated in full get copies as any others, the same multiset on each run. Empty input: no rows. New columns
-    whose names clash with ``df``'s own get leading underscores.
+    Without ``carry`` only the id and these are returned, and texts are read once. Null source: a source of its own, after all others. Null text: size 0. A source
+    without words has target 0 and gives no copies. Ties go by a hash of the id, then the id. Rows repeated in full get copies as any others, the same multiset on each
+    run. Empty input: no rows. New columns whose names clash with ``df``'s own get leading underscores.
     """
-    size, (source_size, target, copies), own = "_size", fresh(df, "size", "source_size", "target", "copies")[1:], df.columns
-    size_out = fresh(df, "size")[0]
+    own = df.columns if carry else [id_col]
+    out_names = fresh(df.select(*[f"`{c}`" for c in own]), "size", "source_size", "target", "copies")
     df, id_col, source_col, text_col = positional(df, id_col, source_col, text_col)
-    keys = ["_null", "_source", "_band", "_part", "_fine", "_top"]
-    bits = max(0, (salts_for(df.count()) // PARTS).bit_length() - 1)
-    sized = df.withColumn(size, n_words(F.col(text_col)))
-    sized = sized.withColumns({
-        "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "_band": F.expr(f"coalesce(cast(length(bin(`{size}`)) * 8 + shiftright(`{size}` * 8, length(bin(`{size}`)) - 1) % 8 as int), 0)"),
-        "_order": md5_long(F.col(id_col), salt=seed),
-    })
-    part, top = F.coalesce((F.col("_order") % PARTS).cast("int"), F.lit(0)), F.coalesce(F.shiftright("_order", 32 - bits), F.lit(0)).cast("int")
-    sized = sized.withColumns({"_part": part, "_fine": F.col(size) if bits else F.lit(0), "_top": top if bits else F.lit(0)})
-    # Words are counted once for all that needs sizes alone. The keys are never null, so that joins needn't test (and so compute) them.
-    counted = stage_table(sized.select(*keys, size, "_order", id_col), "sizes")
+    group, size = ["_null", "_source", "_octave"], "_size"
+    keys = [*group, "_fine", "_top"]
+    bits = max(0, (salts_for(df.count()) // 16).bit_length() - 1)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_octave": F.expr(f"coalesce(cast(length(bin(`{size}`)) as int), 1)"), "_order": md5_long(F.col(id_col), salt=seed)})
+        return rows.withColumns({"_fine": F.col(size) if bits else F.lit(0).cast("long"), "_top": F.coalesce(F.shiftright("_order", 32 - bits), F.lit(0)).cast("int") if bits else F.lit(0)})
+
+    counted = keyed(df.withColumn(size, n_words(F.col(text_col)))).select(*keys, size, "_order", id_col)
+    counted = stage_table(counted, "sizes")
     cells = stage_table(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_words")), "cells")
-    targets = source_targets(cells.groupBy("_null", "_source").agg(F.sum("_words").alias("_source_size")), weights, most_copies)
-    offset = md5_long(F.col("_null"), F.col("_source"), salt=seed) / F.lit(float(1 << 32))
-    # A source's parts first, then each part's own cells: no window sees more than counts of one of these.
-    parts = cell_offsets(cells.groupBy(*keys[:4]).agg(F.sum("_n").alias("_n")), keys[:2], keys[2:4]).withColumnRenamed("_offset", "_before").drop("_n")
-    cells = cell_offsets(cells, keys[:4], keys[4:]).join(parts, keys[:4]).withColumn("_offset", F.col("_offset") + F.col("_before")).drop("_before")
-    cells = stage_table(cells.join(targets, keys[:2]).withColumn("_start", offset).drop("_n", "_words"), "offsets")
-    order = Window.partitionBy(*keys).orderBy(size, "_order", id_col)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    place = F.col("_offset") + F.col("_rank")
-    upto = lambda k, shift: F.floor(rate * k + shift)
-    # The least() only guards against rounding of a product.
-    crossed = lambda shift: F.least(F.lit(most_copies), upto(place, shift) - upto(place - 1, shift)).cast("int")
-    shifts = [F.col("_start") + F.lit(c / OFFSETS) - F.floor(F.col("_start") + F.lit(c / OFFSETS)) for c in range(OFFSETS)]
-    narrow = counted.withColumn("_rank", F.row_number().over(order)).join(cells, keys)
-    taken = narrow.groupBy(*keys[:2]).agg(*[F.sum(F.col(size) * crossed(s)).alias(f"_t{c}") for c, s in enumerate(shifts)], F.first("_target").alias("_target"), F.first("_start").alias("_start"))
-    errors = F.array(*[F.struct(F.abs(F.col(f"_t{c}") - F.col("_target")).alias("e"), F.lit(c).alias("c"), s.alias("s")) for c, s in enumerate(shifts)])
-    best = stage_table(taken.select(*keys[:2], F.array_min(errors)["s"].alias("_shift")), "shifts")
-    ranked = sized.withColumn("_rank", F.row_number().over(order)).join(cells.join(best, keys[:2]), keys)
-    return ranked.select(*restored(df, own), F.col(size).alias(size_out), F.col("_source_size").alias(source_size), F.col("_target").alias(target), crossed(F.col("_shift")).alias(copies))
+    targets = stage_table(source_targets(cells.groupBy(*group[:2]).agg(F.sum("_words").alias("_source_size")), weights, most_copies), "targets")
+    offsets = stage_table(cell_offsets(cells, group, keys[3:]).drop("_n", "_words"), "offsets")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(size, "_order", id_col))
+    with_rank = lambda rows: rows.withColumn("_rank", rank).join(offsets, keys).withColumn("_k", F.col("_rank") + F.col("_offset"))
+    ranked = stage_table(with_rank(counted).select(*group, "_k", size, id_col), "ranks")
+    octaves = [r["_octave"] for r in cells.select("_octave").distinct().collect()] or [1]  # 64 at most
+    rates = stage_table(octave_rates(ranked, targets, octaves, most_copies, seed).join(targets, group[:2]).coalesce(8), "rates")
+    rows = with_rank(keyed(df.withColumn(size, n_words(F.col(text_col))))) if carry else ranked
+    done = rows.join(rates, group).withColumn("_copies", _crossed(F.col("_place"), F.col("_rate"), F.col("_k"), most_copies))
+    kept = restored(df, own) if carry else [F.col(id_col).alias(own[0])]
+    return done.select(*kept, *[F.col(c).alias(n) for c, n in zip((size, "_source_size", "_target", "_copies"), out_names, strict=True)])
 
 
 def emit_copies(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
@@ -112,7 +122,7 @@ def emit_copies(mixed: DataFrame, columns: list[str], copies: str = "copies") ->
 def op4_systematic_mix(spark, sf_dir: str) -> DataFrame:
     """All ``documents``, with the words the mix takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return systematic_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return systematic_mix(docs, carry=False).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _md5_sql(salt: str, *values: str) -> str:
@@ -120,12 +130,26 @@ def _md5_sql(salt: str, *values: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
 
+def _octave_sql(octave: int) -> str:
+    """A round of the SQL: expected copies in an octave, and what is wanted after it."""
+    return f"""r{octave} AS MATERIALIZED (
+  SELECT nul, src, place, wanted, ahead, greatest(0.0::DOUBLE, least(3.0::DOUBLE, CASE WHEN ahead > 0 THEN wanted / ahead ELSE 0.0::DOUBLE END)) AS rate FROM s{octave}),
+t{octave} AS MATERIALIZED (
+  SELECT nul, src, count(*) AS n, sum(size)::BIGINT AS words, sum(size * least(3, floor(place + rate * k) - floor(place + rate * (k - 1)))::BIGINT)::BIGINT AS taken
+  FROM ranked JOIN r{octave} USING (nul, src) WHERE octave = {octave} GROUP BY nul, src),
+s{octave - 1} AS MATERIALIZED (
+  SELECT nul, src, place + coalesce(n, 0) * rate AS place, wanted - coalesce(taken, 0) AS wanted, ahead - coalesce(words, 0) AS ahead FROM r{octave} LEFT JOIN t{octave} USING (nul, src)),
+"""
+
+
+_TOP = 24  # texts of fewer than 16 million words
+
 OP4_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
-keyed AS (SELECT *, {_md5_sql('mix', 'doc_id')} AS ord, length(bin(size)) AS bits FROM sized),
-cells AS (SELECT *, bits * 8 + ((size * 8) >> (bits - 1)::BIGINT) % 8 AS band, ord % 16 AS part FROM keyed),
+keyed AS (SELECT *, {_md5_sql('mix', 'doc_id')} AS ord, length(bin(size)) AS octave FROM sized),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY nul, src, octave ORDER BY size, ord, doc_id) AS k FROM keyed),
 sources AS (
   SELECT nul, src, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY nul, src) - 1) % 3 + 1)::INT]::DOUBLE AS w
   FROM sized GROUP BY nul, src),
@@ -136,17 +160,11 @@ ordered AS (
     sum(w) OVER (ORDER BY source_size / w, nul, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
   FROM sources),
 share AS (SELECT min_by((total - capped)::DOUBLE / open_w, n) FILTER (WHERE 3 * source_size > (total - capped)::DOUBLE / open_w * w) AS per_weight FROM ordered),
-targets AS (
-  SELECT nul, src, source_size, least((3 * source_size)::DOUBLE, coalesce(per_weight, 0) * w) AS target, {_md5_sql('mix', "CASE WHEN nul THEN 'true' ELSE 'false' END", 'src')} / 4294967296.0::DOUBLE AS start
-  FROM sources, share),
-offsets AS (
-  SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS rate, start + c / 32.0::DOUBLE - floor(start + c / 32.0::DOUBLE) AS shift
-  FROM targets, (SELECT unnest(range(32)) AS c)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY nul, src ORDER BY band, part, size, ord, doc_id) AS k FROM cells),
-tried AS (
-  SELECT nul, src, c, shift, rate, target, source_size, abs(sum(size * least(3, floor(rate * k + shift) - floor(rate * (k - 1) + shift))::BIGINT) - target) AS off
-  FROM ranked JOIN offsets USING (nul, src) GROUP BY nul, src, c, shift, rate, target, source_size),
-chosen AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY nul, src ORDER BY off, c) = 1)
-SELECT doc_id, size, source_size, target, size * least(3, floor(rate * k + shift) - floor(rate * (k - 1) + shift))::BIGINT AS taken
-FROM ranked JOIN chosen USING (nul, src)
+targets AS MATERIALIZED (SELECT nul, src, source_size, least((3 * source_size)::DOUBLE, coalesce(per_weight, 0) * w) AS target FROM sources, share),
+s{_TOP} AS MATERIALIZED (
+  SELECT nul, src, {_md5_sql('mix', "CASE WHEN nul THEN 'true' ELSE 'false' END", 'src')} / 4294967296.0::DOUBLE AS place, target AS wanted, source_size AS ahead FROM targets),
+{"".join(map(_octave_sql, range(_TOP, 0, -1)))}
+rates AS ({" UNION ALL ".join(f"SELECT nul, src, {o} AS octave, place, rate FROM r{o}" for o in range(_TOP, 0, -1))})
+SELECT doc_id, size, source_size, target, size * least(3, floor(place + rate * k) - floor(place + rate * (k - 1)))::BIGINT AS taken
+FROM ranked JOIN rates USING (nul, src, octave) JOIN targets USING (nul, src)
 """
