@@ -4,16 +4,17 @@
    representative being the least id. From then on classes are joined, not documents.
 2. ``choose_bands`` picks bands and rows so that a pair at the threshold meets in some band with the target recall. Classes are
    shuffled on their band hashes. In a bucket, 16-bit sketches of the MinHash values screen the pairs, and a spanning forest of
-   the pairs that pass is all that leaves it. A bucket of over ``BLOCK`` classes is cut into blocks, and each pair of blocks is a task
-   of its own: no pair is left out, and no bucket is held whole.
-3. The forests' components hold every candidate pair. Their members' full sets are compared, block by block as well; the
-   counts of links and a spanning forest of the verified pairs come back. So every link is found, while the rows exchanged stay in
-   proportion to the classes.
+   the pairs that pass is all that leaves it. A bucket of over ``BLOCK`` classes is cut by size of set, so that only sets whose sizes
+   allow a link meet, and each of these strips into blocks; each pair of blocks is a task of its own: no pair that can link is left out, and no bucket is held whole.
+3. The forests' components hold every candidate pair. Their members' full sets are compared, block by block as well (blocks are bounded by n-grams, too); the
+   counts of links and a spanning forest of the verified pairs come back. So every link is found. A class of a strip of n classes is sent to n / ``BLOCK`` tasks:
+   where n different texts are near copies, each of their links is counted, and that is work of order n squared.
 4. The verified components are the groups of near-duplicates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .shingles import byte_slices, mix, new_key, shingle_sets
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Classes of a bucket, or members of a candidate group, that meet in one task.
 BLOCK = 512
+#: N-grams of all sets in a block; a longer set is a block of its own.
+BLOCK_GRAMS = 2_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 192, low: float = 0.4) -> tuple[int, int]:
@@ -64,7 +67,7 @@ def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k: int = N_GRAM, key: int = 0) -> DataFrame:
-    """(id, n, h1, h2, bands, sketch) of each row: size and 128-bit digest of its set, a hash per band, 16 bits per MinHash value."""
+    """(id, t, n, h1, h2, bands, sketch) of each row: a hash of its text, size and 128-bit digest of its set, a hash per band, 16 bits per MinHash value."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -82,12 +85,13 @@ def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k
                     keys = mix(keys, 3) ^ mix(np.arange(bands, dtype=np.uint64), 4)[None, :]
                 sketch = (values & np.uint32(0xFFFF)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests[0]), pa.array(digests[1]),
+                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests[0]), pa.array(digests[1]),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())), pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    ["id", "n", "h1", "h2", "bands", "sketch"])
+                    ["id", "t", "n", "h1", "h2", "bands", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, n int, h1 long, h2 long, bands array<long>, sketch binary")
+    text = F.col(f"`{text_col}`")
+    return df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("t")).mapInArrow(run, f"id {kind}, t long, n int, h1 long, h2 long, bands array<long>, sketch binary")
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -122,35 +126,44 @@ def _screen(sketches: np.ndarray, side: np.ndarray | None, least: float) -> Iter
             yield np.full(len(at), i), at + i + 1
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Each ``rep`` of a key with ``_size`` rows goes to every pair (_i, _j) of the key's blocks that has its own (``_side``)."""
-    rows = rows.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-    rows = rows.withColumn("_side", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return rows.withColumns({"_i": F.least("_side", "_other"), "_j": F.greatest("_side", "_other")}).drop("_blocks", "_other")
+def _tasks(rows: DataFrame, key: str, weight: str, threshold: float, small: int) -> DataFrame:
+    """``rows`` (key, rep, n and others) with ``_task``, ``_low`` and ``_same``. Keys of one block share tasks, in ``small`` lots. A larger key is cut into strips by size of set (n), so that
+    links are possible within a strip and with its neighbours only, strips into blocks, and each row goes to every pair of blocks that has its own: ``_low`` tells which of
+    the two that is, ``_same`` that they are one."""
+    strip = F.floor(F.log(F.col("n").cast("double")) / math.log(1.01 / threshold)).cast("int")
+    rows = rows.withColumn("_strip", strip)
+    strips = rows.groupBy(key, "_strip").agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
+    strips = strips.withColumn("_blocks", F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_w") / BLOCK_GRAMS)).cast("int"))
+    keys = strips.groupBy(key).agg(F.sum("_n").alias("_size"), F.sum("_w").alias("_weight"), F.map_from_entries(F.collect_list(F.struct("_strip", "_blocks"))).alias("_of"))
+    rows = rows.join(keys.withColumn("_big", (F.col("_size") > BLOCK) | (F.col("_weight") > BLOCK_GRAMS)).drop("_size", "_weight"), key)
+    one = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64(key), F.lit(small)).cast("string")).alias("task"), F.lit(True).alias("low"), F.lit(True).alias("same")))
+    own, block = F.col("_strip"), F.pmod(F.xxhash64("rep", F.lit("block")), F.col("_of")[F.col("_strip")]).cast("int")
 
+    def pair(other, theirs):
+        low = (own < other) | ((own == other) & (block <= theirs))
+        mine, yours = F.concat_ws(".", own.cast("string"), block.cast("string")), F.concat_ws(".", other.cast("string"), theirs.cast("string"))
+        return F.struct(F.concat_ws("/", F.lit("x"), F.col(key).cast("string"), F.when(low, mine).otherwise(yours), F.when(low, yours).otherwise(mine)).alias("task"), low.alias("low"), (mine == yours).alias("same"))
 
-def _tasks(df: DataFrame, key: str, small: int) -> DataFrame:
-    """Adds ``_task``: keys of one block share tasks, in ``small`` lots; each pair of blocks of a larger key has one of its own."""
-    lot = F.pmod(F.xxhash64(key), F.lit(small)).cast("string")
-    return df.withColumn("_task", F.when(F.col("_size") <= BLOCK, lot).otherwise(F.concat_ws("/", F.lit("x"), F.col(key).cast("string"), "_i", "_j")))
+    pairs = F.flatten(F.transform(F.filter(F.array(own - 1, own, own + 1), lambda o: F.array_contains(F.map_keys("_of"), o)), lambda o: F.transform(F.sequence(F.lit(0), F.col("_of")[o] - 1), lambda e: pair(o, e))))
+    rows = rows.withColumn("_to", F.explode(F.when(F.col("_big"), pairs).otherwise(one)))
+    return rows.withColumns({"_task": F.col("_to.task"), "_low": F.col("_to.low"), "_same": F.col("_to.same")}).drop("_to", "_of", "_big", "_strip")
 
 
-def _candidates(reps: DataFrame, id_kind: str, least: float) -> DataFrame:
+def _candidates(reps: DataFrame, least: float, threshold: float) -> DataFrame:
     """Edges (a, b) of spanning forests over the candidate pairs."""
     # Alone in a bucket: most rows. They are found on narrow rows, before sketches are shuffled.
-    narrow = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    narrow = stage_table(narrow.join(shared, "bucket"), "buckets")
+    narrow = reps.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
+    narrow = stage_table(narrow.join(shared, "bucket").withColumn("_one", F.lit(1)), "buckets")
     small = max(64, narrow.count() // 5000)
-    rows = _tasks(_block_pairs(narrow), "bucket", small).select("_task", "bucket", "_i", "_j", "_side", "rep")
+    rows = _tasks(narrow, "bucket", "_one", threshold, small).select("_task", "bucket", "_low", "_same", "rep")
     rows = rows.join(reps.select("rep", "sketch"), "rep")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         pdf = pdf.sort_values(["bucket", "rep"])
         cut = np.flatnonzero(np.diff(pdf["bucket"].to_numpy(), prepend=np.nan) != 0).tolist() + [len(pdf)]
-        ids, sides, sketches, same = pdf["rep"].to_numpy(), pdf["_side"].to_numpy(), pdf["sketch"].tolist(), (pdf["_i"] == pdf["_j"]).to_numpy()
+        ids, sides, sketches, same = pdf["rep"].to_numpy(), pdf["_low"].to_numpy(), pdf["sketch"].tolist(), pdf["_same"].to_numpy()
         for low, high in zip(cut[:-1], cut[1:], strict=True):
             s = np.frombuffer(b"".join(sketches[low:high]), dtype="<u2").reshape(high - low, -1)
             for a, b in _forest(high - low, _screen(s, None if same[low] else sides[low:high], least)):
@@ -158,7 +171,7 @@ def _candidates(reps: DataFrame, id_kind: str, least: float) -> DataFrame:
                 out_b.append(ids[low + b])
         return pd.DataFrame({"a": out_a, "b": out_b}).drop_duplicates()
 
-    return rows.groupBy("_task").applyInPandas(link, f"a {id_kind}, b {id_kind}").distinct()
+    return rows.groupBy("_task").applyInPandas(link, "a long, b long").distinct()
 
 
 def _verify(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, threshold: float):
@@ -204,18 +217,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its own id as class, even beside others. A repeated row counts as a copy of the first. An empty input gives no rows.
     """
     bands, rows, key = *choose_bands(threshold, recall), new_key()
-    kind = df.schema[id_col].dataType.simpleString()
     docs = stage_table(describe(df, id_col, text_col, bands, rows, k, key), "sketches")
     worded = docs.where("n > 0")
-    reps = worded.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = stage_table(reps, "classes")
+    least_of = lambda: F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("least")
+    reps = worded.groupBy("h1", "h2", "n").agg(least_of(), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # Classes have numbers of their own, fixed by being written: ids may be null, or stand for several texts.
+    reps = stage_table(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # Sketches agree less or more than the sets by chance: five standard errors, and no more chance meetings than that needs.
     least = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    groups = connected_components(stage_table(_candidates(reps, kind, least), "candidates"))
-    members = groups.join(reps.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node").select(F.col("node").alias("rep"), F.col("component").alias("part"), "copies", "h1", "h2")
+    groups = connected_components(stage_table(_candidates(reps, least, threshold), "candidates"))
+    members = groups.withColumnsRenamed({"node": "rep", "component": "part"}).join(reps.select("rep", "copies", "n", "h1", "least"), "rep")
     members = stage_table(members, "members")
-    # The members grow with the input, so they aren't broadcast at any size.
-    texts = df.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(members.hint("merge"), "rep")
+    # The members grow with the input, so they aren't broadcast at any size. A class's text is its least row's, by id and hash of the text.
+    text = F.col(f"`{text_col}`")
+    own = [F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t")).alias("least"), text.alias("text")]
+    key_of = lambda c: [F.coalesce(F.col(f"{c}.id").cast("string"), F.lit("\x00")), F.col(f"{c}.t")]
+    left = df.select(*own).select(*[c.alias(f"k{i}") for i, c in enumerate(key_of("least"))], "text")
+    texts = left.join(members.select("rep", "part", "copies", "h1", *[c.alias(f"k{i}") for i, c in enumerate(key_of("least"))]).hint("merge"), ["k0", "k1"])
 
     def sets_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -232,9 +250,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(made, pa.binary())], ["rep", "part", "copies", "grams"])
 
-    grams = texts.select("rep", "text", "part", "copies", "h1").mapInArrow(sets_of, f"rep {kind}, part {kind}, copies long, grams binary")
-    sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("_size"))
-    tasks = _tasks(_block_pairs(grams.join(sizes, "part")), "part", max(64, members.count() // 500))
+    grams = texts.select("rep", "text", "part", "copies", "h1").mapInArrow(sets_of, "rep long, part long, copies long, grams binary")
+    dealt = _tasks(members.select("rep", "part", "n"), "part", "n", threshold, max(64, members.count() // 500)).select("rep", "_task", "_low", "_same")
+    tasks = grams.join(dealt.hint("merge"), "rep")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -243,21 +261,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if len(g) < 2:
                 continue
             sets = [np.frombuffer(b, dtype=np.uint64) for b in g["grams"]]
-            side = None if g["_i"].iloc[0] == g["_j"].iloc[0] else g["_side"].to_numpy()
+            side = None if g["_same"].iloc[0] else g["_low"].to_numpy()
             ids = g["rep"].to_numpy()
             n, weight, edges = _verify(ids, sets, g["copies"].to_numpy(), side, threshold)
             out.append(pd.DataFrame({"rep": ids, "other": ids, "texts": n.astype(np.int64), "docs": weight.astype(np.int64)}))
             out.append(pd.DataFrame({"rep": [ids[a] for a, _ in edges], "other": [ids[b] for _, b in edges], "texts": 0, "docs": 0}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "other": [], "texts": [], "docs": []})
 
-    verified = stage_table(tasks.groupBy("_task").applyInPandas(verify, f"rep {kind}, other {kind}, texts long, docs long"), "links")
+    verified = stage_table(tasks.groupBy("_task").applyInPandas(verify, "rep long, other long, texts long, docs long"), "links")
     linked = verified.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     merged = connected_components(verified.where("rep != other"), "rep", "other").withColumnRenamed("node", "rep")
-    classes = reps.select("h1", "h2", "n", "rep", "copies").join(linked, "rep", "left").join(merged, "rep", "left")
-    classes = classes.select("h1", "h2", "n", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    named = reps.select("rep", F.struct("least.none", "least.id").alias("least"))
+    whole = merged.join(named, "rep").groupBy("component").agg(F.min("least").alias("whole"))
+    classes = reps.select("h1", "h2", "n", "rep", "copies", "least").join(linked, "rep", "left").join(merged.join(whole, "component").drop("component"), "rep", "left")
+    class_id = F.when(F.col("whole").isNotNull(), F.col("whole.id")).otherwise(F.col("least.id"))
+    classes = classes.select("h1", "h2", "n", class_id.alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     found = docs.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"], "left")
     own = fresh(df.select(id_col), "class_id", "n_links", "n_text_links")
-    return found.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias(own[0]), F.coalesce("n_links", F.lit(0)).cast("long").alias(own[1]), F.coalesce("n_text_links", F.lit(0)).cast("long").alias(own[2]))
+    return found.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias(own[0]), F.coalesce("n_links", F.lit(0)).cast("long").alias(own[1]), F.coalesce("n_text_links", F.lit(0)).cast("long").alias(own[2]))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from tallylog.llm import neardup
 from tallylog.llm.components import connected_components
@@ -32,14 +33,14 @@ def brute(docs, threshold=0.8):
     out = {}
     for i in range(n):
         members = [sets[j][0] for j in range(n) if find(j) == find(i)]
-        out[i] = (min(members), len(links[i]), len({sets[j][1] for j in links[i]} - {sets[i][1]}))
+        out[i] = (min((m for m in members if m is not None), default=None), len(links[i]), len({sets[j][1] for j in links[i]} - {sets[i][1]}))
     return out
 
 
 def check(spark, docs):
     rows = neardup.near_duplicates(table(spark, docs, clashes=True)).collect()
     want = brute(docs)
-    assert sorted((r[0], *r[1:]) for r in rows) == sorted((docs[k][0], *v) for k, v in want.items())
+    assert sorted(map(str, rows)) == sorted(str(Row(doc_id=docs[k][0], _class_id=v[0], n_links=v[1], n_text_links=v[2])).replace("_class_id", rows[0].__fields__[1]) for k, v in want.items())
 
 
 def documents(seed, groups, size):
@@ -56,7 +57,15 @@ def documents(seed, groups, size):
 
 
 def test_odd_documents(spark):
-    check(spark, [d for d in odd_documents() if d[0] is not None])
+    check(spark, odd_documents())
+
+
+def test_null_ids_and_ids_of_several_texts(spark):
+    docs = documents(3, 8, 6)
+    check(spark, [(None if k % 3 == 0 else i, *rest) for k, (i, *rest) in enumerate(docs)])
+    check(spark, [(i % 10, *rest) for i, *rest in documents(4, 10, 5)])
+    line = [f"w{i}" for i in range(8)]  # four of five runs in common: exactly the threshold
+    check(spark, [(None, " ".join(line), "en", "s"), (5, " ".join([*line, "x"]), "en", "s")])
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -64,9 +73,26 @@ def test_random(spark, seed):
     check(spark, documents(seed, 25, 8))
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    check(spark, documents(7, 6, 30))
+@pytest.mark.parametrize("block, grams", [(4, 2_000_000), (512, 150)])
+def test_blocks(spark, monkeypatch, block, grams):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_GRAMS", grams)
+    docs = documents(7, 6, 30)
+    base = docs[0][1].split()  # lengths about the edges of strips
+    docs += [(1000 + k, " ".join(base + [f"t{i}" for i in range(k)]), "en", "s") for k in range(0, 24, 2)]
+    check(spark, docs)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    line = [f"w{i}" for i in range(12)]
+    docs = [(1, " ".join(line[:6] + [thue_morse(1024, "ab", "ba")] + line[6:]), "en", "s"), (2, " ".join(line[:6] + [thue_morse(1024, "ba", "ab")] + line[6:]), "en", "s")]
+    check(spark, docs)
+    rows = neardup.near_duplicates(table(spark, docs)).collect()
+    assert [r["n_links"] for r in rows] == [0, 0] and len({r["class_id"] for r in rows}) == 2
 
 
 def test_nothing_in_common(spark):
