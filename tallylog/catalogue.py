@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from .operators.highlight import match_ranges
 from .operators.histogram import histogram
 from .operators.tree import tree_lines
 from .plans.aliases import Aliases
+from .plans.compiler import field_of
 from .sources.columns import records_from_columns
-from .sources.files import group_entries, parse_log
+from .sources.files import group_entries, parse_log, read_logs
 
 #: What ``last:`` counts from: noon of 20 January 2024.
 NOW_US = 1_705_752_000_000_000
@@ -296,7 +298,7 @@ def _(spark, d):
 @_query("trace_follow_many", f"{_EVENTS} SELECT line_number FROM e WHERE trace_id IN (SELECT trace_id FROM e WHERE level = 'error')")
 def _(spark, d):
     e = events(spark, d)
-    wanted = rows.matching(e, "level:error").select(F.col("fields")["trace_id"].alias("value")).where("value is not null")
+    wanted = rows.matching(e, "level:error").select(field_of(e, "trace_id").alias("value")).where("value is not null")
     return trace.follow_traces(e, wanted, "trace_id").select("line_number")
 
 
@@ -343,13 +345,13 @@ def _(spark, d):
 
 @_query("roundtrip_pairs", _BACK)
 def _(spark, d):
-    return _rendered(spark, d, F.concat(F.lit("ts="), F.expr(_ISO), F.lit(" lvl="), F.col("lvl"), F.lit(" user_id="), F.col("user_id").cast("string"), F.lit(' msg="'), _message(), F.lit('"')))
+    return _rendered(spark, d, _pairs_line())
 
 
 @_query("roundtrip_plain", f"""{_EVENTS} SELECT line_number, (ts_us // 1000) * 1000 AS ts_us, CASE WHEN raw_level = 'DBG' THEN '' ELSE level END AS level, NULL::VARCHAR AS user_id,
   strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.') || lpad(((ts_us // 1000) % 1000)::VARCHAR, 3, '0') || ' [' || raw_level || '] ' || message AS message FROM e""")
 def _(spark, d):
-    return _rendered(spark, d, F.concat(F.expr("date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"), F.lit(" ["), F.col("lvl"), F.lit("] "), _message()))
+    return _rendered(spark, d, _plain_line())
 
 
 @_query("multiline_group", """SELECT 1 + 3 * n AS line_number, chr((65 + n % 26)::INT) || ' x=1' AS head, 3 AS lines FROM (SELECT unnest(range(200)) AS n)""")
@@ -362,7 +364,134 @@ def _(spark, d):
     return entries.select("line_number", F.substring(F.substring_index("text", "\n", 1), 21, 10).alias("head"), F.size(F.split("text", "\n")).alias("lines"))
 
 
-@_query("json_tree", None)
+def _folder(spark: SparkSession) -> str:
+    """A new shared folder for files; a temporary one only where Spark runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tallylog-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, d: str, line: Column, files: int = 1, zipped: bool = False) -> list[str]:
+    """The events as files of lines, each in the order of ids, one file for each remainder of the id; their paths. Of zipped ones every second has a name that doesn't tell."""
+    df, base, paths = spark.read.parquet(f"{d}/events.parquet").withColumn("lvl", _level()), _folder(spark), []
+    for i in range(files):
+        lines = df.where(F.col("event_id") % files == i).coalesce(1).sortWithinPartitions("event_id").select(line.alias("value"))
+        lines.write.option("compression", "gzip" if zipped else "none").text(f"{base}/{i}")
+        (path,) = spark.read.text(f"{base}/{i}").inputFiles()
+        if zipped and i % 2:
+            old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{base}/{i}/app.log"))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new)
+            path = f"{base}/{i}/app.log"
+        paths.append(path)
+    return paths
+
+
+def _json_line() -> Column:
+    return F.to_json(F.struct(F.expr(_ISO).alias("time"), F.col("lvl").alias("severity"), "user_id", _message().alias("msg")))
+
+
+def _pairs_line() -> Column:
+    return F.concat(F.lit("ts="), F.expr(_ISO), F.lit(" lvl="), F.col("lvl"), F.lit(" user_id="), F.col("user_id").cast("string"), F.lit(' msg="'), _message(), F.lit('"'))
+
+
+def _plain_line() -> Column:
+    return F.concat(F.expr("date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"), F.lit(" ["), F.col("lvl"), F.lit("] "), _message())
+
+
+def _from_files(files: int) -> str:
+    return f"""{_EVENTS} SELECT (line_number % {files})::INT AS source_index, row_number() OVER (PARTITION BY line_number % {files} ORDER BY line_number) AS line_number, ts_us, level, user_id, message FROM e"""
+
+
+_READ = ("source_index", "line_number", "ts_us", "level", "fields['user_id'] AS user_id", "message")
+
+
+@_query("read_json_files", _from_files(2))
+def _(spark, d):
+    return read_logs(spark, _written(spark, d, _json_line(), 2)).selectExpr(*_READ)
+
+
+@_query("read_pairs_files", _from_files(3))
+def _(spark, d):
+    return read_logs(spark, _written(spark, d, _pairs_line(), 3)).selectExpr(*_READ)
+
+
+@_query("read_gzip", _from_files(2))
+def _(spark, d):
+    return read_logs(spark, _written(spark, d, _json_line(), 2, zipped=True)).selectExpr(*_READ)
+
+
+@_query("read_plain_traces", f"""{_EVENTS} SELECT 3 * row_number() OVER (ORDER BY line_number) - 2 AS line_number, (ts_us // 1000) * 1000 AS ts_us, CASE WHEN raw_level = 'DBG' THEN '' ELSE level END AS level,
+  strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.') || lpad(((ts_us // 1000) % 1000)::VARCHAR, 3, '0') || ' [' || raw_level || '] ' || message AS message, 3 AS lines FROM e""")
+def _(spark, d):
+    """Entries of three lines, found by the times at their beginnings."""
+    trace_lines = F.concat(_plain_line(), F.lit("\njava.lang.IllegalStateException: no\n\tat a.B.c(D.java:1)"))
+    return read_logs(spark, _written(spark, d, trace_lines)).select("line_number", "ts_us", "level", "message", F.size(F.split("raw", "\n")).alias("lines"))
+
+
+@_query("read_structured", f"{_EVENTS} SELECT 2 * row_number() OVER (ORDER BY line_number) - 1 AS line_number, 2 AS lines FROM e")
+def _(spark, d):
+    """Entries that begin as JSON does, with a line of something else after each."""
+    return read_logs(spark, _written(spark, d, F.concat(_json_line(), F.lit("\n  more of it")))).select("line_number", F.size(F.split("raw", "\n")).alias("lines"))
+
+
+@_query("merged_files", f"""{_EVENTS}, l AS (SELECT (line_number % 2)::INT AS source_index, row_number() OVER (PARTITION BY line_number % 2 ORDER BY line_number) AS line_number, CASE WHEN line_number % 10 <> 3 THEN ts_us END AS ts_us FROM e)
+SELECT source_index, line_number, ts_us, last_value(ts_us IGNORE NULLS) OVER (PARTITION BY source_index ORDER BY line_number) AS order_us FROM l""")
+def _(spark, d):
+    """Lines without a time stand after the last one of their file that has one."""
+    line = F.when(F.col("event_id") % 10 == 3, F.lit("a note without a time")).otherwise(_json_line())
+    return rows.in_order(read_logs(spark, _written(spark, d, line, 2))).select("source_index", "line_number", "ts_us", "order_us")
+
+
+@_query("follow_growing", f"{_EVENTS} SELECT ts_us, user_id, message FROM e WHERE level = 'error'")
+def _(spark, d):
+    """A file followed from its first byte to its present end. It is read where the driver is, so its folder must be there, too."""
+    from .streaming.follow import follow
+
+    (path,) = _written(spark, d, _json_line())
+    out = _folder(spark)
+    schema = "ts_us long, user_id string, message string"
+    spark.createDataFrame([], schema).write.parquet(out)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select("ts_us", F.col("fields")["user_id"].alias("user_id"), "message").write.mode("append").parquet(out)
+
+    follow(spark, path.removeprefix("file://").replace("file:", ""), "level:error", keep, f"{out}-state", once=True).awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@_query("csv_rows", f"""{_EVENTS} SELECT 'k,message,value' AS line UNION ALL SELECT concat_ws(',', k, message, coalesce(value::VARCHAR, '')) FROM e""")
+def _(spark, d):
+    """Rows written as CSV by the executors and read back as lines, under a header of their own."""
+    from .sinks.writers import save_rows
+
+    out, names = _folder(spark), ["k", "message", "value"]
+    save_rows(events(spark, d), out, "csv", names)
+    return spark.createDataFrame([(",".join(names),)], "line string").unionByName(spark.read.text(out).select(F.col("value").alias("line")))
+
+
+@_query("detect_ids_by_value", f"""{_EVENTS} SELECT line_number, 'ref' AS name, md5(user_id) AS value, false AS by_name FROM e UNION ALL
+SELECT line_number, 'session', substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21), false FROM (SELECT line_number, md5(path) AS m FROM e)""")
+def _(spark, d):
+    e = events(spark, d)
+    m = F.md5(e["f_path"].cast("binary"))
+    session = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    pairs = [F.lit("ref"), F.md5(e["f_user_id"].cast("binary")), F.lit("session"), session, F.lit("note"), F.lit("0123456789abcde"), F.lit("short"), F.substring(session, 1, 35)]
+    named = e.select("line_number", F.create_map(*pairs).alias("fields"))
+    return trace.detect_ids(named).select("line_number", F.explode("ids").alias("i")).select("line_number", "i.*")
+
+
+def _leaf(path: str, value: str, depth: int, children: int = 0) -> str:
+    key = path.rpartition(".")[2]
+    key = key[key.index("[") :] if "[" in key else key
+    return f"SELECT event_id, '{path}' AS path, '{key}' AS key, {value} AS value, {depth} AS depth, {'true' if children else 'false'} AS is_node, {children} AS child_count FROM events"
+
+
+@_query("json_tree", " UNION ALL ".join([
+    _leaf("event_id", "event_id::VARCHAR", 0), _leaf("event_type", "event_type", 0), _leaf("who", "''", 0, 2), _leaf("who.tags", "''", 1, 2),
+    _leaf("who.tags[0]", "event_type", 2), _leaf("who.tags[1]", "'x'", 2), _leaf("who.user_id", "user_id::VARCHAR", 1)]))
 def _(spark, d):
     df = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.to_json(F.struct("event_id", "event_type", F.struct("user_id", F.array("event_type", F.lit("x")).alias("tags")).alias("who"))).alias("raw"))
 
@@ -391,15 +520,9 @@ def _(spark, d):
     """The events, written as a folder of lines, followed to their present end."""
     from .streaming.follow import follow_directory
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallylog-")).rstrip("/") + f"/follow-{_unique()}"
+    base = _folder(spark)
     df = spark.read.parquet(f"{d}/events.parquet")
     df.select(F.to_json(F.struct(F.col("event_id").alias("id"), _level().alias("level"), _message().alias("message")))).write.text(f"{base}/in")
     stream = rows.matching(follow_directory(spark, f"{base}/in"), "level:error").select(F.col("fields")["id"].cast("long").alias("line_number"), "level", "message")
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def _unique() -> str:
-    import uuid
-
-    return uuid.uuid4().hex

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.aliases import Aliases
+from ..plans.compiler import field_of
 
 #: A field with more different values than this has none to offer.
 MOST_VALUES = 50
@@ -23,7 +24,7 @@ def field_names(records: DataFrame) -> DataFrame:
 
 def field_values(records: DataFrame, field: str) -> DataFrame:
     """(value) of a field, none if there are more than ``MOST_VALUES``. Levels are offered as written and by their normal names."""
-    value = F.col("fields")[field]
+    value = field_of(records, field)
     if field == "level":
         rows = records.select(F.explode(F.array(value, F.nullif(F.col("level"), F.lit("")))).alias("value"))
     else:

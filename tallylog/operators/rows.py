@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.aliases import Aliases
-from ..plans.compiler import compile_query, promoted_fields
+from ..plans.compiler import TIME, compile_query, field_of, promoted_fields
 
 #: The order of records within a merged set: no sort by itself, but what ``in_order`` sorts by.
 ORDER = ("order_us", "source_index", "line_number")
+#: Lines of a source that one window looks back over.
+STRETCH = 100_000
 
 
 def matching(records: DataFrame, query: str = "", aliases: Aliases | None = None, now_us: int | None = None, search_raw: bool = False) -> DataFrame:
     """Records for which the query holds, with all their columns."""
-    return records.where(compile_query(query, aliases, promoted=promoted_fields(records), now_us=now_us, search_raw=search_raw, for_filter=True))
+    timed = dict(records.dtypes).get(TIME) == "timestamp_ntz"
+    return records.where(compile_query(query, aliases, promoted=promoted_fields(records), now_us=now_us, search_raw=search_raw, for_filter=True, timed=timed))
 
 
 def count(records: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def count(records: DataFrame) -> DataFrame:
 
 def project(records: DataFrame, columns: Iterable[str]) -> DataFrame:
     """The named fields as columns, empty where a record has none."""
-    return records.select(*[F.coalesce(F.col("fields")[c], F.lit("")).alias(c) for c in columns])
+    return records.select(*[F.coalesce(field_of(records, c), F.lit("")).alias(c) for c in columns])
 
 
 def display_columns(records: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -40,7 +43,7 @@ def display_columns(records: DataFrame, columns: Iterable[str]) -> DataFrame:
             return F.upper(F.coalesce("level", F.lit("")))
         if name in ("message", "msg"):
             return F.substring_index(F.coalesce("message", F.lit("")), "\n", 1)
-        return F.coalesce(F.col("fields")[name], F.lit(""))
+        return F.coalesce(field_of(records, name), F.lit(""))
 
     return records.select(*[shown(c).alias(c) for c in columns])
 
@@ -48,10 +51,17 @@ def display_columns(records: DataFrame, columns: Iterable[str]) -> DataFrame:
 def merge_timeline(records: DataFrame) -> DataFrame:
     """Records of several sources with ``order_us``: their own time, or that of the last record of their source that has one.
 
-    A timed record orders itself. Only stretches without times look back, and only within their source.
+    A timed record orders itself. Only stretches without times look back, and only within their source: within ``STRETCH`` lines by a window, beyond by the last time
+    of each stretch, so that a long source is many tasks.
     """
-    before = Window.partitionBy("source_index").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("order_us", F.last("ts_us", ignorenulls=True).over(before))
+    keys = ["source_index", "_stretch"]
+    records = records.withColumn("_stretch", F.floor(F.coalesce("line_number", F.lit(0)) / STRETCH))
+    ends = records.groupBy(*keys).agg(F.max(F.when(F.col("ts_us").isNotNull(), F.struct("line_number", "ts_us")))["ts_us"].alias("_end"))
+    earlier = Window.partitionBy("source_index").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).select(*[F.col(k).alias(f"_{k}") for k in keys], "_carried")
+    before = Window.partitionBy(*keys).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    joined = records.withColumn("order_us", F.last("ts_us", ignorenulls=True).over(before)).join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return joined.withColumn("order_us", F.coalesce("order_us", "_carried")).drop("_carried", "_stretch", *[f"_{k}" for k in keys])
 
 
 def in_order(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_hex_id, is_uuid, name_of, normalize_name
+from ..plans.compiler import field_of
 
 # The names of identifiers that are known without configuration.
 ID_NAMES = ("trace_id", "request_id", "correlation_id", "span_id", "x_request_id")
@@ -31,4 +32,4 @@ def build_query(field: str, value: str) -> str:
 def follow_traces(records: DataFrame, values: DataFrame, field: str) -> DataFrame:
     """Records of any of many traces: ``values`` has a column ``value``. One semi-join, whatever the number of traces."""
     wanted = values.select(F.col("value").alias("_trace")).distinct()
-    return records.join(wanted, F.col("fields")[field] == F.col("_trace"), "left_semi")
+    return records.join(wanted, field_of(records, field) == F.col("_trace"), "left_semi")

@@ -7,8 +7,10 @@ the splits' totals, so that one large file is still many tasks.
 from __future__ import annotations
 
 import gzip
+import io
 import re
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +32,9 @@ TIME_START = (
 STRUCTURE_START = r"^(?:[{\[]|[0-9A-Za-z_]+=)"
 SAMPLE_LINES, MOSTLY, PARTLY, SOME, AT_LEAST = 100, 0.8, 0.3, 0.02, 2
 
+#: Bytes of an unzipped file that become rows at a time.
+UNZIPPED_BYTES = 8 << 20
+
 _SCHEME = "^[A-Za-z0-9]+:/+"
 _TRIMMED = r"(?U)^\s+|\s+$"
 
@@ -44,24 +49,32 @@ def is_gzip(spark: SparkSession, path: str) -> bool:
         stream.close()
 
 
+def _each(paths: Sequence[str], look) -> list:
+    """``look`` at every path, many at a time: all that is done per file on the driver is a look at its name and first bytes."""
+    with ThreadPoolExecutor(32) as pool:
+        return list(pool.map(look, paths))
+
+
 def _unzipped(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of gzip files whose names don't tell; each is one task, as gzip can't be split."""
+    """Lines of gzip files whose names don't tell; each is one task, as gzip can't be split. They are unzipped some bytes at a time; packed, Spark holds up to 2 GB of such a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                lines = gzip.decompress(content).decode("utf-8", "replace").split("\n")
-                lines = lines[:-1] if lines[-1] == "" else lines
-                yield pd.DataFrame({"path": path, "block": 0, "at": range(len(lines)), "value": lines})
+                at, lines = 0, gzip.GzipFile(fileobj=io.BytesIO(content))
+                while some := lines.readlines(UNZIPPED_BYTES):
+                    yield pd.DataFrame({"path": path, "block": 0, "at": range(at, at + len(some)), "value": [x.removesuffix(b"\n").decode("utf-8", "replace") for x in some]})
+                    at += len(some)
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, block long, at long, value string")
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(path, block, at, value): every line, in which split of which file, and a number that grows along the split."""
-    odd = [p for p in paths if not p.endswith(".gz") and is_gzip(spark, p)]
+    doubtful = [p for p in paths if not p.endswith(".gz")]
+    odd = {p for p, zipped in zip(doubtful, _each(doubtful, lambda p: is_gzip(spark, p)), strict=True) if zipped}
     plain = [p for p in paths if p not in odd]
-    parts = [_unzipped(spark, odd)] if odd else []
+    parts = [_unzipped(spark, sorted(odd))] if odd else []
     if plain:
         text = spark.read.option("lineSep", "\n").text(plain)
         parts.append(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
@@ -167,11 +180,9 @@ def read_logs(spark: SparkSession, paths: Sequence[str], multiline: str = "auto"
     from ..operators.rows import merge_timeline
 
     records = parse_entries(group_entries(number_lines(read_lines(spark, list(paths))), multiline), F.element_at(F.split("path", "/"), -1) if len(paths) > 1 else None)
-    names = [_file_key(spark, p) for p in paths]
-    place = F.lit(None).cast("int")
-    for i in range(len(names) - 1, -1, -1):
-        place = F.when(F.regexp_replace("path", _SCHEME, "/") == names[i], F.lit(i)).otherwise(place)
-    records = records.withColumn("source_index", place).drop("path")
+    names = {name: i for i, name in reversed(list(enumerate(_each(paths, lambda p: _file_key(spark, p)))))}
+    places = spark.createDataFrame(list(names.items()), "_name string, source_index int")
+    records = records.withColumn("_name", F.regexp_replace("path", _SCHEME, "/")).join(_small(places, len(names)), "_name", "left").drop("_name", "path")
     return merge_timeline(records) if len(paths) > 1 else records
 
 
