@@ -8,12 +8,12 @@ addresses, passwords, access keys) becomes a keyed digest of its own, equal for
 ========== =====================================================  ==========================================
 kind       found                                                  becomes
 ========== =====================================================  ==========================================
-card       13 to 19 digits, single blanks or dashes, Luhn digit   digits permuted, check digit made anew
+card       13 to 19 digits, blanks or dashes, or 4.4.4.4, Luhn    digits permuted, check digit made anew
 iban       country, check (mod 97), account; blanks every 4       account's digits permuted, check made anew
 phone      +country form of 8 to 15 digits, or North American     digits after the country code permuted
-ssn        3-2-4 digits, assignable                               digits permuted
+ssn        3-2-4 digits, assignable                               digits permuted among assignable ones
 ip         four octets                                            32 bits permuted
-date       y-m-d, d.m.y, d/m/y or m/d/y of 1900 to 2099, valid    days of these years permuted
+date       y-m-d, d.m.y, d-m-y, d/m/y or m/d/y of 1900 to 2099    days of these years permuted
 email      local@domain                                           digest@digest.example
 secret     password=, token=, api_key= ... with a value; AKIA...  same length, from a digest
 ========== =====================================================  ==========================================
@@ -57,8 +57,8 @@ PATTERN = "|".join([
     _EDGE + _SECRET + rf"(?:{_QUOTED}|(?!{_PROSE}){_VALUE})",
     _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _REAR,
     _EDGE + _BLANKED + _REAR,
-    _EDGE + r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]" + _REAR,
-    _EDGE + r"[0-3]?[0-9]([./])[0-3]?[0-9]\1(?:19|20)[0-9]{2}" + _REAR,
+    _EDGE + r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?:(?=T[0-9]{2}:)|" + _REAR + ")",
+    _EDGE + r"(?<![0-9]-)[0-3]?[0-9]([./-])[0-3]?[0-9]\1(?:19|20)[0-9]{2}(?!-?[\p{L}\p{N}])",
     _EDGE + r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}" + _REAR,
     r"(?<![\p{L}\p{N}(])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}" + _REAR,
@@ -67,7 +67,7 @@ PATTERN = "|".join([
     _HOLE,
 ])
 #: Runs of groups of digits in which cards may be, of any length.
-CARDS = _EDGE + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![\p{L}\p{N}])(?:[ -][0-9]++(?![\p{L}\p{N}]))*+"
+CARDS = _EDGE + r"[0-9]{4}(?:\.[0-9]{4}){3}(?![\p{L}\p{N}]|\.[0-9])|" + _EDGE + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![\p{L}\p{N}])(?:[ -][0-9]++(?![\p{L}\p{N}]))*+"
 
 
 def _q(text: str) -> str:
@@ -145,6 +145,13 @@ def _with_digits(key: str, source: str, kind: str, mask: str) -> str:
     return f"element_at(transform(array(regexp_replace({source}, '[^0-9]', '')), d -> {_refill(mask, _feistel(key, kind, 'd'))}), 1)"
 
 
+def _assignable(key: str, m: str) -> str:
+    """An SSN to another that can be assigned: permuted again until it is one (SQL)."""
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    walk = f"aggregate(sequence(1, 64), {_feistel(key, 'ssn', digits)}, (w, z) -> if(w rlike '^(000|666|9..)|^...00|0000$', {_feistel(key, 'ssn', 'w')}, w))"
+    return f"element_at(transform(array({walk}), x -> concat(substring(x, 1, 3), '-', substring(x, 4, 2), '-', substring(x, 6))), 1)"
+
+
 def _account(m: str, key: str) -> str:
     """A valid IBAN without blanks to another (SQL)."""
     bban = f"substring({m}, 5)"
@@ -154,9 +161,9 @@ def _account(m: str, key: str) -> str:
 def pseudonym(m: str, key: str) -> str:
     """SQL for the pseudonym of the match ``m`` (an SQL expression), or ``m`` itself where it doesn't validate."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-    part = lambda k: f"split({m}, '[./]')[{k}]"
+    part = lambda k: f"split({m}, '[./-]')[{k}]"
     iso = lambda d, mo: f"concat({part(2)}, '-', lpad({part(mo)}, 2, '0'), '-', lpad({part(d)}, 2, '0'))"
-    sep = f"if({m} like '%/%', '/', '.')"
+    sep = f"case when {m} like '%/%' then '/' when {m} like '%-%' then '-' else '.' end"
     lay = lambda d, mo, new: f"date_format({new}, concat({'\'dd\'' if d == 0 else '\'MM\''}, {sep}, {'\'MM\'' if d == 0 else '\'dd\''}, {sep}, 'yyyy'))"
     code = f"regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
     rest = f"substring({m}, 1 + length({code}))"
@@ -180,11 +187,11 @@ def pseudonym(m: str, key: str) -> str:
       when {m} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+$' then if({_mod97(f"concat(substring({m}, 5), substring({m}, 1, 4))")} = 1, {_account(m, key)}, {m})
       when {m} rlike '^[A-Z]{{2}}[0-9]{{2}} ' then {blanked}
       when {m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then if(try_cast({m} as date) is null, {m}, cast({_date(key, m)} as string))
-      when {m} rlike '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}$' then case
+      when {m} rlike '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$' then case
         when try_cast({iso(0, 1)} as date) is not null then {lay(0, 1, _date(key, iso(0, 1)))}
         when {m} like '%/%' and try_cast({iso(1, 0)} as date) is not null then {lay(1, 0, _date(key, iso(1, 0)))}
         else {m} end
-      when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({m} rlike '^(000|666|9..)-|-00-|-0000$', {m}, {with_digits(m, 'ssn', m)})
+      when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({m} rlike '^(000|666|9..)-|-00-|-0000$', {m}, {_assignable(key, m)})
       when {m} rlike '^[0-9]+([.][0-9]+){{3}}$' then {new_ip}
       when {m} rlike '^([+(]|[0-9]{{3}}[-.][0-9]{{3}}[-.][0-9]{{4}}$)' then if(length({digits}) between 8 and 15, concat({code}, {with_digits(rest, 'phone', rest)}), {m})
       else {m} end"""
@@ -208,7 +215,7 @@ def cards(m: str, key: str) -> str:
     before = f"substring({m}, if(k = 0, 1, {start('(get(a, k - 1).j + 1)')} - 1), {start('x.i')} - if(k = 0, 1, {start('(get(a, k - 1).j + 1)')} - 1))"
     rest = f"substring({m}, {start('(get(a, size(a) - 1).j + 1)')} - 1)"
     text = f"if(size(a) = 0, {m}, concat(array_join(transform(a, (x, k) -> concat({before}, {card})), ''), {rest}))"
-    return f"element_at(transform(array(named_struct('g', split({m}, '[ -]'))), r -> element_at(transform(array({apart}), a -> named_struct('t', {text}, 'n', size(a))), 1)), 1)"
+    return f"element_at(transform(array(named_struct('g', split({m}, '[ .-]'))), r -> element_at(transform(array({apart}), a -> named_struct('t', {text}, 'n', size(a))), 1)), 1)"
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = DEMO_KEY, found: str | None = None) -> DataFrame:
