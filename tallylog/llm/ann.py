@@ -174,7 +174,9 @@ def anisotropic_search(df: DataFrame, queries: Column, id_col: str = "vec_id", v
     dim = lengths["n"]
     rows = rows.where(F.size("vec") == dim)
     most = max(1, min(SAMPLE, SAMPLE_VALUES // dim))
-    sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(most).select("vec").toPandas()["vec"]
+    luck = F.abs(F.xxhash64("id", "vec", F.lit("ann"))) / F.lit(float(1 << 63))
+    # By a threshold first, so that tasks send no more than the sample among them.
+    sample = rows.where(luck < min(1.0, 1.1 * most / lengths["count"] + 100 / lengths["count"])).orderBy(luck, "id").limit(most).select("vec").toPandas()["vec"]
     codec = AnisotropicCodec(dim).fit(np.stack(sample.to_numpy()))
 
     def values(column) -> np.ndarray:
