@@ -17,9 +17,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for work tables: ``spark.checkpoint.dir``, or a temporary folder where that is unset (tests)."""
+    """The shared folder for work tables: ``spark.checkpoint.dir``. Where that is unset, a temporary one if Spark runs on one machine (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tallylog-")

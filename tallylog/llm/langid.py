@@ -127,17 +127,16 @@ def held_out(ident: Column) -> Column:
 def sample_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int) -> list:
     """Rows (lang, list of byte windows) of a bounded sample of the labelled rows that aren't held out."""
     rows = df.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(200).collect()
+    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     luck = F.abs(F.xxhash64(F.col(id_col), F.lit("langid"))) / F.lit(float(1 << 63))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = F.when(F.col(lang_col) == r[0], luck < min(1.0, per_language / r["n"])).otherwise(chosen)
+    share = df.sparkSession.createDataFrame([(r[0], min(1.0, per_language / r["n"])) for r in counts], "_lang string, _share double")
     data = F.col(text_col).cast("binary")
     size = F.octet_length(data)
     # Spread over the whole text; in bytes, so that a window may begin inside a character, as it may in prediction.
     starts = [F.greatest(F.lit(1), (size - WINDOW) * F.lit(k / max(1, windows - 1)) + 1).cast("int") for k in range(windows)]
     cuts = F.when(size <= WINDOW, F.array(data)).otherwise(F.array(*[F.substring(data, s, F.lit(WINDOW)) for s in starts]))
-    return rows.where(chosen).select(F.col(lang_col).alias("lang"), cuts.alias("cuts")).limit(2 * per_language * max(1, len(counts))).collect()
+    chosen = rows.select(F.col(lang_col).cast("string").alias("_lang"), luck.alias("_luck"), cuts.alias("cuts")).join(F.broadcast(share), "_lang").where("_luck < _share")
+    return chosen.select(F.col("_lang").alias("lang"), "cuts").limit(2 * per_language * max(1, len(counts))).collect()
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, windows: int = 3) -> ByteCNN:

@@ -108,7 +108,7 @@ def _cells(splitters: list[int], ranges: list[tuple[int, int]], wanted: int) ->
     return out
 
 
-def histogram_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.01, cells: int = 2048) -> DataFrame:
+def histogram_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.01, cells: int | None = None) -> DataFrame:
     """All rows of ``df`` with ``shard`` and ``slot`` (gapless from 0 within a shard), in key order, plus ``size`` and ``text_crc32``.
 
     A null text has size 1 and the digest of no bytes, as an empty one has, but is a group of its own. A null id is a
@@ -122,7 +122,8 @@ def histogram_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = df.withColumns({key: _key(text, F.col(id_col)), size: text_size(text), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
     narrow = stage_table(keyed.select(F.col(key).alias("_key"), F.col(size).alias("_size")), "keys")
     splitters, ranges = refine_splitters(narrow, shards, tolerance)
-    found = _cells(splitters, ranges, cells)
+    # A cell is a task's sort: about half a million rows at most, in 2048 cells at least.
+    found = _cells(splitters, ranges, cells or max(2048, sum(n for _, n in ranges) // 500_000))
     # Cells by the key's leading bits: 4096 rows and a few more for each refined range, so the broadcast is bounded.
     bits, by_top, last = 12, {}, None
     starts = {low: (low, s, f, c) for low, s, f, c in found}
