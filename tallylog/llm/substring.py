@@ -370,15 +370,16 @@ def frequent_prefixes(found: DataFrame, key: int, group: int = GROUP) -> tuple[l
 
 
 def _dealt(found: DataFrame, key: int, heavy: list[np.ndarray], tasks: int) -> DataFrame:
-    """(task, payload): suffixes by group; task -1: those whose core itself is too frequent."""
+    """(task, payload): suffixes by group, but for those whose core itself is too frequent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p in pdf["payload"]:
                 suffixes = Suffixes.unclose(p)
                 prefix, level = _assigned(suffixes, key, heavy)
-                task = np.where(level >= len(LADDER), -1, (mix(prefix, 3) % np.uint64(tasks)).astype(np.int64))
-                order = np.argsort(task, kind="stable")
+                task = (mix(prefix, 3) % np.uint64(tasks)).astype(np.int64)
+                at = np.flatnonzero(level < len(LADDER))
+                order = at[np.argsort(task[at], kind="stable")]
                 yield pd.DataFrame([(int(t), suffixes.take(order[a:b]).close()) for t, a, b in _groups(task[order])], columns=["task", "payload"])
 
     return found.where("kind = 0").select("payload").mapInPandas(run, "task int, payload binary")
@@ -455,13 +456,14 @@ def _trees(length: int):
     return run
 
 
-def _hot_repeats(dealt: DataFrame, length: int) -> DataFrame:
+def _hot_repeats(found: DataFrame, key: int, heavy: list[np.ndarray], length: int) -> DataFrame:
     """The same where the core is too frequent: the prefix is a whole window, as words. Its least id is aggregated before any exchange, and joined back in salted lots."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p in pdf["payload"]:
                 s = Suffixes.unclose(p)
+                s = s.take(np.flatnonzero(_assigned(s, key, heavy)[1] >= len(LADDER)))
                 left, right, own = s.left(), s.right(), s.columns
                 for o in range(length - CORE + 1):
                     at = np.flatnonzero((left >= o) & (right >= length - o))
@@ -469,7 +471,7 @@ def _hot_repeats(dealt: DataFrame, length: int) -> DataFrame:
                     text = [b" ".join([s.vocabulary[i] for i in w]) for w in window.tolist()]
                     yield pd.DataFrame({"win": text, "id": own["id"][at], "part": own["part"][at], "row": own["row"][at], "start": own["start"][at] - o})
 
-    each = dealt.where("task = -1").select("payload").mapInPandas(rows, "win binary, id long, part int, row int, start int")
+    each = stage_table(found.where("kind = 0").select("payload").mapInPandas(rows, "win binary, id long, part int, row int, start int"), "windows")
     least = each.groupBy("win").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").drop("most")
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     late = each.withColumn("salt", F.pmod(F.xxhash64("part", "row"), F.lit(SALTS)).cast("int")).join(least, ["win", "salt"]).where("id > least")
@@ -540,9 +542,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stage_table(found, "suffixes")
     heavy, total = frequent_prefixes(found, key, group)
     dealt = _dealt(found, key, heavy, max(16, total // group))
-    cuts = found.where("kind = 2").select("part", "payload").unionByName(dealt.where("task >= 0").groupBy("task").applyInPandas(_trees(length), "part int, payload binary"))
+    cuts = found.where("kind = 2").select("part", "payload").unionByName(dealt.groupBy("task").applyInPandas(_trees(length), "part int, payload binary"))
     if len(heavy) == len(LADDER) and len(heavy[-1]):
-        cuts = cuts.unionByName(_hot_repeats(dealt, length))
+        cuts = cuts.unionByName(_hot_repeats(found, key, heavy, length))
     cuts = stage_table(cuts, "stretches")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<struct<start:long,end:long>>" * with_text
     done = texts.groupBy("part").cogroup(cuts.groupBy("part")).applyInPandas(_removal(with_text), schema)
