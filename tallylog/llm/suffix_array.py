@@ -42,6 +42,7 @@ HEAVY, SALTS = 1 << 16, 32
 #: Ends a fragment or a text: UTF-8 has no such byte.
 END = 0xFF
 _U = np.uint64
+_FACTOR = _U(0x9E3779B97F4A7C15)
 
 
 # 1. Cores that several documents have.
@@ -60,7 +61,10 @@ def byte_cores(data: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.
     eight, m = _loaded(data), len(data) - CORE + 1
     marks = np.full(m, key, _U)
     for o in range(0, CORE, 8):
-        marks = mix(marks ^ eight[o : o + m])
+        marks ^= eight[o : o + m]
+        marks *= _FACTOR
+        marks ^= marks >> _U(29)
+    marks *= _FACTOR
     best = (marks & ~_U(0xFFFFFF)) | np.arange(m, dtype=_U)
     span, wide = 1, length - CORE + 1
     while 2 * span <= wide:
@@ -268,11 +272,17 @@ def _fragments(length: int, bits: int, key: int, collections: int):
                 kind = np.where(np.isin(own, wanted[0]), 0, np.where(np.isin(own, wanted[1]), 1, 2))
                 k = np.flatnonzero(kind < 2)
                 size = windows[k] + length - 1
-                data = np.where(span < size[:, None], joined[np.minimum(at[k, None] + span, len(joined) - 1)], END).astype(np.uint8)
+                if not len(k):
+                    continue
+                low_, high_ = int(at[k[0]]), int(at[k[-1]]) + width
+                near = joined[low_:high_]
+                near = np.concatenate([near, np.full(high_ - low_ - len(near), END, np.uint8)])
+                data = np.lib.stride_tricks.sliding_window_view(near, width)[at[k] - low_]
+                data[span >= size[:, None]] = END
                 made.append((data, kind[k], (mix(marks[k], 3) % _U(collections)).astype(np.int64), ids[low:high][owner[k]], owner[k] + low, start[k]))
-        data, kind, task, own, row, start = (np.concatenate(x) for x in zip(*made, strict=True))
-        if not len(data):
+        if not made:
             return pd.DataFrame({c: [] for c in columns})
+        data, kind, task, own, row, start = (np.concatenate(x) for x in zip(*made, strict=True))
         found = Fragments.joined([Fragments(data, np.full(len(own), part), of=np.arange(len(own)), id=own, row=row, start=start)])
         late = found.places["id"] > found.least()[found.places["of"]]
         out = []
@@ -291,19 +301,26 @@ def _fragments(length: int, bits: int, key: int, collections: int):
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` in the order of what begins there, by ``depth`` bytes or more, the text being a ring."""
-    n = len(text)
+    """Places of ``text`` in the order of what begins there, by ``depth`` bytes or more, the text being a ring: by 8 bytes, then by ranks of 8, 16 ... bytes and the ranks that far behind.
+
+    Where two ranks and the place fit 63 bits they are sorted as one number, which is several times faster than sorting places by keys.
+    """
+    n, known = len(text), 8
     key = _loaded(np.concatenate([text, np.resize(text, 7)]), ">u8").astype(_U)
-    known = 8
-    while True:
-        order = np.argsort(key)
-        if known >= depth:
-            return order
-        ranked = key[order]
+    order = np.argsort(key)
+    ranked, bits = key[order], _U(max(1, int(n - 1).bit_length()))
+    while known < depth:
         rank = np.empty(n, _U)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(_U)
-        key = (rank << _U(32)) | np.roll(rank, -known)
+        rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]), dtype=np.int32).astype(_U)
+        key = (rank << bits) | np.concatenate([rank[known % n :], rank[: known % n]])
+        if 3 * int(bits) < 64:
+            both = np.sort((key << bits) | np.arange(n, dtype=_U))
+            order, ranked = (both & ((_U(1) << bits) - _U(1))).astype(np.int64), both >> bits
+        else:
+            order = np.argsort(key)
+            ranked = key[order]
         known *= 2
+    return order
 
 
 def short_edges(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -320,22 +337,46 @@ def short_edges(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     same = before[by[1:]] == before[by[:-1]]
     last = np.full(n, -1, np.int32)  # where the same byte occurred last
     last[by[1:][same]] = by[:-1][same]
-    active = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    active = np.concatenate([[0], np.flatnonzero(~same) + 1]).astype(np.int32)
     known = np.zeros(n + 1, bool)
     known[active] = known[n] = True
     for _ in range(length - 1):
-        edges = np.flatnonzero(known)
-        size = edges[np.searchsorted(edges, active, side="right")] - active
+        size = _until_known(known, active) - active
         ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(active - ends + size, size)
+        at = np.arange(ends[-1], dtype=np.int32)
+        at += np.repeat(active - ends.astype(np.int32) + size, size)
         to = back[at[last[at] < np.repeat(active, size)]]
-        active = np.sort(to[~known[to]]).astype(np.int64)
+        active = np.sort(to[~known[to]])
         if not len(active):
             break
         known[active] = True
     return known
 
 
+def _until_known(known: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """The first known edge behind each active one. Where few are active, most intervals are short, and some edges ahead are looked at; else all are listed."""
+    ends = np.empty(len(active), np.int32)
+    left = np.arange(len(active))
+    if 16 * len(active) < len(known):
+        for wide in (8, 128):
+            if len(known) <= wide:
+                break
+            begin = np.minimum(active[left] + 1, len(known) - wide)  # a window further back begins with what lies before: skipped below
+            ahead = np.lib.stride_tricks.sliding_window_view(known, wide)[begin]
+            skipped = active[left] + 1 - begin
+            if skipped.any():
+                ahead &= np.arange(wide) >= skipped[:, None]
+            at = ahead.argmax(axis=1)
+            found = ahead[np.arange(len(left)), at]
+            ends[left[found]] = (begin + at)[found]
+            left = left[~found]
+            if not len(left):
+                return ends
+    edges = np.flatnonzero(known)
+    ends[left] = edges[np.searchsorted(edges, active[left], side="right")]
+    return ends
+
+
 def repeats(found: Fragments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place's number, start in its text, size) of the stretches whose windows a document with a smaller id has, too."""
     sizes, least = found.sizes(), found.least()
