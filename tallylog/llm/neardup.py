@@ -251,7 +251,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(made, pa.binary())], ["rep", "part", "copies", "grams"])
 
     grams = texts.select("rep", "text", "part", "copies", "h1").mapInArrow(sets_of, "rep long, part long, copies long, grams binary")
-    dealt = _tasks(members.select("rep", "part", "n"), "part", "n", threshold, max(64, members.count() // 500)).select("rep", "_task", "_low", "_same")
+    held = members.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
+    lots = max(64, held["rows"] // 500, held["grams"] // BLOCK_GRAMS)  # of whole groups: bounded by their n-grams, however few members have them
+    dealt = _tasks(members.select("rep", "part", "n"), "part", "n", threshold, lots).select("rep", "_task", "_low", "_same")
     tasks = grams.join(dealt.hint("merge"), "rep")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
