@@ -19,7 +19,8 @@ from .operators.tree import tree_lines
 from .plans.aliases import Aliases
 from .plans.compiler import field_of
 from .sources.columns import records_from_columns
-from .sources.files import group_entries, parse_log, read_logs
+from .sources.files import group_entries, number_lines, parse_entries, read_logs
+from .sources.records import with_records
 
 #: What ``last:`` counts from: noon of 20 January 2024.
 NOW_US = 1_705_752_000_000_000
@@ -327,20 +328,28 @@ def _(spark, d):
     return catalog.field_values(events(spark, d).withColumn("fields", F.create_map(F.lit("n"), F.col("line_number").cast("string"))), "n")
 
 
-def _rendered(spark: SparkSession, d: str, text: Column) -> DataFrame:
+def _rendered(spark: SparkSession, d: str, text: Column, *more: str) -> DataFrame:
     """Events written as text and read again."""
     df = spark.read.parquet(f"{d}/events.parquet").withColumn("lvl", _level())
-    back = df.select("event_id", parse_log(text).alias("r")).select(F.col("event_id").alias("line_number"), "r.*")
-    return back.select("line_number", "ts_us", "level", F.col("fields")["user_id"].alias("user_id"), "message")
+    back = with_records(df.select("event_id", text.alias("text")), F.col("text")).select(F.col("event_id").alias("line_number"), "_record.*")
+    return back.select("line_number", "ts_us", "level", F.col("fields")["user_id"].alias("user_id"), "message", *[F.col("fields")[x].alias(x.replace(".", "_")) for x in more])
 
 
 _ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
 _BACK = f"{_EVENTS} SELECT line_number, ts_us, level, user_id, message FROM e"
 
 
-@_query("roundtrip_json", _BACK)
+_SHARE = "event_id % 4 / 4 + user_id"
+
+
+@_query("roundtrip_json", f"""{_EVENTS} SELECT e.line_number, ts_us, level, e.user_id, message, CASE WHEN line_number % 4 = 0 THEN e.user_id ELSE ((line_number % 4) / 4 + e.user_id::DOUBLE)::VARCHAR END AS nested_v,
+  '["' || service || '",{{"a":null,"n":[' || e.user_id || ',true]}}]' AS nested_deep_tags FROM e""")
 def _(spark, d):
-    return _rendered(spark, d, F.to_json(F.struct(F.expr(_ISO).alias("time"), F.col("lvl").alias("severity"), "user_id", _message().alias("msg"), F.struct(F.col("value").alias("v")).alias("nested"))))
+    """Objects in objects become fields with dotted names, a fraction prints in its shortest form, and an array is JSON text with its keys in order."""
+    tags = F.concat(F.lit('["'), F.col("event_type"), F.lit('", {"n": ['), F.col("user_id").cast("string"), F.lit(', true], "a": null}]'))
+    nested = F.concat(F.lit(', "nested": {"v": '), F.expr(f"cast({_SHARE} as string)"), F.lit(', "deep": {"tags": '), tags, F.lit(', "none": null}}}'))
+    flat = F.to_json(F.struct(F.expr(_ISO).alias("time"), F.col("lvl").alias("severity"), "user_id", _message().alias("msg")))
+    return _rendered(spark, d, F.concat(F.substring(flat, F.lit(1), F.length(flat) - 1), nested), "nested.v", "nested.deep.tags")
 
 
 @_query("roundtrip_pairs", _BACK)
@@ -354,14 +363,14 @@ def _(spark, d):
     return _rendered(spark, d, _plain_line())
 
 
-@_query("multiline_group", """SELECT 1 + 3 * n AS line_number, chr((65 + n % 26)::INT) || ' x=1' AS head, 3 AS lines FROM (SELECT unnest(range(200)) AS n)""")
+@_query("multiline_group", f"""{_EVENTS} SELECT 3 * row_number() OVER (ORDER BY line_number) - 2 AS line_number, (ts_us // 1000) * 1000 AS ts_us, 'at a.B.user' || user_id AS message, 3 AS lines FROM e""")
 def _(spark, d):
-    n = spark.range(600).select(F.lit("f").alias("path"), (F.floor(F.col("id") / 100) * 100).alias("block"), F.col("id").alias("at"), (F.col("id") + 1).alias("line_number"))
-    k = F.floor((F.col("line_number") - 1) / 3)
-    stamp = F.concat(F.lit("2024-01-01 00:00:0"), (k % 10).cast("string"), F.lit(" "), F.char(65 + k % 26), F.lit(" x=1"))
-    value = F.when((F.col("line_number") - 1) % 3 == 0, stamp).when((F.col("line_number") - 1) % 3 == 1, F.lit("  at java.lang.Thread")).otherwise(F.lit(""))
-    entries = group_entries(n.withColumn("value", value))
-    return entries.select("line_number", F.substring(F.substring_index("text", "\n", 1), 21, 10).alias("head"), F.size(F.split("text", "\n")).alias("lines"))
+    """Entries of three lines, of lines that are rows of a table: a time alone, which leaves the message to the line after it, and a line of dashes. A thousand events are a block."""
+    df = spark.read.parquet(f"{d}/events.parquet")
+    place = F.col("event_id") - F.lit(df.agg(F.min("event_id")).first()[0])  # ids have no gaps
+    rows_ = df.select(F.lit("f").alias("path"), (F.floor(place / 1000)).alias("block"), F.posexplode(F.array(F.expr("date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"), F.lit("----"), F.concat(F.lit("  at a.B.user"), F.col("user_id").cast("string")))).alias("k", "value"), (3 * place).alias("at"))
+    lines = number_lines(rows_.select("path", "block", (F.col("at") + F.col("k")).alias("at"), "value"))
+    return parse_entries(group_entries(lines, "timed")).select("line_number", "ts_us", "message", F.size(F.split("raw", "\n")).alias("lines"))
 
 
 def _folder(spark: SparkSession) -> str:

@@ -18,10 +18,8 @@ _OF = {word: level for level, words in WORDS.items() for word in words}
 
 def normalize_level(text: Column) -> Column:
     """debug, info, warn, error or fatal; any other text in lower case, as it is otherwise."""
-    word, out = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), F.lower(text)
-    for level, words in WORDS.items():
-        out = F.when(word.isin(*words), level).otherwise(out)
-    return out
+    levels = F.create_map(*[F.lit(x) for pair in _OF.items() for x in pair])
+    return F.coalesce(F.try_element_at(levels, F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))), F.lower(text))
 
 
 def level_of(text: str) -> str:

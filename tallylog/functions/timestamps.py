@@ -59,7 +59,7 @@ def micros(layout: re.Pattern, text: str) -> int | None:
 
 
 def parse_timestamp(text: str) -> int | None:
-    """A field's time: one of the layouts, or seconds (above 1e9) or milliseconds (above 1e12) since the epoch."""
+    """A field's time: one of the layouts, or seconds (above 1e9) or milliseconds (above 1e12) since the epoch, up to the year 294,247."""
     text = text.strip()
     for layout in FIELD_LAYOUTS:
         if (found := micros(layout, text)) is not None:
@@ -69,4 +69,5 @@ def parse_timestamp(text: str) -> int | None:
         return None
     whole = int(number / 1000) if number > 1e12 else int(number)
     rest = (number - whole * 1000) / 1000 if number > 1e12 else number - whole
-    return whole * 1_000_000 + int(rest * 1_000_000_000) // 1000
+    found = whole * 1_000_000 + int(rest * 1_000_000_000) // 1000
+    return found if found < 1 << 63 else None

@@ -48,19 +48,27 @@ def display_columns(records: DataFrame, columns: Iterable[str]) -> DataFrame:
     return records.select(*[shown(c).alias(c) for c in columns])
 
 
-def merge_timeline(records: DataFrame) -> DataFrame:
+def stretch_ends(records: DataFrame) -> DataFrame:
+    """(source_index, _stretch, _end): the last time in each stretch of a source's lines, null where it has none."""
+    stretch = F.floor(F.coalesce("line_number", F.lit(0)) / STRETCH).alias("_stretch")
+    return records.groupBy("source_index", stretch).agg(F.max(F.when(F.col("ts_us").isNotNull(), F.struct("line_number", "ts_us")))["ts_us"].alias("_end"))
+
+
+def merge_timeline(records: DataFrame, ends: DataFrame | None = None, short: bool = False) -> DataFrame:
     """Records of several sources with ``order_us``: their own time, or that of the last record of their source that has one.
 
     A timed record orders itself. Only stretches without times look back, and only within their source: within ``STRETCH`` lines by a window, beyond by the last time
-    of each stretch, so that a long source is many tasks.
+    of each stretch, so that a long source is many tasks. These are ``ends`` where they are known, else a second look at the records; ``short`` says that no source has a second stretch.
     """
     keys = ["source_index", "_stretch"]
-    records = records.withColumn("_stretch", F.floor(F.coalesce("line_number", F.lit(0)) / STRETCH))
-    ends = records.groupBy(*keys).agg(F.max(F.when(F.col("ts_us").isNotNull(), F.struct("line_number", "ts_us")))["ts_us"].alias("_end"))
-    earlier = Window.partitionBy("source_index").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
-    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).select(*[F.col(k).alias(f"_{k}") for k in keys], "_carried")
     before = Window.partitionBy(*keys).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    joined = records.withColumn("order_us", F.last("ts_us", ignorenulls=True).over(before)).join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    ordered = records.withColumn("_stretch", F.floor(F.coalesce("line_number", F.lit(0)) / STRETCH)).withColumn("order_us", F.last("ts_us", ignorenulls=True).over(before))
+    if short:
+        return ordered.drop("_stretch")
+    earlier = Window.partitionBy("source_index").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    carried = (stretch_ends(records) if ends is None else ends).withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier))
+    carried = carried.select(*[F.col(k).alias(f"_{k}") for k in keys], "_carried")
+    joined = ordered.join(carried, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
     return joined.withColumn("order_us", F.coalesce("order_us", "_carried")).drop("_carried", "_stretch", *[f"_{k}" for k in keys])
 
 

@@ -9,16 +9,18 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import PARSED
-from .entries import parse_entry
+from .entries import Record, parse_entry
+from .records import with_records
 
 # How an entry's first line begins, by time or by structure; what of the first lines decides.
 TIME_START = (
@@ -32,25 +34,61 @@ TIME_START = (
 STRUCTURE_START = r"^(?:[{\[]|[0-9A-Za-z_]+=)"
 SAMPLE_LINES, MOSTLY, PARTLY, SOME, AT_LEAST = 100, 0.8, 0.3, 0.02, 2
 
-#: Bytes of an unzipped file that become rows at a time.
-UNZIPPED_BYTES = 8 << 20
+#: Bytes of an unzipped file that become rows at a time; bytes of a file in which its first lines are looked for.
+UNZIPPED_BYTES, HEAD_BYTES = 8 << 20, 1 << 20
+GZIP = b"\x1f\x8b"
 
 _SCHEME = "^[A-Za-z0-9]+:/+"
 _TRIMMED = r"(?U)^\s+|\s+$"
 
 
-def is_gzip(spark: SparkSession, path: str) -> bool:
-    """Whether the file begins with gzip's two bytes, whatever its name."""
+def head_of(spark: SparkSession, path: str, most: int) -> bytes:
+    """The file's first bytes, ``most`` at most."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
     try:
-        return (stream.read(), stream.read()) == (0x1F, 0x8B)
+        return bytes(stream.readNBytes(most))
     finally:
         stream.close()
 
 
+def is_gzip(spark: SparkSession, path: str) -> bool:
+    """Whether the file begins with gzip's two bytes, whatever its name."""
+    return head_of(spark, path, 2) == GZIP
+
+
+def _unzipped_head(head: bytes) -> bytes:
+    try:
+        return zlib.decompressobj(wbits=31).decompress(head, HEAD_BYTES) if head[:2] == GZIP else head
+    except zlib.error:
+        return b""
+
+
+def mode_of_file(spark: SparkSession, path: str) -> str:
+    """A file's mode by its first lines, of which ``HEAD_BYTES`` at most are looked at."""
+    for size in (HEAD_BYTES // 16, HEAD_BYTES):
+        packed = head_of(spark, path, size)
+        head = _unzipped_head(packed)
+        if head.count(b"\n") >= SAMPLE_LINES or len(packed) < size:
+            break
+    lines = head.decode("utf-8", "replace").split("\n")[:SAMPLE_LINES]
+    return mode_of([x for x in map(str.strip, lines) if x])
+
+
+def mode_of(lines: list[str]) -> str:
+    """The mode that a file's first lines, trimmed and without blank ones, speak for."""
+    if not lines:
+        return "single"
+    structured, timed = (sum(bool(re.search(p, x, re.ASCII)) for x in lines) for p in (STRUCTURE_START, TIME_START))
+    if structured / len(lines) >= MOSTLY:
+        return "single"
+    if structured / len(lines) > PARTLY:
+        return "structured"
+    return "timed" if timed / len(lines) > SOME and timed >= AT_LEAST else "single"
+
+
 def _each(paths: Sequence[str], look) -> list:
-    """``look`` at every path, many at a time: all that is done per file on the driver is a look at its name and first bytes."""
+    """``look`` at every path, many at a time: all that is done per file on the driver is a look at its name and first lines."""
     with ThreadPoolExecutor(32) as pool:
         return list(pool.map(look, paths))
 
@@ -108,33 +146,20 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return numbered.withColumn("line_number", F.col("at") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
 
 
-def modes(lines: DataFrame) -> DataFrame:
-    """(path, mode) of each file, by its first lines: ``single``, ``structured`` or ``timed``."""
-    value = F.regexp_replace("value", _TRIMMED, "")
-    first = lines.where(F.col("line_number") <= SAMPLE_LINES).select("path", value.alias("v")).groupBy("path").agg(
-        F.count_if(F.col("v") != "").alias("n"), F.count_if(F.col("v").rlike(STRUCTURE_START)).alias("structured"), F.count_if(F.col("v").rlike(TIME_START)).alias("timed"))
-    share = lambda c: F.col(c) / F.col("n")
-    mode = F.when((F.col("n") == 0) | (share("structured") >= MOSTLY), "single").when(share("structured") > PARTLY, "structured").when((share("timed") > SOME) & (F.col("timed") >= AT_LEAST), "timed").otherwise("single")
-    return first.select("path", F.when(F.col("n") == 0, "single").otherwise(mode).alias("mode"))
-
-
-def group_entries(lines: DataFrame, multiline: str = "auto") -> DataFrame:
-    """(path, line_number, text) of entries. ``multiline``: ``auto``, or a mode for all files.
+def group_entries(lines: DataFrame, multiline: str | dict[str, str] = "single") -> DataFrame:
+    """(path, line_number, text) of entries. ``multiline``: a mode for all files, or the modes of those that aren't ``single``, by path without scheme.
 
     In a grouped file an entry's first line begins as its mode says; other lines go on with the entry, blank ones as well, and the first line that isn't blank always begins one.
-    ``auto`` looks at the files' first lines now; where all are of one line per entry, as most are, nothing is grouped.
+    Where all files are of one line per entry, as most are, nothing is grouped.
     """
     blank = F.regexp_replace("value", _TRIMMED, "") == ""
-    if multiline == "auto":
-        found = modes(lines)
-        some = found.where("mode != 'single'").limit(BROADCAST_SPLITS + 1).collect()  # one row a file that needs grouping
-        if not some:
-            multiline = "single"
-        elif len(some) <= BROADCAST_SPLITS:
-            found = F.broadcast(lines.sparkSession.createDataFrame([(r["path"], r["mode"]) for r in some], "path string, mode string"))
-    if multiline == "single":
+    if multiline == "single" or not multiline:
         return lines.where(~blank).select("path", "line_number", F.col("value").alias("text"))
-    moded = lines.join(found, "path", "left").fillna("single", ["mode"]) if multiline == "auto" else lines.withColumn("mode", F.lit(multiline))
+    if isinstance(multiline, dict):
+        found = _small(lines.sparkSession.createDataFrame(list(multiline.items()), "_name string, mode string"), len(multiline))
+        moded = lines.withColumn("_name", F.regexp_replace("path", _SCHEME, "/")).join(found, "_name", "left").fillna("single", ["mode"]).drop("_name")
+    else:
+        moded = lines.withColumn("mode", F.lit(multiline))
     single = moded.where((F.col("mode") == "single") & ~blank).select("path", "line_number", F.col("value").alias("text"))
     grouped = moded.where("mode != 'single'").withColumn("blank", blank)
     begins = ~F.col("blank") & F.when(F.col("mode") == "timed", F.col("value").rlike(TIME_START)).otherwise(F.col("value").rlike(STRUCTURE_START))
@@ -149,23 +174,28 @@ def group_entries(lines: DataFrame, multiline: str = "auto") -> DataFrame:
 
 
 _MAP = pa.map_(pa.string(), pa.string())
+NOTHING = Record(None, None, None, None, None)
 
 
 @F.arrow_udf(PARSED)
 def parse_log(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The record of each entry's text."""
+    """The record of each entry's text; nothing for null."""
     for texts in batches:
-        rows = [parse_entry(t or "") for t in texts.to_pylist()]
+        rows = [NOTHING if t is None else parse_entry(t) for t in texts.to_pylist()]
         yield pa.StructArray.from_arrays([
             pa.array([r.ts_us for r in rows], pa.int64()), pa.array([r.level for r in rows], pa.string()), pa.array([r.message for r in rows], pa.string()),
-            pa.array([list(r.fields.items()) for r in rows], _MAP), pa.array([r.raw for r in rows], pa.string()),
+            pa.array([r.fields and list(r.fields.items()) for r in rows], _MAP), pa.array([r.raw for r in rows], pa.string()),
         ], PARSED.names)
 
 
+#: Evaluated once an entry: filters on records aren't pushed below it, where each would write the parsing out anew.
+parse_log = parse_log.asNondeterministic()
+
+
 def parse_entries(entries: DataFrame, source=None) -> DataFrame:
     """Records of (line_number, text) and other columns, which stay. With ``source``, that is a field, too, and goes before one of the entry's own."""
     kept = [c for c in entries.columns if c not in ("text", "line_number")]
-    out = entries.withColumn("_record", parse_log("text")).select(*kept, "line_number", "_record.*")
+    out = with_records(entries, F.col("text")).select(*kept, "line_number", "_record.*")
     if source is None:
         return out.withColumn("source", F.lit(None).cast("string"))
     merged = F.map_concat(F.map_filter("fields", lambda k, v: k != "source"), F.create_map(F.lit("source"), F.col("source")))
@@ -179,11 +209,51 @@ def read_logs(spark: SparkSession, paths: Sequence[str], multiline: str = "auto"
     """
     from ..operators.rows import merge_timeline
 
-    records = parse_entries(group_entries(number_lines(read_lines(spark, list(paths))), multiline), F.element_at(F.split("path", "/"), -1) if len(paths) > 1 else None)
-    names = {name: i for i, name in reversed(list(enumerate(_each(paths, lambda p: _file_key(spark, p)))))}
+    keys = _each(paths, lambda p: _file_key(spark, p))
+    if multiline == "auto":
+        multiline = {k: m for k, m in zip(keys, _each(paths, lambda p: mode_of_file(spark, p)), strict=True) if m != "single"}
+    entries = group_entries(number_lines(read_lines(spark, list(paths))), multiline)
+    names = {name: i for i, name in reversed(list(enumerate(keys)))}
     places = spark.createDataFrame(list(names.items()), "_name string, source_index int")
-    records = records.withColumn("_name", F.regexp_replace("path", _SCHEME, "/")).join(_small(places, len(names)), "_name", "left").drop("_name", "path")
-    return merge_timeline(records) if len(paths) > 1 else records
+    placed = entries.withColumn("_name", F.regexp_replace("path", _SCHEME, "/")).join(_small(places, len(names)), "_name", "left").drop("_name")
+    if len(paths) == 1:
+        return parse_entries(placed.drop("path"))
+    records = parse_entries(placed, F.element_at(F.split("path", "/"), -1)).drop("path")
+    ends = last_times(placed)
+    return merge_timeline(records, ends, short=ends is None)
+
+
+#: Lines at a stretch's end in which its last time is looked for first.
+TAIL_LINES = 200
+
+
+def last_times(entries: DataFrame) -> DataFrame | None:
+    """The last time of each stretch of a source's entries (see ``stretch_ends``); None where no source has more than one stretch.
+
+    Looked for now, so that records of several files are parsed once: only the last lines of stretches are parsed, and whole stretches only where no time is found in these.
+    """
+    from ..operators.rows import STRETCH, stretch_ends
+
+    spark, number = entries.sparkSession, F.col("line_number")
+
+    def ends(some: DataFrame, text: Column) -> DataFrame:
+        return stretch_ends(with_records(some.select("source_index", "line_number", "text"), text).select("source_index", "line_number", "_record.ts_us"))
+
+    rows = ends(entries, F.when(number % STRETCH >= STRETCH - TAIL_LINES, F.col("text"))).limit(BROADCAST_SPLITS + 1).collect()  # one row for STRETCH lines
+    if len(rows) > BROADCAST_SPLITS:
+        return ends(entries, F.col("text"))
+    final: dict[int, int] = {}
+    for r in rows:
+        final[r["source_index"]] = max(final.get(r["source_index"], 0), r["_stretch"])
+    if not any(final.values()):
+        return None
+    known = {(r["source_index"], r["_stretch"]): r["_end"] for r in rows}
+    open_ = [k for k, end in known.items() if end is None and k[1] < final[k[0]]]
+    if open_:
+        wanted = spark.createDataFrame(open_, "source_index int, _stretch long")
+        again = entries.withColumn("_stretch", F.floor(number / STRETCH)).join(F.broadcast(wanted), ["source_index", "_stretch"])
+        known |= {(r["source_index"], r["_stretch"]): r["_end"] for r in ends(again, F.col("text")).collect()}
+    return spark.createDataFrame([(*k, v) for k, v in known.items()], "source_index int, _stretch long, _end long")
 
 
 def _file_key(spark: SparkSession, path: str) -> str:
@@ -195,4 +265,6 @@ def _file_key(spark: SparkSession, path: str) -> str:
 def from_lines(spark: SparkSession, lines: Sequence[str], multiline: str = "auto") -> DataFrame:
     """Records of lines that the driver holds, such as its standard input."""
     rows = spark.createDataFrame([("-", 0, i, line.rstrip("\n").removesuffix("\r")) for i, line in enumerate(lines)], "path string, block long, at long, value string")
+    if multiline == "auto":
+        multiline = mode_of([x for x in (line.strip() for line in lines[:SAMPLE_LINES]) if x])
     return parse_entries(group_entries(number_lines(rows), multiline)).drop("path").withColumn("source_index", F.lit(0))

@@ -3,14 +3,17 @@ import gzip
 import pytest
 
 from tallylog.operators.rows import in_order, matching
-from tallylog.sources.files import from_lines, group_entries, number_lines, read_lines, read_logs
+from tallylog.operators import rows as rows_module
+from tallylog.sources import files
+from tallylog.sources.files import from_lines, group_entries, mode_of, mode_of_file, number_lines, read_lines, read_logs
 
 TRACE = ["2026-03-08 10:00:01 ERROR first", "java.lang.Exception: x", "  at a.B", "", "  at c.D", "2026-03-08 10:00:02 INFO second", "", "2026-03-08 10:00:03 INFO third", ""]
 
 
-def entries(spark, lines, **how):
+def entries(spark, lines, multiline=None):
+    multiline = multiline or mode_of([x for x in map(str.strip, lines[:100]) if x])
     df = spark.createDataFrame([("f", 0, i, x) for i, x in enumerate(lines)], "path string, block long, at long, value string")
-    return [(r["line_number"], r["text"]) for r in group_entries(number_lines(df), **how).orderBy("line_number").collect()]
+    return [(r["line_number"], r["text"]) for r in group_entries(number_lines(df), multiline).orderBy("line_number").collect()]
 
 
 def test_stack_trace(spark):
@@ -80,3 +83,40 @@ def test_sources_are_merged(spark, tmp_path):
 def test_standard_input(spark):
     records = from_lines(spark, ["ts=2026-03-08T10:00:01Z level=error msg=a\r\n", "\n", "ts=2026-03-08T10:00:02Z level=info msg=b\n"])
     assert [(r["line_number"], r["level"], r["message"]) for r in records.orderBy("line_number").collect()] == [(1, "error", "a"), (3, "info", "b")]
+
+
+def test_modes_from_the_first_bytes(spark, tmp_path, monkeypatch):
+    texts = {"trace": "\n".join(TRACE), "json": '{"a":1}\n' * 300, "mixed": '{"a":1}\n  more\n' * 60, "plain": "plain\n" * 100 + "\n".join(TRACE), "none": "", "blank": "\n" * 500, "wide": ("x" * 3000 + "\n") * 60 + "2026-03-08 10:00:01 a\n" * 40}
+    want = {"trace": "timed", "json": "single", "mixed": "structured", "plain": "single", "none": "single", "blank": "single", "wide": "timed"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(text.encode()))
+    assert {n: mode_of_file(spark, str(tmp_path / n)) for n in texts} == want
+    assert {n: mode_of_file(spark, str(tmp_path / f"{n}.gz")) for n in texts} == want
+    monkeypatch.setattr(files, "HEAD_BYTES", 1600)
+    assert mode_of_file(spark, str(tmp_path / "trace")) == "timed" and mode_of_file(spark, str(tmp_path / "wide")) == "single"
+
+
+def test_several_files_are_parsed_once(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text('{"ts":"2026-03-08T10:00:02Z"}\n' * 5)
+    logs = read_logs(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert logs._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert logs.count() == 10
+
+
+@pytest.mark.parametrize("tail", [2, 200])
+def test_times_carry_over_stretches(spark, tmp_path, monkeypatch, tail):
+    monkeypatch.setattr(rows_module, "STRETCH", 10)
+    monkeypatch.setattr(files, "TAIL_LINES", tail)
+    timed = {1, 3, 14, 15, 42, 47}
+    (tmp_path / "a").write_text("".join(f'{{"ts":"2026-03-08T10:00:{i:02d}Z"}}\n' if i in timed else "x\n" for i in range(60)))
+    (tmp_path / "b").write_text("y\n" * 25)
+    logs = read_logs(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    got = {(r["source_index"], r["line_number"]): r["order_us"] for r in logs.collect()}
+    start = 1772964000000000
+    for i in range(60):
+        past = [t for t in timed if t <= i]
+        assert got[0, i + 1] == (start + max(past) * 1_000_000 if past else None)
+    assert all(got[1, i + 1] is None for i in range(25))
+    assert logs._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
