@@ -3,7 +3,8 @@
 Every document gets a 63-bit key: 43 bits of its text's hash, then 20 bits of its id's hash. Equal texts are thus
 neighbours, and a hot text can still be split anywhere inside. One aggregation counts the exact bytes and rows of
 4096 equal key ranges; each range in which a wanted splitter falls too far from both edges is cut into 4096 again,
-at most five times. Only counts of key ranges ever reach the driver: at most 4096 a splitter, whatever the input.
+at most five times. Only counts of key ranges ever reach the driver: at most 4096 a splitter and some 10,000 more for
+ranges with hot texts, whatever the input.
 
 Law: ``bytes``. Splitters stand between groups of equal texts where that keeps each shard's end within
 ``tolerance`` of its target, and inside a group only where they must.
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, positional, restored, stage_table, text_size
 
-#: Key bits, and those of them that tell documents of one text apart.
-KEY_BITS, ID_BITS = 63, 20
+#: Key bits, those of them that tell documents of one text apart, and those that a pass tells apart.
+KEY_BITS, ID_BITS, PROBE_BITS = 63, 20, 12
+TOP_SHIFT = KEY_BITS - PROBE_BITS
 
 
 def _key(text, ident):
@@ -25,36 +27,46 @@ def _key(text, ident):
     return F.shiftleft(hashed, ID_BITS).bitwiseOR(F.xxhash64(ident).bitwiseAND(F.lit((1 << ID_BITS) - 1)))
 
 
-def _count(keyed: DataFrame, ranges: list[tuple[int, int, int]]) -> list[dict[int, tuple[int, int]]]:
-    """Bytes and rows of each part of each range (low, log2 of a part's width, parts): one pass, counts only to the driver."""
-    number, part = F.lit(None).cast("int"), F.lit(None).cast("long")
-    for j, (low, shift, parts) in enumerate(ranges):
-        inside = (F.col("_key") >= low) & (F.col("_key") <= low + (parts << shift) - 1)
-        number = F.when(inside, F.lit(j)).otherwise(number)
-        part = F.when(inside, F.shiftright(F.col("_key") - F.lit(low), shift)).otherwise(part)
-    rows = keyed.select(number.alias("j"), part.alias("p"), "_size").where("j is not null").groupBy("j", "p").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    out: list[dict[int, tuple[int, int]]] = [{} for _ in ranges]
-    for r in rows:
-        out[r.j][r.p] = (r.b, r.n)
+def _count(keyed: DataFrame, ranges: list[tuple[int, int, int, bool]], most_rows: int, run_rows: int) -> list[dict[int, tuple[int, int, int]]]:
+    """Bytes, rows and number of parts of each run of parts of each range (low, log2 of a part's width, parts, whether all parts are wanted): one pass, counts only to the driver.
+
+    A key finds its range by its leading bits, which no range reaches over, and then among the few ranges that have these. Where only large parts are wanted, each of over ``most_rows`` rows is a
+    run of its own; others are joined into runs of about ``run_rows``.
+    """
+    by_top: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+    for j, (low, shift, parts, every) in enumerate(ranges):
+        by_top.setdefault(low >> TOP_SHIFT, []).append((low, low + (parts << shift) - 1, shift, j, every))
+    table = keyed.sparkSession.createDataFrame(list(by_top.items()), "_top long, _ranges array<struct<low:long,last:long,shift:int,j:int,every:boolean>>")
+    inside = F.filter("_ranges", lambda r: (r["low"] <= F.col("_key")) & (F.col("_key") <= r["last"]))
+    found = keyed.withColumn("_top", F.shiftright("_key", TOP_SHIFT)).join(F.broadcast(table), "_top").withColumn("r", F.try_element_at(inside, F.lit(1))).where("r is not null")
+    counts = found.select("r.j", "r.every", F.expr("shiftright(_key - r.low, r.shift)").alias("p"), "_size").groupBy("j", "every", "p").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("j").orderBy("p")  # 4096 rows at most
+    alone = F.col("every") | (F.col("n") > most_rows)
+    counts = counts.withColumns({"alone": alone, "own": F.sum(alone.cast("long")).over(along), "low": F.when(~alone, F.floor((F.sum("n").over(along) - F.col("n")) / run_rows))})
+    runs = counts.groupBy("j", "own", "alone", "low").agg(F.min("p").alias("p"), F.sum("b").alias("b"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    out: list[dict[int, tuple[int, int, int]]] = [{} for _ in ranges]
+    for r in runs.collect():
+        out[r["j"]][r["p"]] = (r["b"], r["n"], r["k"] if not r["alone"] else 1)
     return out
 
 
-def refine_splitters(keyed: DataFrame, shards: int, tolerance: float, probe_bits: int = 12, most_rows: int | None = None):
+def refine_splitters(keyed: DataFrame, shards: int, tolerance: float, probe_bits: int = PROBE_BITS, most_rows: int | None = None):
     """Splitters (``shards - 1`` keys; a shard starts at its splitter) and the key ranges known so far with exact rows.
 
     Returns (splitters, ranges) where ranges is a sorted list of (low key, rows), gapless over the whole key space.
-    A range of more than ``most_rows`` rows is refined too, so that no later task gets a hot text whole.
+    A range of more than ``most_rows`` rows is refined too, so that no later task gets a hot text whole; of its parts only the large ones are told apart.
     """
     shift = KEY_BITS - probe_bits
-    found = _count(keyed, [(0, shift, 1 << probe_bits)])[0]
-    # low key -> [log2 width, bytes, rows]
+    first = keyed.groupBy(F.shiftright("_key", shift).alias("p")).agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n")).collect()  # 2 ** probe_bits rows at most
+    found = {r["p"]: (r["b"], r["n"]) for r in first}
+    # low key -> [log2 width, or 0 where it is not to be cut, bytes, rows]
     known = {p << shift: [shift, *found.get(p, (0, 0))] for p in range(1 << probe_bits)}
     total, rows = sum(v[1] for v in known.values()), sum(v[2] for v in known.values())
     slack = max(1.0, tolerance * total / shards)
-    most_rows = most_rows or max(64, rows // 512)
+    most_rows, run_rows = most_rows or max(64, rows // 512), max(16, rows >> 12)
     splitters: list[int] = [0] * (shards - 1)
     while True:
-        active, at = {low for low, (sh, _, n) in known.items() if n > most_rows and sh > 0}, 0
+        wanted, at = set(), 0
         lows = sorted(known)
         ends, below = [], 0
         for low in lows:
@@ -67,27 +79,29 @@ def refine_splitters(keyed: DataFrame, shards: int, tolerance: float, probe_bits
             low = lows[at]
             sh, b, n = known[low]
             left, right = goal - (ends[at] - b), ends[at] - goal
-            splitters[j - 1] = low if left <= right else (low + (1 << sh))
+            splitters[j - 1] = low if left <= right else lows[at + 1] if at + 1 < len(lows) else 1 << KEY_BITS
             aligned = sh >= ID_BITS  # its edges stand between groups of equal texts
             if min(left, right) > (slack if aligned else max(1.0, slack / 4)) and n > 1 and sh > 0:
-                active.add(low)
+                wanted.add(low)
+        active = wanted | {low for low, (sh, _, n) in known.items() if n > most_rows and sh > 0}
         if not active:
             break
         todo = []
         for low in sorted(active):
             sh = known[low][0]
             step = min(probe_bits, sh - ID_BITS if sh > ID_BITS else sh)  # stops at the edges of groups first
-            todo.append((low, sh - step, 1 << step))
-        for (low, sh, parts), found in zip(todo, _count(keyed, todo), strict=True):
-            _, b, n = known.pop(low)
+            todo.append((low, sh - step, 1 << step, low in wanted))
+        for (low, sh, parts, every), found in zip(todo, _count(keyed, todo, most_rows, run_rows), strict=True):
+            known.pop(low)
             edge = low
-            for p in sorted(found):  # runs of empty parts are joined, as are parts of the same run
-                here = low + (p << sh)
-                known.setdefault(edge, [sh, 0, 0]) if edge < here else None
-                known[here] = [sh, *found[p]]
-                edge = here + (1 << sh)
+            for p in sorted(found):  # empty parts before a run are a range of their own
+                here, (b, n, k) = low + (p << sh), found[p]
+                if edge < here:
+                    known[edge] = [0, 0, 0]
+                known[here] = [sh if k == 1 else 0, b, n]
+                edge = here + (1 << sh) if every or k == 1 else low + (parts << sh)
             if edge < low + (parts << sh):
-                known.setdefault(edge, [sh, 0, 0])
+                known[edge] = [0, 0, 0]
     ranges = [(low, known[low][2]) for low in sorted(known)]
     return [min(s, (1 << KEY_BITS) - 1) if s >= 1 << KEY_BITS else s for s in splitters], ranges
 

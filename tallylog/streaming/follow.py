@@ -1,101 +1,202 @@
 """A growing file as a stream.
 
-The source is a streaming data source in Python: its offset is the byte after the last line feed, so that a line without its end waits for the next batch.
-There is no word of files that shrink or are replaced. As when such a file is looked at now and then, each batch finds its own entries: line numbers begin anew,
-and an entry that reaches over two batches is two.
+The source is a streaming data source in Python: its offset is the byte after the last line feed, so that a line without its end waits for the next batch. The driver looks for line feeds at the
+end only; the lines are read by executors, in partitions of some bytes each, from a path that they share. There is no word of files that shrink or are replaced.
+
+``follow`` finds each batch's own entries, as when a file is looked at now and then: line numbers begin anew, and an entry that reaches over two batches is two. ``follow_entries`` keeps the
+last entry of each file as state until a line begins the next one, or no line comes for a while.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.aliases import Aliases
 from ..plans.compiler import compile_query
-from ..sources.files import group_entries, number_lines, parse_entries
+from ..sources.files import STRUCTURE_START, TIME_START, group_entries, mode_of, number_lines, parse_entries
 
 FORMAT = "growing_file"
+#: Bytes of a partition, and those in which a line feed is looked for at a time.
+PARTITION_BYTES, LOOK_BYTES = 8 << 20, 1 << 16
 
 
-def read_new(path: str, start: int) -> tuple[list[str], int]:
-    """Complete lines from byte ``start`` on, without carriage returns at their ends, and where the next ones begin."""
+def last_line_end(path: str, low: int, high: int) -> int:
+    """The byte after the last line feed in [low, high) of the file; ``low`` if there is none."""
+    with open(path, "rb") as f:
+        while high > low:
+            begin = max(low, high - LOOK_BYTES)
+            f.seek(begin)
+            found = f.read(high - begin).rfind(b"\n")
+            if found >= 0:
+                return begin + found + 1
+            high = begin
+    return low
+
+
+def first_line_end(path: str, low: int, high: int) -> int | None:
+    """The byte after the first line feed in [low, high) of the file."""
     with open(path, "rb") as f:
-        if os.fstat(f.fileno()).st_size <= start:
-            return [], start
-        f.seek(start)
-        data = f.read()
-    end = data.rfind(b"\n") + 1
-    lines = data[:end].decode("utf-8", "replace").split("\n")[:-1]
-    return [line.rstrip("\r") for line in lines], start + end
+        f.seek(low)
+        while low < high:
+            data = f.read(min(LOOK_BYTES, high - low))
+            found = data.find(b"\n")
+            if found >= 0 or not data:
+                return low + found + 1 if data else None
+            low += len(data)
+    return None
+
+
+def lines_between(path: str, low: int, high: int, start: int) -> Iterator[str]:
+    """The lines that begin in [low, high), without carriage returns at their ends; a line begins at ``start`` and after each line feed."""
+    with open(path, "rb") as f:
+        f.seek(low if low == start else low - 1)
+        at = low if low == start else low - 1 + len(f.readline())
+        while at < high:
+            line = f.readline()
+            at += len(line)
+            yield line.rstrip(b"\n").decode("utf-8", "replace").rstrip("\r")
+
 
+class Stretch(InputPartition):
+    def __init__(self, low: int, high: int, start: int) -> None:
+        self.low, self.high, self.start = low, high, start
 
-class GrowingFileReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, start: int) -> None:
-        self.path, self.start = path, start
+
+class GrowingFileReader(DataSourceStreamReader):
+    """A batch has ``most`` bytes at most, but for a longer line, and but for the first batch after a restart: that reaches to the present end, in as many partitions as it takes."""
+
+    def __init__(self, path: str, start: int, most: int | None, partition: int) -> None:
+        self.path, self.start, self.most, self.partition = path, start, most, partition
+        self.at: int | None = None  # where the last batch ended, if that is known
+        self.bare = 0  # no line ends between there and here
 
     def initialOffset(self) -> dict:
+        self.at = self.bare = self.start
         return {"byte": self.start}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        lines, end = read_new(self.path, start["byte"])
-        return iter([(i, line) for i, line in enumerate(lines)]), {"byte": end}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            f.seek(start["byte"])
-            data = f.read(end["byte"] - start["byte"])
-        return iter([(i, line.rstrip("\r")) for i, line in enumerate(data.decode("utf-8", "replace").split("\n")[:-1])])
+    def latestOffset(self) -> dict:
+        size = os.path.getsize(self.path)
+        low = self.start if self.at is None else self.at
+        bound = size if self.most is None or self.at is None else min(size, low + self.most)
+        bare = max(low, self.bare)
+        end = last_line_end(self.path, bare, bound)
+        if end == bare:  # the line goes beyond the bound, or isn't ended
+            end = first_line_end(self.path, max(bound, bare), size)
+        if end is None:
+            self.bare = size
+            return {"byte": low}
+        self.at = self.bare = end
+        return {"byte": end}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self.at = max(self.at or 0, end["byte"])
+        edges = [*range(start["byte"], end["byte"], self.partition), end["byte"]]
+        return [Stretch(a, b, start["byte"]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        for i, line in enumerate(lines_between(self.path, partition.low, partition.high, partition.start)):
+            yield (partition.low, i, line)
 
 
 class GrowingFile(DataSource):
-    """``spark.readStream.format("growing_file").option("path", ...)``; ``startingByte`` to begin later in the file."""
+    """``spark.readStream.format("growing_file").option("path", ...)``; ``startingByte`` to begin later in the file, ``maxBatchBytes`` to bound batches, ``partitionBytes``."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return "at long, value string"
+        return "block long, at long, value string"
 
-    def simpleStreamReader(self, schema) -> GrowingFileReader:
-        return GrowingFileReader(self.options["path"], int(self.options.get("startingByte", 0)))
+    def streamReader(self, schema) -> GrowingFileReader:
+        most = self.options.get("maxBatchBytes")
+        return GrowingFileReader(self.options["path"], int(self.options.get("startingByte", 0)), int(most) if most else None, int(self.options.get("partitionBytes", PARTITION_BYTES)))
 
 
-def follow_lines(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """The stream of new lines (at, value)."""
+def follow_lines(spark: SparkSession, path: str, start: int = 0, most: int | None = None, partition: int = PARTITION_BYTES) -> DataFrame:
+    """The stream of new lines (block, at, value): ``at`` counts the lines of a block, and blocks ascend in the file."""
     spark.dataSource.register(GrowingFile)
-    return spark.readStream.format(FORMAT).option("path", path).option("startingByte", start).load()
+    stream = spark.readStream.format(FORMAT).option("path", path).option("startingByte", start).option("partitionBytes", partition)
+    return (stream.option("maxBatchBytes", most) if most else stream).load()
 
 
 def batch_records(lines: DataFrame, multiline: str = "auto") -> DataFrame:
     """The records of one batch of lines."""
-    rows = lines.select(F.lit("-").alias("path"), F.lit(0).alias("block"), "at", "value")
+    rows = lines.select(F.lit("-").alias("path"), "block", "at", "value")
+    if multiline == "auto":
+        first = [r["value"].strip() for r in lines.orderBy("block", "at").limit(100).collect()]
+        multiline = mode_of([x for x in first if x])
     return parse_entries(group_entries(number_lines(rows), multiline)).drop("path")
 
 
-def follow(spark: SparkSession, path: str, query: str, on_batch: Callable[[DataFrame, int], None], checkpoint: str, aliases: Aliases | None = None, start: int = 0, once: bool = False, every: str = "500 milliseconds"):
-    """Starts a streaming query that gives the matching records of each batch to ``on_batch``. ``last:`` counts from each batch's time. ``once`` stops at the present end."""
-
-    def run(lines: DataFrame, number: int) -> None:
+def _open_entries(multiline: str, wait_ms: int):
+    begins = re.compile(TIME_START if multiline == "timed" else STRUCTURE_START, re.ASCII)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, first, lines = state.get if state.exists else (0, 0, [])
+        done, lines = [], list(lines)
+        if state.hasTimedOut:
+            done, lines = [(key[0], first, "\n".join(lines))] if lines else [], []
+        else:
+            rows = pd.concat(batches).sort_values(["block", "at"])
+            for value in rows["value"]:
+                number += 1
+                text = value.strip()
+                if text and (not lines or begins.search(value)):
+                    if lines:
+                        done.append((key[0], first, "\n".join(lines)))
+                    first, lines = number, [value]
+                elif lines:
+                    lines.append(value)
+            if lines:
+                state.setTimeoutDuration(wait_ms)
+        state.update((number, first, lines))
+        yield pd.DataFrame(done, columns=["path", "line_number", "text"])
+
+    return run
+
+
+def follow_entries(lines: DataFrame, multiline: str = "timed", wait_ms: int = 2000) -> DataFrame:
+    """Entries (path, line_number, text) of a stream of lines (block, at, value, and path if there are several files), across its batches; ``multiline`` is ``timed`` or ``structured``.
+
+    A file's last entry is held back until a line begins another, or until none has come for ``wait_ms``. Lines of a file are put in order within a batch; its state is that one entry.
+    """
+    named = lines if "path" in lines.columns else lines.withColumn("path", F.lit("-"))
+    run = _open_entries(multiline, wait_ms)
+    return named.groupBy("path").applyInPandasWithState(run, "path string, line_number long, text string", "number long, first long, lines array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def follow(spark: SparkSession, path: str, query: str, on_batch: Callable[[DataFrame, int], None], checkpoint: str, aliases: Aliases | None = None, start: int = 0, once: bool = False, every: str = "500 milliseconds", most: int | None = None, across: str | None = None, wait_ms: int = 2000):
+    """Starts a streaming query that gives the matching records of each batch to ``on_batch``. ``last:`` counts from each batch's time. ``once`` stops at the present end; else ``most`` bounds
+    a batch's bytes. ``across`` (``timed`` or ``structured``) finds entries across batches, the last of which comes after ``wait_ms`` without a line."""
+    lines = follow_lines(spark, path, start, None if once else most)
+
+    def run(batch: DataFrame, number: int) -> None:
         condition = compile_query(query, aliases, now_us=time.time_ns() // 1000, for_filter=True)
-        on_batch(batch_records(lines).where(condition), number)
+        records = parse_entries(batch).drop("path") if across else batch_records(batch)
+        on_batch(records.where(condition), number)
 
-    writer = follow_lines(spark, path, start).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = (follow_entries(lines, across, wait_ms) if across else lines).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def follow_directory(spark: SparkSession, path: str) -> DataFrame:
     """Records of files that come into a directory, a line an entry: stateless, on Spark's own file source."""
-    from ..sources.files import parse_log
+    from ..sources.records import with_records
 
     lines = spark.readStream.option("lineSep", "\n").text(path)
     value = F.regexp_replace("value", r"\r\z", "")
-    return lines.where(F.trim("value") != "").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"), parse_log(value).alias("r")).select("source", "r.*")
+    named = lines.where(F.trim("value") != "").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"), value.alias("text"))
+    return with_records(named, F.col("text")).select("source", "_record.*")
 
 
 def counts_over_time(records: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:

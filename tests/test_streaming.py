@@ -1,15 +1,75 @@
-from tallylog.streaming.follow import counts_over_time, follow, follow_directory, follow_lines, read_new
+import time
 
+import pytest
 
-def test_read_new(tmp_path):
+from tallylog.streaming.follow import GrowingFileReader, counts_over_time, first_line_end, follow, follow_directory, follow_lines, last_line_end, lines_between
+
+
+def test_line_ends(tmp_path):
     path = tmp_path / "x.log"
     path.write_bytes(b"a\r\r\nb\npart")
-    assert read_new(str(path), 0) == (["a", "b"], 6)
-    assert read_new(str(path), 6) == ([], 6)
+    p = str(path)
+    assert (last_line_end(p, 0, 10), last_line_end(p, 6, 10), last_line_end(p, 0, 5)) == (6, 6, 4)
+    assert (first_line_end(p, 0, 10), first_line_end(p, 4, 10), first_line_end(p, 6, 10)) == (4, 6, None)
+    assert list(lines_between(p, 0, 6, 0)) == ["a", "b"] and list(lines_between(p, 2, 6, 0)) == ["b"] and list(lines_between(p, 0, 2, 0)) == ["a"] and list(lines_between(p, 4, 6, 4)) == ["b"]
+
+
+@pytest.mark.parametrize("partition", [1, 3, 7, 1000])
+def test_partitions_have_every_line_once(tmp_path, partition):
+    path = tmp_path / "x.log"
+    lines = ["", "a", "é" * 9, "", "x" * 40, "b c", ""]
+    path.write_bytes(("\n".join(lines) + "\nopen").encode())
+    reader = GrowingFileReader(str(path), 0, None, partition)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    rows = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+    assert [r[2] for r in sorted(rows)] == lines and end["byte"] == len(path.read_bytes()) - 4
+
+
+def test_batches_are_bounded(tmp_path):
+    path = tmp_path / "x.log"
+    path.write_bytes(b"0123456\n" * 10 + b"y" * 50 + b"\n" + b"z" * 30)
+    reader = GrowingFileReader(str(path), 0, 20, 1000)
+    at, ends = reader.initialOffset()["byte"], []
+    for _ in range(9):
+        ends.append(reader.latestOffset()["byte"])
+    assert ends == [16, 32, 48, 64, 80, 131, 131, 131, 131] and at == 0
     with path.open("ab") as f:
-        f.write("ial é\n\n".encode())
-    assert read_new(str(path), 6) == (["partial é", ""], 18)
-    assert read_new(str(path), 18) == ([], 18) and read_new(str(path), 99) == ([], 99)
+        f.write(b"z\nw\n")
+    assert [reader.latestOffset()["byte"] for _ in range(3)] == [163, 165, 165]
+    assert GrowingFileReader(str(path), 0, 20, 1000).latestOffset()["byte"] == 165  # after a restart
+
+
+def test_an_entry_over_two_batches_is_one(spark, tmp_path):
+    path, seen = tmp_path / "app.log", []
+    path.write_text("2026-03-08 10:00:01 ERROR first\n  at a.B\n")
+
+    def collect(df, number):
+        seen.extend((r["line_number"], r["raw"]) for r in df.collect())
+
+    def until(query, met):
+        end = time.time() + 90
+        while not met() and time.time() < end and query.isActive:
+            time.sleep(0.3)
+        assert met(), query.exception()
+
+    rows = lambda q: sum(p.numInputRows for p in q.recentProgress)
+    query = follow(spark, str(path), "level:error", collect, str(tmp_path / "state"), across="timed", wait_ms=3_600_000, every="100 milliseconds")
+    try:
+        until(query, lambda: rows(query) >= 2)
+        with path.open("a") as f:
+            f.write("  at c.D\n\n2026-03-08 10:00:02 INFO second\n2026-03-08 10:00:03 ERROR third\n")
+        until(query, lambda: rows(query) >= 6)
+        assert seen == [(1, "2026-03-08 10:00:01 ERROR first\n  at a.B\n  at c.D\n")]
+    finally:
+        query.stop()
+    query = follow(spark, str(path), "level:error", collect, str(tmp_path / "state"), across="timed", wait_ms=1, every="100 milliseconds")
+    try:
+        with path.open("a") as f:
+            f.write("  at e.F\n")
+        until(query, lambda: len(seen) == 2)
+    finally:
+        query.stop()
+    assert seen[1:] == [(6, "2026-03-08 10:00:03 ERROR third\n  at e.F")]
 
 
 def test_batches(spark, tmp_path):
@@ -33,7 +93,7 @@ def test_lines(spark, tmp_path):
     path.write_text("skip\na\nb\n")
     query = follow_lines(spark, str(path), 5).writeStream.format("memory").queryName("new_lines").trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert [r["value"] for r in spark.table("new_lines").orderBy("at").collect()] == ["a", "b"]
+    assert [r["value"] for r in spark.table("new_lines").orderBy("block", "at").collect()] == ["a", "b"]
 
 
 def test_directory_and_windows(spark, tmp_path):
