@@ -36,7 +36,7 @@ from .substring import _NULL_ID, _by_doc, _groups, _listed, _open, _pack, _parte
 
 LENGTH, CORE = 50, 16
 #: Bytes of text for each part of the documents, for each range of cores and for each collection of fragments; bytes of cores in a lot; bytes that are hashed at a time.
-PART_BYTES, RANGE_BYTES, COLLECTION_BYTES, LOT_BYTES, SEGMENT = 4 << 20, 10 << 20, 2 << 20, 8 << 20, 1 << 19
+PART_BYTES, RANGE_BYTES, COLLECTION_BYTES, LOT_BYTES, SEGMENT = 8 << 20, 10 << 20, 1 << 20, 8 << 20, 1 << 19
 #: Documents that a core may have before its windows are aggregated as rows; lots for these.
 HEAVY, SALTS = 1 << 16, 32
 #: Ends a fragment or a text: UTF-8 has no such byte.
@@ -246,6 +246,11 @@ def merged(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return rows[at], starts[at], (reach[np.append(at[1:], len(rows)) - 1] - shift[at] - starts[at]) if len(at) else starts[at]
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among ``some``, which are sorted."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
+
+
 def _answers(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
     return _pack(np.stack(merged(rows.astype(np.int64), starts.astype(np.int64), sizes.astype(np.int64))).astype("<u4").ravel())
 
@@ -269,7 +274,7 @@ def _fragments(length: int, bits: int, key: int, collections: int):
         for low, high in sub_batches(texts):
             for marks, owner, start, windows, joined, at in _segments(texts[low:high], length, key):
                 own = mix(ids[low:high][owner].view(_U), 8) ^ (marks >> _U(32 - bits))
-                kind = np.where(np.isin(own, wanted[0]), 0, np.where(np.isin(own, wanted[1]), 1, 2))
+                kind = np.where(_among(own, wanted[0]), 0, np.where(_among(own, wanted[1]), 1, 2))
                 k = np.flatnonzero(kind < 2)
                 size = windows[k] + length - 1
                 if not len(k):
@@ -301,26 +306,37 @@ def _fragments(length: int, bits: int, key: int, collections: int):
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` in the order of what begins there, by ``depth`` bytes or more, the text being a ring: by 8 bytes, then by ranks of 8, 16 ... bytes and the ranks that far behind.
+    """Places of ``text`` in the order of what begins there, by ``depth`` bytes or more, the text being a ring: by as many bytes as one number holds, then by ranks and the ranks that far behind.
 
-    Where two ranks and the place fit 63 bits they are sorted as one number, which is several times faster than sorting places by keys.
+    Keys and places are sorted as one number of 64 bits, where they fit it, which is several times faster than sorting places by keys.
     """
-    n, known = len(text), 8
-    key = _loaded(np.concatenate([text, np.resize(text, 7)]), ">u8").astype(_U)
-    order = np.argsort(key)
-    ranked, bits = key[order], _U(max(1, int(n - 1).bit_length()))
-    while known < depth:
-        rank = np.empty(n, _U)
-        rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]), dtype=np.int32).astype(_U)
-        key = (rank << bits) | np.concatenate([rank[known % n :], rank[: known % n]])
-        if 3 * int(bits) < 64:
-            both = np.sort((key << bits) | np.arange(n, dtype=_U))
-            order, ranked = (both & ((_U(1) << bits) - _U(1))).astype(np.int64), both >> bits
-        else:
+    n = len(text)
+    bits = max(1, int(n - 1).bit_length())
+    there = np.flatnonzero(np.bincount(text, minlength=256))
+    letters = max(2, len(there))
+    code = np.zeros(256, _U)
+    code[there] = np.arange(len(there), dtype=_U)
+    known = 1
+    while letters ** (known + 1) <= 1 << (64 - bits):
+        known += 1
+    ring = np.resize(code[text], n + known - 1)
+    key = ring[:n].copy()
+    for k in range(1, known):
+        key *= _U(letters)
+        key += ring[k : k + n]
+    while True:
+        if int(key.max()) >> (64 - bits):
             order = np.argsort(key)
             ranked = key[order]
+        else:
+            both = np.sort((key << _U(bits)) | np.arange(n, dtype=_U))
+            order, ranked = (both & _U((1 << bits) - 1)).astype(np.int64), both >> _U(bits)
+        if known >= depth:
+            return order
+        rank = np.empty(n, _U)
+        rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]), dtype=np.int32).astype(_U)
+        key = (rank << _U(bits)) | np.concatenate([rank[known % n :], rank[: known % n]])
         known *= 2
-    return order
 
 
 def short_edges(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
