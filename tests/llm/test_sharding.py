@@ -55,3 +55,44 @@ def test_runs_agree_and_columns_stay(spark):
 def test_tiny(spark, rows):
     out = histogram_sort(table(spark, rows)).collect()
     assert len(out) == len(rows)
+
+
+def test_many_hot_texts_and_exact_splitters(spark):
+    """Splitters and ranges against the sorted keys themselves, with 300 texts of a hundred copies each."""
+    from pyspark.sql import functions as F
+
+    from tallylog.llm import sharding
+
+    docs = [(i, f"hot {i % 300}", "en", "s") for i in range(30_000)] + [(40_000 + i, f"single {i} " * 5, "en", "s") for i in range(2000)]
+    keyed = table(spark, docs).select(sharding._key(F.col("text"), F.col("doc_id")).alias("_key"), (F.octet_length("text") + 1).cast("long").alias("_size")).persist()
+    rows = sorted((r["_key"], r["_size"]) for r in keyed.collect())
+    total = sum(b for _, b in rows)
+    for shards, tolerance in ((16, 0.01), (3, 0.0001)):
+        splitters, ranges = sharding.refine_splitters(keyed, shards, tolerance)
+        assert splitters == sorted(splitters) and len(splitters) == shards - 1
+        for j, s in enumerate(splitters, 1):
+            assert abs(sum(b for k, b in rows if k < s) - total * j / shards) <= max(tolerance * total / shards, 120)
+        lows = [low for low, _ in ranges] + [1 << 63]
+        assert lows[0] == 0 and sum(n for _, n in ranges) == len(rows)
+        at = 0
+        for low, high, n in zip(lows[:-1], lows[1:], [n for _, n in ranges], strict=True):
+            found = at
+            while found < len(rows) and rows[found][0] < high:
+                found += 1
+            assert found - at == n and low < high
+            at = found
+        assert set(splitters) <= set(lows)
+    out = named(histogram_sort(table(spark, docs), shards=16))
+    check(out, 16, 0.02 * total / 16 + 300)
+    keyed.unpersist()
+
+
+def test_one_hot_range_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    from tallylog.llm import sharding
+
+    docs = [(i, "one text", "en", "s") for i in range(20_000)] + [(30_000 + i, f"x{i}", "en", "s") for i in range(500)]
+    keyed = table(spark, docs).select(sharding._key(F.col("text"), F.col("doc_id")).alias("_key"), F.lit(9).cast("long").alias("_size"))
+    _, ranges = sharding.refine_splitters(keyed, 4, 0.01, most_rows=64)
+    assert max(n for _, n in ranges) <= 200 and sum(n for _, n in ranges) == 20_500
