@@ -186,9 +186,12 @@ class Fragments:
         return (self.data != END).sum(axis=1)
 
     def take(self, at: np.ndarray) -> Fragments:
-        """Some places, with the fragments they need."""
-        used, of = np.unique(self.places["of"][at], return_inverse=True)
-        return Fragments(self.data[used], self.part[at], **{k: of if k == "of" else v[at] for k, v in self.places.items()})
+        """Some places, with the fragments they need in the order in which they come: of places in the order of texts, numbers hardly need room then."""
+        used, first, of = np.unique(self.places["of"][at], return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        number = np.empty(len(used), np.int64)
+        number[order] = np.arange(len(used))
+        return Fragments(self.data[used[order]], self.part[at], **{k: number[of] if k == "of" else v[at] for k, v in self.places.items()})
 
     @classmethod
     def joined(cls, some: list[Fragments]) -> Fragments:
@@ -294,7 +297,7 @@ def _fragments(length: int, bits: int, key: int, collections: int):
         if late.any():
             out.append((2, part, 0, _answers(row[late], start[late], found.sizes()[found.places["of"][late]])))
         go = np.flatnonzero(~late)
-        go = go[np.lexsort((task[go], kind[go]))]
+        go = go[np.lexsort((start[go], row[go], task[go], kind[go]))]
         for t, a, b in _groups((kind * collections + task)[go]):
             out.append((int(t) // collections, part, int(t) % collections, found.take(go[a:b]).close()))
         return pd.DataFrame(out, columns=columns)
