@@ -535,3 +535,98 @@ def _(spark, d):
     stream = rows.matching(follow_directory(spark, f"{base}/in"), "level:error").select(F.col("fields")["id"].cast("long").alias("line_number"), "level", "message")
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _stored(spark: SparkSession, d: str, file_rows: int = 2000) -> str:
+    """The events in a store: two saves, one of which has every third event only."""
+    from .sources.store import save_records
+
+    path, e = _folder(spark), events(spark, d)
+    for part in (e.where(F.col("line_number") % 3 != 0), e.where(F.col("line_number") % 3 == 0)):
+        save_records(part, path, ["service", "value"], ["trace_id"], file_rows)
+    return path
+
+
+@_query("store_trace", f"{_EVENTS} SELECT line_number, ts_us FROM e WHERE trace_id = md5('7')")
+def _(spark, d):
+    from .sources.store import look_up
+
+    return look_up(spark, _stored(spark, d), "trace_id:8f14e45fceea167a5a36dedd4bea2543").select("line_number", "ts_us")
+
+
+@_query("store_word", f"{_EVENTS} SELECT line_number, message FROM e WHERE contains(lower(message), 'user 33 did purchase') OR (k = '7' AND coalesce(value > 4000, false))")
+def _(spark, d):
+    from .sources.store import look_up
+
+    return look_up(spark, _stored(spark, d), '"USER 33 did purchase" OR (k:7 AND value>4000)').select("line_number", "message")
+
+
+@_query("store_last", f"{_EVENTS} SELECT line_number, level FROM e WHERE ts_us >= {NOW_US} - 36 * 3600000000 AND level = 'error'")
+def _(spark, d):
+    """The last days of a store, one of which was written anew after the second save."""
+    from .sources.store import compact, look_up
+
+    path = _stored(spark, d)
+    compact(spark, path, "2024-01-19", ["trace_id"])
+    return look_up(spark, path, "last:36h AND level:error", now_us=NOW_US).select("line_number", "level")
+
+
+@_query("follow_traces", f"""{_EVENTS} SELECT * FROM (SELECT 3 * row_number() OVER (ORDER BY line_number) - 2 AS line_number, (ts_us // 1000) * 1000 AS ts_us, level, 3 AS lines FROM e) WHERE level <> 'debug'""")
+def _(spark, d):
+    """Entries of three lines in a file that is followed in bounded batches, which cut some entries in two; the last one comes when no line has come for a while."""
+    import os
+    import time
+
+    from .streaming.follow import follow
+
+    (path,) = _written(spark, d, F.concat(_plain_line(), F.lit("\njava.lang.IllegalStateException: no\n\tat a.B.c(D.java:1)")))
+    out, schema, seen = _folder(spark), "line_number long, ts_us long, level string, lines int", [0]
+    wanted = spark.read.parquet(f"{d}/events.parquet").count()
+    local = path.removeprefix("file://").replace("file:", "")
+    spark.createDataFrame([], schema).write.parquet(out)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch = batch.select("line_number", "ts_us", "level", F.size(F.split("raw", "\n")).alias("lines")).persist()
+        seen[0] += batch.count()
+        batch.where("level != ''").write.mode("append").parquet(out)
+        batch.unpersist()
+
+    query = follow(spark, local, "", keep, f"{out}-state", across="timed", wait_ms=500, every="200 milliseconds", most=os.path.getsize(local) // 3 + 1)
+    end = time.time() + 300
+    try:
+        while seen[0] < wanted and query.isActive and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    if query.exception() or seen[0] != wanted:
+        raise RuntimeError(f"{seen[0]} of {wanted} entries came: {query.exception()}")
+    return spark.read.schema(schema).parquet(out)
+
+
+_FIELDS = {"level": "raw_level", "service": "service", "user_id": "user_id", "value": "value::VARCHAR", "k": "k", "path": "path", "trace_id": "trace_id", "message": "message"}
+
+
+@_query("values_of_all_fields", f"{_EVENTS}, v AS (" + " UNION ".join(f"SELECT '{name}' AS name, {sql} AS value FROM e" for name, sql in _FIELDS.items()) + " UNION SELECT 'level', level FROM e), n AS (SELECT name FROM v WHERE value <> '' GROUP BY name HAVING count(*) <= 50) SELECT name, value FROM v JOIN n USING (name) WHERE value <> ''")
+def _(spark, d):
+    return catalog.values_of_all_fields(events(spark, d))
+
+
+@_query("summary", f"{_EVENTS} SELECT count(*) AS total, count(*) FILTER (value > 5000) AS matches, count(*) FILTER (value > 5000 AND level IN ('error', 'fatal')) AS errors, min(ts_us) FILTER (value > 5000) AS low, max(ts_us) FILTER (value > 5000) AS high FROM e")
+def _(spark, d):
+    """What was counted while the matches were written."""
+    from .operators.summary import summarised
+
+    found, summary = summarised(events(spark, d), "value>5000")
+    found.select("line_number").write.parquet(_folder(spark))
+    got = summary.get()
+    names = ["total", "matches", "errors", "low", "high"]
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@_query("bookmark_next", f"{_EVENTS}, m AS (SELECT line_number FROM e WHERE (level = 'error' AND user_id::BIGINT % 7 = 0) <> (user_id::BIGINT % 11 = 0)) SELECT line_number, coalesce((SELECT min(m.line_number) FROM m WHERE m.line_number > e.line_number), (SELECT min(line_number) FROM m)) AS next FROM e")
+def _(spark, d):
+    """Errors of some users are marked, then every record of others is toggled; each record's next mark."""
+    e = events(spark, d)
+    user = F.col("fields")["user_id"].cast("long")
+    marks = rows.toggled(e.where((F.col("level") == "error") & (user % 7 == 0)), e.where(user % 11 == 0), "line_number")
+    return rows.next_marked(e.select("line_number"), marks, "line_number")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.aliases import Aliases
@@ -34,6 +35,33 @@ def field_values(records: DataFrame, field: str) -> DataFrame:
     return few.join(F.broadcast(n), F.lit(True)).where(F.col("n") <= MOST_VALUES).select("value").orderBy("value")
 
 
+def values_of_all_fields(records: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """(name, value) of all fields that have ``most`` different values at most, in one pass; ``level`` as in ``field_values``.
+
+    A task keeps up to ``most`` + 1 values a field, so that identifiers, with a value a record, don't leave it: what is exchanged is that much a task and field, each pair once.
+    """
+
+    def few(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: dict[str, set[str]] = {}
+        for batch in batches:
+            fields, level = batch.column(0), batch.column(1)
+            pairs = pa.table({"name": fields.keys, "value": fields.items}) if len(fields.keys) else pa.table({"name": pa.array([], pa.string()), "value": pa.array([], pa.string())})
+            levels = level.unique().to_pylist()
+            for name, value in zip(*[c.to_pylist() for c in pairs.group_by(["name", "value"]).aggregate([]).columns], strict=True):
+                held = seen.setdefault(name, set())
+                if value is not None and len(held) <= most:
+                    held.add(value)
+            seen.setdefault("level", set()).update(v for v in levels if v)
+        rows = [(name, value) for name, held in seen.items() for value in sorted(held)[: most + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["name", "value"])
+
+    pairs = records.select("fields", "level").mapInArrow(few, "name string, value string").distinct()
+    n = F.count(F.lit(1)).over(Window.partitionBy("name"))
+    return pairs.withColumn("n", n).where(F.col("n") <= most).drop("n")
+
+
 @dataclass(frozen=True)
 class Context:
     """What is to be completed at a place: kind none, name, value or alias; the part there is; the field; where the part begins."""

@@ -85,3 +85,28 @@ def keep_ids(records: DataFrame, ids: DataFrame, key: str = "record_id") -> Data
 def between(records: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Records of a stretch of time, both ends in it."""
     return records.where(F.coalesce(F.col("ts_us").between(start_us, end_us), F.lit(False)))
+
+
+def toggled(marks: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
+    """The bookmarks after each of ``ids`` was pressed once for every row it has: those that are set are taken away, others are set."""
+    both = marks.select(key).distinct().unionByName(ids.select(key))
+    return both.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(key)
+
+
+#: Bookmarks up to which they go to every task as one list.
+LISTED_MARKS = 100_000
+
+
+def next_marked(places: DataFrame, marks: DataFrame, key: str = "record_id") -> DataFrame:
+    """``places`` (whose ``key`` is a record's place) with ``next``: the next marked place behind each, and behind the last one the first; null if there are no marks.
+
+    Marks are set by hand, and so are few: up to ``LISTED_MARKS`` each task gets them as one sorted list; more are refused.
+    """
+    listed = [r[0] for r in marks.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(LISTED_MARKS + 1).collect()]
+    if len(listed) > LISTED_MARKS:
+        raise ValueError(f"there are more than {LISTED_MARKS} bookmarks")
+    if not listed:
+        return places.withColumn("next", F.lit(None).cast("long"))
+    one = places.sparkSession.createDataFrame([(listed,)], "_marks array<long>")
+    ahead = F.try_element_at(F.filter("_marks", lambda m: m > F.col(key)), F.lit(1))
+    return places.join(F.broadcast(one), F.lit(True)).withColumn("next", F.coalesce(ahead, F.element_at("_marks", 1))).drop("_marks")
