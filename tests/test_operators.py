@@ -159,3 +159,31 @@ def test_rows(spark, records):
     assert rows.keep_ids(records, spark.createDataFrame([(3,), (3,), (99,)], "line_number long"), "line_number").count() == 1
     shown = rows.display_columns(make(spark, [{"ts": START, "level": "warn", "message": "a\nb", "fields": {"k": "v"}}, {"ts": -62167173410000000}]).orderBy("line_number"), ["timestamp", "level", "message", "k"])
     assert [tuple(r) for r in shown.collect()] == [("2026-03-08 10:00:00", "WARN", "a", "v"), ("0000-01-01 12:43:10", "", "", "")]
+
+
+def test_values_of_all_fields_and_summary(spark):
+    from tallylog.operators.catalog import field_values, values_of_all_fields
+    from tallylog.operators.summary import summarised
+    from tallylog.sources.files import from_lines
+
+    lines = [f'{{"level":"{"ERROR" if i % 3 == 0 else "info"}","id":"{i}","k":{i % 50},"l":{i % 51},"e":"","n":{{"a":true}}}}' for i in range(200)] + ["plain text"] * 3
+    logs = from_lines(spark, lines).repartition(5)
+    got = {}
+    for r in values_of_all_fields(logs).collect():
+        got.setdefault(r["name"], set()).add(r["value"])
+    assert got == {n: {r["value"] for r in field_values(logs, n).collect()} for n in ("level", "k", "e", "n.a", "message")}
+    assert len(got["k"]) == 50 and "l" not in got and "id" not in got
+    assert values_of_all_fields(logs.limit(0)).count() == 0
+    found, summary = summarised(logs, "level:error")
+    assert found.count() == 67
+    assert {k: summary.get()[k] for k in ("total", "matches", "errors", "low")} == {"total": 203, "matches": 67, "errors": 67, "low": None}
+
+
+def test_bookmarks_are_toggled_and_followed(spark):
+    from tallylog.operators.rows import next_marked, toggled
+
+    ids = lambda *n: spark.createDataFrame([(i,) for i in n], "record_id long")
+    marks = toggled(ids(1, 5, 5, 9), ids(5, 7, 7, 8))
+    assert sorted(r[0] for r in marks.collect()) == [1, 8, 9]
+    assert {r["record_id"]: r["next"] for r in next_marked(ids(0, 1, 7, 8, 9, 50), marks).collect()} == {0: 1, 1: 8, 7: 8, 8: 9, 9: 1, 50: 1}
+    assert [r["next"] for r in next_marked(ids(3), marks.limit(0)).collect()] == [None]
