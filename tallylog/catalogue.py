@@ -587,9 +587,10 @@ def _(spark, d):
 
     def keep(batch: DataFrame, number: int) -> None:
         batch = batch.select("line_number", "ts_us", "level", F.size(F.split("raw", "\n")).alias("lines")).persist()
-        seen[0] += batch.count()
+        n = batch.count()
         batch.where("level != ''").write.mode("append").parquet(out)
         batch.unpersist()
+        seen[0] += n
 
     query = follow(spark, local, "", keep, f"{out}-state", across="timed", wait_ms=500, every="200 milliseconds", most=os.path.getsize(local) // 3 + 1)
     end = time.time() + 300
