@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 from .shingles import byte_slices, mix, new_key, sub_batches
-from .substring import _NULL_ID, _by_doc, _groups, _listed, _open, _pack, _parted, _unpack, part_of
+from .substring import _NULL_ID, _by_doc, _groups, _listed, _pack, _unpack, part_of
 
 LENGTH, CORE = 50, 16
 #: Bytes of text for each part of the documents, for each range of cores and for each collection of fragments; bytes of cores in a lot; bytes that are hashed at a time.
@@ -126,8 +127,12 @@ _ENDS = {"keys": "<u4", "low": "<i8", "high": "<i8", "n": "<u4"}
 
 
 def _lot_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The ends of a lot's cores; of those of several documents only, where the lot is all of its range."""
     doc, keys = _listed(pdf)
     found = _ends_of(keys, doc, doc, np.ones(len(doc), np.int64))
+    if pdf["lots"].iloc[0] == 1:
+        several = found[1] < found[2]
+        found = [v[several] for v in found]
     return pd.DataFrame({"range": [pdf["range"].iloc[0]]} | {c: [_pack(v.astype(kind))] for (c, kind), v in zip(_ENDS.items(), found, strict=True)})
 
 
@@ -164,7 +169,7 @@ def shared_cores(docs: DataFrame, parts: int, bits: int, length: int, key: int,
     """(part, heavy, docs, counts, keys): the documents of each part and their cores that another document has, too."""
     held = stage_table(_core_lists(docs, bits, length, key), "cores")
     lots = held.groupBy("range").agg(F.ceil(F.sum(F.octet_length("keys")) / lot_bytes).cast("int").alias("lots"))
-    dealt = held.join(lots, "range").withColumn("lot", F.pmod(F.xxhash64("docs", "keys"), F.col("lots")).cast("int")).drop("lots")
+    dealt = held.join(lots, "range").withColumn("lot", F.pmod(F.xxhash64("docs", "keys"), F.col("lots")).cast("int"))
     ends = dealt.groupBy("range", "lot").applyInPandas(_lot_ends, "range int, keys binary, low binary, high binary, n binary")
     shared = ends.groupBy("range").applyInPandas(_two_docs(heavy), "range int, shared binary, heavy binary")
     each = shared.join(lots, "range").select("range", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "shared", "heavy")
@@ -173,6 +178,52 @@ def shared_cores(docs: DataFrame, parts: int, bits: int, length: int, key: int,
 
 # 2. Fragments.
 
+#: Bytes of texts that are bundled by part at a time.
+BUNDLE_BYTES = 32 << 20
+
+
+def _bundled(df: DataFrame, parts: int) -> DataFrame:
+    """(part, bundle): ids, sizes and compressed texts of the documents of a batch that are in a part."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def close(held: list) -> pa.RecordBatch:
+            ids, texts = np.concatenate([i for i, _ in held]), [t for _, some in held for t in some]
+            part, pack, rows = part_of(ids, parts), zstandard.ZstdCompressor(level=3), []
+            order = np.argsort(part, kind="stable")
+            for p, a, b in _groups(part[order]):
+                some = [texts[i] for i in order[a:b]]
+                head = np.concatenate([[b - a], ids[order[a:b]], [len(t) for t in some]]).astype("<i8")
+                rows.append((int(p), head.tobytes() + pack.compress(b"".join(some))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "bundle"])
+
+        for batch in batches:
+            ids, held, size = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False), [], 0
+            for low, high, texts in byte_slices(batch.column(1)):
+                held.append((ids[low:high], texts))
+                size += sum(map(len, texts))
+                if size > BUNDLE_BYTES:
+                    yield close(held)
+                    held, size = [], 0
+            if held:
+                yield close(held)
+
+    return df.mapInArrow(run, "part int, bundle binary")
+
+
+def _open(left: pd.DataFrame) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids and texts of a part in a fixed order, each different row once, and how often it is there."""
+    unpack, rows = zstandard.ZstdDecompressor(), Counter()
+    for bundle in left["bundle"]:
+        n = int(np.frombuffer(bundle[:8], "<i8")[0])
+        head = np.frombuffer(bundle[8 : 8 + 16 * n], "<i8")
+        data = unpack.decompress(bundle[8 + 16 * n :])
+        ends = np.cumsum(head[n:]).tolist()
+        rows.update(zip(head[:n].tolist(), [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+    order = sorted(rows)
+    return np.array([i for i, _ in order], dtype=np.int64), [t for _, t in order], [rows[r] for r in order]
+
 
 class Fragments:
     """Bytes of different fragments (a row each, filled up with ``END``), and the places they are from: number of the fragment, id, part, row of the part, place in the text."""
@@ -259,7 +310,7 @@ def _answers(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
 
 
 def _fragments(length: int, bits: int, key: int, collections: int):
-    """For cogroups of (documents of a part, its cores): rows (kind, part, task, payload); kind 0: fragments for a collection, 1: of heavy cores, 2: stretches settled."""
+    """For cogroups of (documents of a part, its cores): rows (kind, part, task, payload); kind 0: fragments for a collection, 1: of heavy cores, 2: stretches settled (these two only go along)."""
     width = -(-(2 * length - CORE) // 8) * 8
     columns = ["kind", "part", "task", "payload"]
 
@@ -267,7 +318,7 @@ def _fragments(length: int, bits: int, key: int, collections: int):
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in columns})
         part = int(left["part"].iloc[0])
-        ids, texts = _open(left)
+        ids, texts, _ = _open(left)
         wanted = []
         for h in (0, 1):
             some = right[right["heavy"] == h]
@@ -295,7 +346,7 @@ def _fragments(length: int, bits: int, key: int, collections: int):
         late = found.places["id"] > found.least()[found.places["of"]]
         out = []
         if late.any():
-            out.append((2, part, 0, _answers(row[late], start[late], found.sizes()[found.places["of"][late]])))
+            out.append((2, part, part % collections, _answers(row[late], start[late], found.sizes()[found.places["of"][late]])))
         go = np.flatnonzero(~late)
         go = go[np.lexsort((start[go], row[go], task[go], kind[go]))]
         for t, a, b in _groups((kind * collections + task)[go]):
@@ -428,13 +479,20 @@ def repeats(found: Fragments, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _collection(length: int):
+    """For groups of one task: rows (kind, part, payload) with the stretches of its fragments; rows of other kinds as they are."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = Fragments.joined([Fragments.unclose(p) for p in pdf["payload"]])
+        others = pdf.loc[pdf["kind"] > 0, ["kind", "part", "payload"]]
+        payloads = pdf.loc[pdf["kind"] == 0, "payload"]
+        if not len(payloads):
+            return others
+        found = Fragments.joined([Fragments.unclose(p) for p in payloads])
         at, start, size = repeats(found, length)
         order = np.argsort(found.part[at], kind="stable")
         at, start, size = at[order], start[order], size[order]
         row = found.places["row"][at]
-        return pd.DataFrame([(int(p), _answers(row[a:b], start[a:b], size[a:b])) for p, a, b in _groups(found.part[at])], columns=["part", "payload"])
+        rows = [(2, int(p), _answers(row[a:b], start[a:b], size[a:b])) for p, a, b in _groups(found.part[at])]
+        return pd.concat([others, pd.DataFrame(rows, columns=["kind", "part", "payload"])]) if rows else others
 
     return run
 
@@ -476,15 +534,10 @@ def _removal(with_text: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=columns)
-        ids, texts = _open(left)
+        ids, texts, often = _open(left)
         cuts = np.concatenate([np.zeros((3, 0), np.int64), *[_unpack(b, "<u4").reshape(3, -1).astype(np.int64) for b in right["payload"]]], axis=1)
         rows, starts, sizes = merged(*cuts)
         stretches = {int(r): (a, b) for r, a, b in _groups(rows)}
-        unpack, again = zstandard.ZstdDecompressor(), {}
-        if len(ids) < len(left):  # repeated rows
-            for i, z in zip(left["id"], left["z"], strict=True):
-                k = (int(i), unpack.decompress(z))
-                again[k] = again.get(k, 0) + 1
         out = []
         for i, text in enumerate(texts):
             a, b = stretches.get(i, (0, 0))
@@ -494,7 +547,7 @@ def _removal(with_text: bool):
             row = [ids[i], len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
             if with_text:
                 row += [kept, [{"start": x, "end": y} for x, y in spans]]
-            out.extend([row] * again.get((int(ids[i]), text), 1))
+            out.extend([row] * often[i])
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -516,14 +569,13 @@ def remove_byte_repeats(
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts, bits, key = max(16, size // part_bytes), min(28, max(4, int(size // RANGE_BYTES).bit_length())), new_key()
-    texts = _parted(docs, parts)
+    texts = _bundled(docs, parts)
     shared = shared_cores(docs, parts, bits, length, key, lot_bytes, heavy)
     found = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_fragments(length, bits, key, max(16, size // collection_bytes)), "kind int, part int, task int, payload binary")
-    found = stage_table(found, "fragments")
-    cuts = found.where("kind = 2").select("part", "payload").unionByName(found.where("kind = 0").select("task", "payload").groupBy("task").applyInPandas(_collection(length), "part int, payload binary"))
+    found = stage_table(found.groupBy("task").applyInPandas(_collection(length), "kind int, part int, payload binary"), "stretches")
+    cuts = found.where("kind = 2").select("part", "payload")
     if not found.where("kind = 1").isEmpty():
-        cuts = cuts.unionByName(_heavy_repeats(found, length))
-    cuts = stage_table(cuts, "stretches")
+        cuts = cuts.unionByName(stage_table(_heavy_repeats(found, length), "heavy"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<struct<start:long,end:long>>" * with_text
     done = texts.groupBy("part").cogroup(cuts.groupBy("part")).applyInPandas(_removal(with_text), schema)
     return done.withColumn("id", F.when(F.col("id") != int(_NULL_ID), F.col("id"))).withColumnRenamed("id", id_col)
