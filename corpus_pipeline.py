@@ -25,24 +25,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays: the one with the least id, and one of several rows of that id. Texts that are null or without words are copies of each other only where their ids are equal;
+    rows without an id are all kept. Ties can't occur, as ids decide. Very long texts are compared whole, other columns stay, and an empty table stays empty."""
     return neardup.keep_one(docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data under pseudonyms; ``n_chars`` follows the text."""
+    """Personal data under pseudonyms; ``n_chars`` follows the text. A null text stays null (as does its ``n_chars``), an empty one empty; rows with the same text get the same one, long texts are
+    read whole, and no row is dropped or added."""
     done = pii.pseudonymise(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, none more than three times. Null sources are a source of their own; texts that are null or without words have size 0 and are
+    not taken. Repeated rows are documents of their own; documents of one size go in the order of their ids' digests, so that reruns agree. An empty table stays empty."""
     sizes = fresh(docs, "copies")[0]
     return mixing.emit_copies(mixing.systematic_mix(docs), docs.columns, sizes)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens. Copies of a document are told apart by nothing but their place."""
+    """Sequences of 4096 tokens. Copies of a document are told apart by nothing but their place. A null or empty text is one token (the end); texts of more tokens than a sequence has are cut, and
+    nothing else is; pieces of equal length go in any order. An empty table gives no rows."""
     return packing.best_fit_pack(docs)
 
 
