@@ -93,20 +93,27 @@ def toggled(marks: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFra
     return both.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(key)
 
 
-#: Bookmarks up to which they go to every task as one list.
-LISTED_MARKS = 100_000
+def _places_per_stretch(places: DataFrame, key: str) -> int:
+    """How many places wide a stretch is, so that places that are spread evenly come about ``STRETCH`` to each, with or without gaps."""
+    n, low, high = places.agg(F.count(key), F.min(key).cast("long"), F.max(key).cast("long")).first()
+    return 1 if not n else min(1 << 62, max(1, -(-(high - low + 1) * STRETCH // n)))
 
 
 def next_marked(places: DataFrame, marks: DataFrame, key: str = "record_id") -> DataFrame:
     """``places`` (whose ``key`` is a record's place) with ``next``: the next marked place behind each, and behind the last one the first; null if there are no marks.
 
-    Marks are set by hand, and so are few: up to ``LISTED_MARKS`` each task gets them as one sorted list; more are refused.
+    Places and marks meet by stretches: within one by a running minimum from its end, beyond by the least mark of each stretch, so that neither is one list.
+    A place that is null has the first mark behind it.
     """
-    listed = [r[0] for r in marks.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(LISTED_MARKS + 1).collect()]
-    if len(listed) > LISTED_MARKS:
-        raise ValueError(f"there are more than {LISTED_MARKS} bookmarks")
-    if not listed:
-        return places.withColumn("next", F.lit(None).cast("long"))
-    one = places.sparkSession.createDataFrame([(listed,)], "_marks array<long>")
-    ahead = F.try_element_at(F.filter("_marks", lambda m: m > F.col(key)), F.lit(1))
-    return places.join(F.broadcast(one), F.lit(True)).withColumn("next", F.coalesce(ahead, F.element_at("_marks", 1))).drop("_marks")
+    own = places.columns
+    marked = marks.select(F.col(key).cast("long").alias("_mark")).where("_mark is not null").distinct()
+    stretch = F.expr(f"_place div {_places_per_stretch(places, key)}L").alias("_stretch")
+    rows = places.withColumn("_place", F.col(key).cast("long")).withColumn("_mark", F.lit(None).cast("long"))
+    both = rows.where("_place is not null").unionByName(marked.withColumn("_place", F.col("_mark")), allowMissingColumns=True).select("*", stretch)
+    within = Window.partitionBy("_stretch").orderBy(F.desc("_place"), F.asc_nulls_first("_mark")).rowsBetween(Window.unboundedPreceding, -1)  # a mark comes after its place
+    later = Window.orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    ends = both.groupBy("_stretch").agg(F.min("_mark").alias("_least")).select("_stretch", F.min("_least").over(later).alias("_beyond"))
+    found = both.withColumn("_ahead", F.min("_mark").over(within)).where("_mark is null").join(ends, "_stretch")
+    found = found.select(*own, F.coalesce("_ahead", "_beyond").alias("next")).unionByName(rows.where("_place is null").select(*own, F.lit(None).cast("long").alias("next")))
+    first = marked.agg(F.min("_mark").alias("_first"))
+    return found.join(F.broadcast(first), F.lit(True)).select(*own, F.coalesce("next", "_first").alias("next"))

@@ -187,3 +187,19 @@ def test_bookmarks_are_toggled_and_followed(spark):
     assert sorted(r[0] for r in marks.collect()) == [1, 8, 9]
     assert {r["record_id"]: r["next"] for r in next_marked(ids(0, 1, 7, 8, 9, 50), marks).collect()} == {0: 1, 1: 8, 7: 8, 8: 9, 9: 1, 50: 1}
     assert [r["next"] for r in next_marked(ids(3), marks.limit(0)).collect()] == [None]
+
+
+def test_more_bookmarks_than_one_list_holds(spark, monkeypatch):
+    from tallylog.operators import rows
+
+    every = spark.range(250_000).withColumnRenamed("id", "record_id")
+    got = rows.next_marked(every, every.where("record_id % 2 = 1")).where("next != if(record_id = 249999, 1, record_id + 1 + record_id % 2)")
+    assert got.count() == 0
+    monkeypatch.setattr(rows, "STRETCH", 3)
+    some = [None, -(1 << 63), -40, -7, -1, 0, 5, 5, 900, (1 << 63) - 1]
+    places = spark.createDataFrame([(x, str(x)) for x in some], "record_id long, name string")
+    for marks in ([], [5], [-40, 900], [None, -(1 << 63), 0, (1 << 63) - 1], list(range(-9, 9))):
+        marked = sorted({m for m in marks if m is not None})
+        want = [(x, str(x), next((m for m in marked if x is not None and m > x), min(marked, default=None))) for x in some]
+        frame = rows.next_marked(places, spark.createDataFrame([(m,) for m in marks], "record_id long"))
+        assert frame.columns == ["record_id", "name", "next"] and sorted(map(str, map(tuple, frame.collect()))) == sorted(map(str, want))
