@@ -2,8 +2,11 @@
 
 For a query q, ``|q - x|`` is least where the inner product ``q.x - |x|^2 / 2`` is greatest. Vectors are cut into pairs of components, each coded by one of 16
 centroids, that is in four bits. Codes and centroids minimise not the error but the error of high inner products: the part of the residual that
-is parallel to the vector weighs ``eta`` times as much as the rest. A scan adds one table entry for each two codes; the best ``candidates`` of
-each batch are ranked again by their true distance, in double precision.
+is parallel to the vector weighs ``eta`` times as much as the rest. Vectors are coded less the sample's mean, which distances don't see.
+
+A scan adds one table entry for each two codes, which gives the distance to what a vector's codes stand for; the vector itself is no farther from that than its
+residual is long. The best ``candidates`` of each batch are ranked by their true distance, in double precision, and so is every other row that could still be nearer than the
+k-th of these by that bound: near-equal vectors that share their codes, distant groups and odd lengths cost time, not neighbours.
 
 The codebook is fitted on a bounded sample (``SAMPLE`` vectors by a hash of the id, fewer where they are long); every vector is coded and scanned.
 Queries come in blocks of about ``QUERY_BLOCK``, each of which is one pass over the vectors and their codes, made and written before the next one begins. No block, and nothing sent to the driver, grows with the table.
@@ -28,6 +31,7 @@ class AnisotropicCodec:
         self.dim, self.parts = dim, -(-dim // 2)
         self.eta = max(2.0, (dim - 1) * threshold**2 / (1 - threshold**2))
         self.centroids = np.zeros((self.parts, CENTROIDS, 2))
+        self.mean = np.zeros(dim)
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """(n, parts, 2), an odd last component beside a zero."""
@@ -80,11 +84,15 @@ class AnisotropicCodec:
         return self
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, ceil(parts / 2), 256) float32: inner products for each two codes at once."""
+        """(queries, ceil(parts / 2), 256): inner products for each two codes at once."""
         one = np.einsum("qmd,mcd->qmc", self.split(queries), self.centroids)
         if self.parts % 2:
             one = np.concatenate([one, np.zeros_like(one[:, :1])], axis=1)
-        return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), -1, 256).astype(np.float32)
+        return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), -1, 256)
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """What codes (n, parts) stand for."""
+        return self.centroids[np.arange(self.parts)[None, :], codes].reshape(len(codes), -1)[:, : self.dim]
 
     @staticmethod
     def packed(codes: np.ndarray) -> np.ndarray:
@@ -131,22 +139,49 @@ def best_rows(score: np.ndarray, ids: np.ndarray, candidates: int, distinct: boo
     return order if len(first) <= candidates else order[: first[candidates]]
 
 
-def search_batch(codec: AnisotropicCodec, query_ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, candidates: int):
-    """(query place, id, distance) of the k nearest ids to each query in this batch: table scan, then exact distances of the best."""
+#: What sums of a few thousand products in double precision may be off by, relative to their terms.
+ROUNDING = 1e-12
+
+
+def search_batch(codec: AnisotropicCodec, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, candidates: int, within: np.ndarray | None = None):
+    """(query place, id, distance) of the k nearest ids to each query in this batch: table scan, then exact distances of the best and of all that may be nearer. ``within``: distances of which no more are wanted."""
     keep = first_copies(ids, vectors, k + 1)
     ids, vectors = ids[keep], vectors[keep].astype(np.float64)
-    codes, distinct = codec.packed(codes[keep]), len(np.unique(ids)) == len(ids)
-    half = ((vectors**2).sum(1) / 2).astype(np.float32)
+    distinct = len(np.unique(ids)) == len(ids)
+    centred, back, moved = vectors - codec.mean, codec.decoded(codes[keep]), queries - codec.mean
+    packed, length = codec.packed(codes[keep]), (back**2).sum(1)
+    residual = np.sqrt(((centred - back) ** 2).sum(1))
+    size, own = (centred**2).sum(1), (moved**2).sum(1)
     out_q, out_i, out_d = [], [], []
+
+    def distances(q: int, at: np.ndarray) -> np.ndarray:
+        return np.sqrt(((vectors[at] - queries[q]) ** 2).sum(1))
+
     for q in range(len(queries)):
-        score = -half
-        for p in range(len(codes)):
-            score = score + tables[q, p].take(codes[p])
-        score[ids == query_ids[q]] = -np.inf
+        table, inner = codec.tables(moved[q : q + 1])[0], np.zeros(len(ids))
+        for p in range(len(packed)):
+            inner += table[p].take(packed[p])
+        other = ids != query_ids[q]
+        score = inner - length / 2
+        score[~other] = -np.inf
         at = best_rows(score, ids, candidates, distinct)
-        at = at[ids[at] != query_ids[q]]
-        d = np.sqrt(((vectors[at] - queries[q]) ** 2).sum(1))
+        at = at[other[at]]
+        d = distances(q, at)
         best = nearest_ids(np.full(len(at), q), ids[at], d, k)
+        bound = d[best[-1]] if len(best) == k else np.inf
+        if within is not None:
+            bound = min(bound, within[q])
+        slack = ROUNDING * (own[q] + length + size)
+        # Not farther than the bound by what the codes tell, then by the vectors' inner products; comparisons with what isn't a number keep a row.
+        open_ = other & ~(np.sqrt(np.maximum(own[q] + length - 2 * inner - slack, 0)) - residual > bound * (1 + ROUNDING))
+        open_[at] = False
+        more = np.flatnonzero(open_)
+        if len(more):
+            products = centred @ moved[q] if 4 * len(more) > len(ids) else centred[more] @ moved[q]
+            products = products[more] if len(products) != len(more) else products
+            more = more[~(own[q] + size[more] - 2 * products - slack[more] > bound**2 * (1 + ROUNDING))]
+            at, d = np.concatenate([at, more]), np.concatenate([d, distances(q, more)])
+            best = nearest_ids(np.full(len(at), q), ids[at], d, k)
         out_q.append(np.full(len(best), q))
         out_i.append(ids[at][best])
         out_d.append(d[best])
@@ -177,7 +212,10 @@ def anisotropic_search(df: DataFrame, queries: Column, id_col: str = "vec_id", v
     luck = F.abs(F.xxhash64("id", "vec", F.lit("ann"))) / F.lit(float(1 << 63))
     # By a threshold first, so that tasks send no more than the sample among them.
     sample = rows.where(luck < min(1.0, 1.1 * most / lengths["count"] + 100 / lengths["count"])).orderBy(luck, "id").limit(most).select("vec").toPandas()["vec"]
-    codec = AnisotropicCodec(dim).fit(np.stack(sample.to_numpy()))
+    sample = np.stack(sample.to_numpy())
+    codec = AnisotropicCodec(dim)
+    codec.mean = sample.mean(axis=0)
+    codec.fit(sample - codec.mean)
 
     def values(column) -> np.ndarray:
         return column.flatten().to_numpy().reshape(len(column), dim)
@@ -187,7 +225,7 @@ def anisotropic_search(df: DataFrame, queries: Column, id_col: str = "vec_id", v
 
         for batch in batches:
             if len(batch):
-                codes = [c.tobytes() for c in codec.encode(codec.split(values(batch.column(1))))]
+                codes = [c.tobytes() for c in codec.encode(codec.split(values(batch.column(1)) - codec.mean))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], ["id", "vec", "is_query", "code"])
 
     rows = stage_table(rows.mapInArrow(code, "id long, vec array<double>, is_query boolean, code binary"), "vectors")
@@ -203,16 +241,18 @@ def anisotropic_search(df: DataFrame, queries: Column, id_col: str = "vec_id", v
         def scan(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            tables, best = codec.tables(vectors), None
+            best, within = None, np.full(len(query_ids), np.inf)
             for batch in batches:
                 if not len(batch) or not len(query_ids):
                     continue
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), codec.parts)
-                found = search_batch(codec, query_ids, vectors, tables, batch.column(0).to_numpy(), values(batch.column(1)), codes, k, candidates)
+                found = search_batch(codec, query_ids, vectors, batch.column(0).to_numpy(), values(batch.column(1)), codes, k, candidates, within)
                 if best is not None:
                     found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
                 at = nearest_ids(*found, k)
                 best = tuple(x[at] for x in found)
+                full = np.bincount(best[0], minlength=len(query_ids)) == k
+                within = np.where(full, np.maximum.reduceat(np.append(best[2], 0.0), np.searchsorted(best[0], np.arange(len(query_ids)))), np.inf)
             if best is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "id", "score"])
 

@@ -122,3 +122,22 @@ def test_blocks_are_written_one_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(ann, "stage_table", lambda df, name: seen.append(name) or stage(df, name))
     run(spark, vectors(600))
     assert seen[1:] == ["vectors", "queries", "queries", "found0", "queries", "found1", "queries", "found2"]
+
+
+def odd_tables():
+    rng = np.random.default_rng(4)
+    centres = 3 * rng.normal(size=(5, 16))
+    some = centres[rng.integers(0, 5, 3000)]
+    yield "tight groups", some + 1e-4 * rng.normal(size=some.shape)
+    yield "far from zero", 1000 + rng.normal(size=(3000, 16))
+    yield "no structure", rng.normal(size=(3000, 16))
+    yield "odd lengths", rng.normal(size=(3000, 16)) * np.exp(3 * rng.normal(size=(3000, 1)))
+    yield "unequal components", rng.normal(size=(3000, 16)) * 10.0 ** -np.arange(16)
+    yield "one far away", np.concatenate([rng.normal(size=(2999, 16)), np.full((1, 16), 1e9)])
+
+
+@pytest.mark.parametrize(("name", "x"), list(odd_tables()), ids=lambda v: v if isinstance(v, str) else "")
+def test_no_neighbour_is_missed_on_odd_tables(spark, name, x):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute(rows, every=100)
+    assert {q: [i for _, i, _ in v] for q, v in run(spark, rows, 100, "double").items()} == {q: [i for _, i in v] for q, v in want.items()}
