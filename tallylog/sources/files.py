@@ -52,6 +52,16 @@ def head_of(spark: SparkSession, path: str, most: int) -> bytes:
         stream.close()
 
 
+def parts_of(spark: SparkSession, path: str) -> list[str]:
+    """The file alone; of a folder, the files that hold one log between them, in the order of their names, as ``save_rows`` and rotation leave them. Hidden ones and folders in it are no parts."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.getFileStatus(hadoop).isDirectory():
+        return [path]
+    found = [f.getPath() for f in system.listStatus(hadoop) if f.isFile()]
+    return [p.toString() for p in sorted(found, key=lambda p: p.getName()) if p.getName()[0] not in "._"]
+
+
 def is_gzip(spark: SparkSession, path: str) -> bool:
     """Whether the file begins with gzip's two bytes, whatever its name."""
     return head_of(spark, path, 2) == GZIP
@@ -65,10 +75,15 @@ def _unzipped_head(head: bytes) -> bytes:
 
 
 def mode_of_file(spark: SparkSession, path: str) -> str:
-    """A file's mode by its first lines, of which ``HEAD_BYTES`` at most are looked at."""
+    """A log's mode by its first lines, of which ``HEAD_BYTES`` at most of a file are looked at; where a part is shorter than that, the next one goes on."""
+    parts = parts_of(spark, path)
     for size in (HEAD_BYTES // 16, HEAD_BYTES):
-        packed = head_of(spark, path, size)
-        head = _unzipped_head(packed)
+        head, packed = b"", b""
+        for part in parts:
+            packed = head_of(spark, part, size)
+            head += _unzipped_head(packed)
+            if head.count(b"\n") >= SAMPLE_LINES or len(packed) >= size:
+                break
         if head.count(b"\n") >= SAMPLE_LINES or len(packed) < size:
             break
     lines = head.decode("utf-8", "replace").split("\n")[:SAMPLE_LINES]
@@ -107,8 +122,14 @@ def _unzipped(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, block long, at long, value string")
 
 
+#: A part's blocks have numbers from its place in the log times this on: files are shorter.
+PART = 1 << 44
+
+
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, block, at, value): every line, in which split of which file, and a number that grows along the split."""
+    """(path, block, at, value): every line, in which split of which file, and a number that grows along the split. A folder is one log in parts (see ``parts_of``), whose blocks follow each other."""
+    logs = dict(zip(paths, _each(paths, lambda p: parts_of(spark, p)), strict=True))
+    paths = [p for parts in logs.values() for p in parts]
     doubtful = [p for p in paths if not p.endswith(".gz")]
     odd = {p for p, zipped in zip(doubtful, _each(doubtful, lambda p: is_gzip(spark, p)), strict=True) if zipped}
     plain = [p for p in paths if p not in odd]
@@ -116,7 +137,14 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     if plain:
         text = spark.read.option("lineSep", "\n").text(plain)
         parts.append(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
+    if not parts:
+        return spark.createDataFrame([], "path string, block long, at long, value string")
     lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    places = [(_file_key(spark, p), _file_key(spark, log), i * PART) for log, found in logs.items() if found != [log] for i, p in enumerate(found)]
+    if places:
+        table = _small(spark.createDataFrame(places, "_name string, _log string, _shift long"), len(places))
+        lines = lines.withColumn("_name", F.regexp_replace("path", _SCHEME, "/")).join(table, "_name", "left")
+        lines = lines.select(F.coalesce("_log", "path").alias("path"), (F.col("block") + F.coalesce("_shift", F.lit(0))).alias("block"), "at", "value")
     return lines.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
 
 
@@ -133,9 +161,9 @@ def _n_splits(lines: DataFrame) -> int:
     return lines.rdd.getNumPartitions() + len(lines.inputFiles())
 
 
-def _before(splits: DataFrame, amount: str) -> DataFrame:
+def _before(splits: DataFrame, amount: str, place: str = "block") -> DataFrame:
     """(path, block, _before) from (path, block, amount): what earlier splits of the file have."""
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("path").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     return splits.withColumn("_before", F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
 
 
@@ -146,13 +174,26 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return numbered.withColumn("line_number", F.col("at") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
 
 
+def is_blank() -> Column:
+    return F.regexp_replace("value", _TRIMMED, "") == ""
+
+
+def begins_entry(mode: Column) -> Column:
+    """Whether a line begins an entry by itself."""
+    return ~is_blank() & F.when(mode == "timed", F.col("value").rlike(TIME_START)).otherwise(F.col("value").rlike(STRUCTURE_START))
+
+
+#: Lines of a file over which one window counts entries.
+WINDOW_LINES = 50_000
+
+
 def group_entries(lines: DataFrame, multiline: str | dict[str, str] = "single") -> DataFrame:
     """(path, line_number, text) of entries. ``multiline``: a mode for all files, or the modes of those that aren't ``single``, by path without scheme.
 
     In a grouped file an entry's first line begins as its mode says; other lines go on with the entry, blank ones as well, and the first line that isn't blank always begins one.
     Where all files are of one line per entry, as most are, nothing is grouped.
     """
-    blank = F.regexp_replace("value", _TRIMMED, "") == ""
+    blank = is_blank()
     if multiline == "single" or not multiline:
         return lines.where(~blank).select("path", "line_number", F.col("value").alias("text"))
     if isinstance(multiline, dict):
@@ -162,13 +203,13 @@ def group_entries(lines: DataFrame, multiline: str | dict[str, str] = "single")
         moded = lines.withColumn("mode", F.lit(multiline))
     single = moded.where((F.col("mode") == "single") & ~blank).select("path", "line_number", F.col("value").alias("text"))
     grouped = moded.where("mode != 'single'").withColumn("blank", blank)
-    begins = ~F.col("blank") & F.when(F.col("mode") == "timed", F.col("value").rlike(TIME_START)).otherwise(F.col("value").rlike(STRUCTURE_START))
     opened = grouped.where("not blank").groupBy("path").agg(F.min("line_number").alias("_opens"))
-    grouped = grouped.join(opened, "path").withColumn("_begin", (begins | (F.col("line_number") == F.col("_opens"))).cast("long"))
-    # Running counts: within a split by a window, so that one file is many tasks, and over splits by the splits' sums.
-    along = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    splits = _before(grouped.groupBy("path", "block").agg(F.sum("_begin").alias("_n")), "_n").drop("_n")
-    counted = grouped.withColumn("_entry", F.sum("_begin").over(along)).join(splits, ["path", "block"]).withColumn("_entry", F.col("_entry") + F.col("_before"))
+    grouped = grouped.join(opened, "path").withColumn("_begin", (begins_entry(F.col("mode")) | (F.col("line_number") == F.col("_opens"))).cast("long"))
+    # Running counts: within a stretch of lines by a window, so that no task holds more than that at once, and over stretches by their sums.
+    grouped = grouped.select("path", "line_number", "value", "_begin", F.floor(F.col("line_number") / WINDOW_LINES).alias("_piece"))
+    along = Window.partitionBy("path", "_piece").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = _before(grouped.groupBy("path", "_piece").agg(F.sum("_begin").alias("_n")), "_n", "_piece").drop("_n")
+    counted = grouped.withColumn("_entry", F.sum("_begin").over(along)).join(pieces, ["path", "_piece"]).withColumn("_entry", F.col("_entry") + F.col("_before"))
     entries = counted.where("_entry > 0").groupBy("path", "_entry").agg(F.min("line_number").alias("line_number"), F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("_lines"))
     return single.unionByName(entries.select("path", "line_number", F.array_join(F.col("_lines.value"), "\n").alias("text")))
 

@@ -120,3 +120,25 @@ def test_times_carry_over_stretches(spark, tmp_path, monkeypatch, tail):
         assert got[0, i + 1] == (start + max(past) * 1_000_000 if past else None)
     assert all(got[1, i + 1] is None for i in range(25))
     assert logs._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_a_folder_is_one_log_in_parts(spark, tmp_path, monkeypatch, zipped):
+    monkeypatch.setattr(files, "WINDOW_LINES", 3)
+    folder = tmp_path / "app"
+    folder.mkdir()
+    pieces = ["", "\n".join(TRACE[:3]) + "\n", "\n".join(TRACE[3:6]) + "\n", "\n".join(TRACE[6:])]
+    for i, text in enumerate(pieces):
+        (folder / f"part-{i}").write_bytes(gzip.compress(text.encode()) if zipped else text.encode())
+    (folder / "_SUCCESS").write_text("2026-03-08 10:00:01 ERROR none\n")
+    (tmp_path / "b.log").write_text("2026-03-08 10:00:09 INFO a\n2026-03-08 10:00:09 INFO b\n")
+    logs = read_logs(spark, [str(tmp_path / "b.log"), str(folder)])
+    got = sorted((r["source_index"], r["line_number"], r["raw"], r["source"]) for r in logs.collect())
+    assert got[2:] == [(1, 1, "\n".join(TRACE[:5]), "app"), (1, 6, TRACE[5] + "\n", "app"), (1, 8, TRACE[7], "app")] and len(got) == 5
+
+
+def test_windows_count_few_lines(spark, tmp_path):
+    (tmp_path / "x").write_text("2026-03-08 10:00:01 ERROR first\n  at a.B\n" * 20)
+    plan = read_logs(spark, [str(tmp_path / "x")])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x and "_begin" in x]
+    assert windows and all("_piece" in x for x in windows)
