@@ -105,3 +105,32 @@ def test_directory_and_windows(spark, tmp_path):
     query.awaitTermination(60)
     got = {(str(r["start"])[11:16], r["level"]): r["count"] for r in spark.table("windows").collect()}
     assert got == {("10:00", "error"): 1, ("10:00", "info"): 1, ("10:01", "error"): 1, ("10:09", "error"): 1}
+
+
+def test_a_log_in_parts_is_followed(tmp_path):
+    from tallylog.streaming.follow import log_size, open_log
+
+    for name, data in (("a", b"one\ntwo\n"), ("b", b""), ("c", b"three\nfo"), ("_SUCCESS", b"no\n"), (".a.crc", b"no\n")):
+        (tmp_path / name).write_bytes(data)
+    p = str(tmp_path)
+    assert (log_size(p), last_line_end(p, 0, 16), first_line_end(p, 5, 16)) == (16, 14, 8) and open_log(p).read() == b"one\ntwo\nthree\nfo"
+    reader = GrowingFileReader(p, 0, None, 3)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert [r[2] for part in reader.partitions(start, end) for r in reader.read(part)] == ["one", "two", "three"]
+    (tmp_path / "d").write_bytes(b"ur\n")
+    assert reader.latestOffset() == {"byte": 19}
+
+
+def test_only_the_open_entry_reaches_the_driver(spark, tmp_path):
+    from tallylog.streaming.follow import OpenEntry, entries_across
+
+    def batch(*lines):
+        return spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "block long, at long, value string")
+
+    seen, count, held = [], 0, []
+    for number, lines in enumerate((["", "  "], ["head", "12:00:01 a"], ["  x", ""], ["  y", "12:00:02 b", "12:00:03 c"], [], ["", "tail"], ["12:00:04 d"], [])):
+        entries, count, held = entries_across(batch(*lines), "timed", count, held)
+        OpenEntry(spark, str(tmp_path)).keep(number, count, held)
+        assert OpenEntry(spark, str(tmp_path)).before(number + 1) == (count, held)
+        seen += [sorted((r["line_number"], r["text"]) for r in entries.collect())]
+    assert seen == [[], [(3, "head")], [], [(4, "12:00:01 a\n  x\n\n  y"), (8, "12:00:02 b")], [(9, "12:00:03 c")], [], [(11, "tail")], [(12, "12:00:04 d")]]
