@@ -58,10 +58,19 @@ def _described(saved: DataFrame) -> DataFrame:
     return sizes.join(sets, "file", "left").select("file", F.col("day").cast("string").alias("day"), "low", "high", "n", F.coalesce("trigrams", F.array().cast("array<int>")).alias("trigrams"), F.lit(False).alias("gone"))
 
 
+def _add_to_index(rows: DataFrame, path: str) -> None:
+    """Appends index rows as one file, which readers see at once or not at all. The rows are made by many tasks first; the one that writes them has no more to do than that."""
+    spark, made = rows.sparkSession, f"{path}/index-{uuid.uuid4().hex}"
+    rows.write.parquet(made)
+    spark.read.schema(rows.schema).parquet(made).coalesce(1).write.mode("append").parquet(f"{path}/index")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(made)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def save_records(records: DataFrame, path: str, promoted: Iterable[str] = (), ids: Iterable[str] = (), file_rows: int = FILE_ROWS) -> None:
     """Adds records to the store at ``path``. ``promoted`` fields get columns; of these ``ids`` (which are promoted, too) get Bloom filters. Records without time have a partition of their own; no records add nothing."""
     ids = list(ids)
-    _described(_write(promote(records, [*promoted, *ids]), path, ids, file_rows)).coalesce(1).write.mode("append").parquet(f"{path}/index")
+    _add_to_index(_described(_write(promote(records, [*promoted, *ids]), path, ids, file_rows)), path)
 
 
 def _live(spark: SparkSession, path: str) -> DataFrame:
@@ -132,4 +141,4 @@ def compact(spark: SparkSession, path: str, day: str, ids: Iterable[str] = (), f
         return
     new = _described(_write(_read(spark, path, files), path, ids, file_rows))
     gone = spark.createDataFrame([(f, d, None, None, None, [], True) for f, d in files], spark.read.parquet(f"{path}/index").select(*new.columns).schema)
-    new.unionByName(gone).coalesce(1).write.mode("append").parquet(f"{path}/index")
+    _add_to_index(new.unionByName(gone), path)

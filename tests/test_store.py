@@ -75,3 +75,16 @@ def test_compaction_and_appends(spark, logs, tmp_path):
     assert ids(look_up(spark, path)) == sorted([1, *ids(logs)])
     columns = look_up(spark, path).columns
     assert "day" not in columns and "batch" not in columns
+
+
+def test_index_rows_are_made_by_many_tasks(spark, logs, tmp_path, monkeypatch):
+    from tallylog.sources import store as module
+
+    frame, made = type(logs), []
+    coalesce = frame.coalesce
+    monkeypatch.setattr(frame, "coalesce", lambda df, n: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or coalesce(df, n))
+    module.save_records(logs, str(tmp_path / "s"), file_rows=100)
+    module.compact(spark, str(tmp_path / "s"), "2024-01-03")
+    assert len(made) == 2 and not any("Aggregate" in plan or "Join" in plan for plan in made)
+    assert ids(look_up(spark, str(tmp_path / "s"))) == ids(logs)
+    assert {p.name for p in (tmp_path / "s").iterdir()} == {"records", "index"}
