@@ -19,7 +19,7 @@ from .operators.tree import tree_lines
 from .plans.aliases import Aliases
 from .plans.compiler import field_of
 from .sources.columns import records_from_columns
-from .sources.files import group_entries, number_lines, parse_entries, read_logs
+from .sources.files import group_entries, number_lines, parse_entries, parts_of, read_logs
 from .sources.records import with_records
 
 #: What ``last:`` counts from: noon of 20 January 2024.
@@ -384,16 +384,16 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _written(spark: SparkSession, d: str, line: Column, files: int = 1, zipped: bool = False) -> list[str]:
-    """The events as files of lines, each in the order of ids, one file for each remainder of the id; their paths. Of zipped ones every second has a name that doesn't tell."""
+    """The events as logs of lines, each in the order of ids, one log for each remainder of the id; their paths. A log is a folder of parts, written by as many tasks. Of zipped ones every second has parts whose names don't tell."""
     df, base, paths = spark.read.parquet(f"{d}/events.parquet").withColumn("lvl", _level()), _folder(spark), []
     for i in range(files):
-        lines = df.where(F.col("event_id") % files == i).coalesce(1).sortWithinPartitions("event_id").select(line.alias("value"))
-        lines.write.option("compression", "gzip" if zipped else "none").text(f"{base}/{i}")
-        (path,) = spark.read.text(f"{base}/{i}").inputFiles()
+        path = f"{base}/{i}"
+        lines = df.where(F.col("event_id") % files == i).repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value"))
+        lines.write.option("compression", "gzip" if zipped else "none").text(path)
         if zipped and i % 2:
-            old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{base}/{i}/app.log"))
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new)
-            path = f"{base}/{i}/app.log"
+            for part in parts_of(spark, path):
+                old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (part, part.removesuffix(".txt.gz") + ".log"))
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new)
         paths.append(path)
     return paths
 
@@ -456,7 +456,7 @@ def _(spark, d):
 
 @_query("follow_growing", f"{_EVENTS} SELECT ts_us, user_id, message FROM e WHERE level = 'error'")
 def _(spark, d):
-    """A file followed from its first byte to its present end. It is read where the driver is, so its folder must be there, too."""
+    """A log followed from its first byte to its present end. It is read where the driver is, so its folder must be there, too."""
     from .streaming.follow import follow
 
     (path,) = _written(spark, d, _json_line())
@@ -571,16 +571,19 @@ def _(spark, d):
     return look_up(spark, path, "last:36h AND level:error", now_us=NOW_US).select("line_number", "level")
 
 
+#: Bytes of a followed batch at most, and seconds without a batch after which one is given up.
+FOLLOWED_BYTES, STALLED_S = 256 << 20, 600
+
+
 @_query("follow_traces", f"""{_EVENTS} SELECT * FROM (SELECT 3 * row_number() OVER (ORDER BY line_number) - 2 AS line_number, (ts_us // 1000) * 1000 AS ts_us, level, 3 AS lines FROM e) WHERE level <> 'debug'""")
 def _(spark, d):
-    """Entries of three lines in a file that is followed in bounded batches, which cut some entries in two; the last one comes when no line has come for a while."""
-    import os
+    """Entries of three lines in a log that is followed in bounded batches, which cut some entries in two; the last one comes when no line has come for a while."""
     import time
 
-    from .streaming.follow import follow
+    from .streaming.follow import follow, log_size
 
     (path,) = _written(spark, d, F.concat(_plain_line(), F.lit("\njava.lang.IllegalStateException: no\n\tat a.B.c(D.java:1)")))
-    out, schema, seen = _folder(spark), "line_number long, ts_us long, level string, lines int", [0]
+    out, schema, seen, last = _folder(spark), "line_number long, ts_us long, level string, lines int", [0], [time.time()]
     wanted = spark.read.parquet(f"{d}/events.parquet").count()
     local = path.removeprefix("file://").replace("file:", "")
     spark.createDataFrame([], schema).write.parquet(out)
@@ -591,11 +594,11 @@ def _(spark, d):
         batch.where("level != ''").write.mode("append").parquet(out)
         batch.unpersist()
         seen[0] += n
+        last[0] = time.time()
 
-    query = follow(spark, local, "", keep, f"{out}-state", across="timed", wait_ms=500, every="200 milliseconds", most=os.path.getsize(local) // 3 + 1)
-    end = time.time() + 300
+    query = follow(spark, local, "", keep, f"{out}-state", across="timed", wait_ms=500, every="200 milliseconds", most=min(log_size(local) // 3 + 1, FOLLOWED_BYTES))
     try:
-        while seen[0] < wanted and query.isActive and time.time() < end:
+        while seen[0] < wanted and query.isActive and time.time() < last[0] + STALLED_S:
             time.sleep(0.2)
     finally:
         query.stop()
