@@ -28,10 +28,9 @@ TRIGRAM_BITS = 16
 FILE_ROWS = 1_000_000
 
 
-def _trigrams(text: Column) -> Column:
-    """Hashes of a text's runs of three characters, capital ASCII letters as small ones."""
-    folded = ascii_lower(text)
-    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.pmod(F.xxhash64(F.substring(folded, i, F.lit(3))), F.lit(1 << TRIGRAM_BITS)).cast("int"))).otherwise(F.array().cast("array<int>"))
+def _trigrams(folded: Column) -> Column:
+    """Hashes of a text's runs of three characters. The text has small ASCII letters for capital ones already, and is a column or a lambda's variable, as it is evaluated once for each run."""
+    return F.when(F.length(folded) >= 3, F.transform(F.sequence(F.lit(1), F.length(folded) - 2), lambda i: F.pmod(F.xxhash64(F.substring(folded, i, F.lit(3))), F.lit(1 << TRIGRAM_BITS)).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def _day(ts_us: Column) -> Column:
@@ -53,7 +52,7 @@ def _described(saved: DataFrame) -> DataFrame:
     """Index rows of a save's files."""
     rows = saved.select(F.col("_metadata.file_path").alias("file"), "day", "ts_us", "fields")
     sizes = rows.groupBy("file", "day").agg(F.min("ts_us").alias("low"), F.max("ts_us").alias("high"), F.count(F.lit(1)).alias("n"))
-    values = F.array_distinct(F.flatten(F.transform(F.map_values("fields"), _trigrams)))
+    values = F.array_distinct(F.flatten(F.transform(F.transform(F.map_values("fields"), ascii_lower), _trigrams)))
     sets = rows.select("file", F.explode(values).alias("t")).distinct().groupBy("file").agg(F.array_sort(F.collect_list("t")).alias("trigrams"))
     return sizes.join(sets, "file", "left").select("file", F.col("day").cast("string").alias("day"), "low", "high", "n", F.coalesce("trigrams", F.array().cast("array<int>")).alias("trigrams"), F.lit(False).alias("gone"))
 
@@ -82,7 +81,7 @@ def file_condition(node: q.Node, now_us: int) -> Column:
     """Whether a file of the index may have a record for which the tree holds."""
 
     def has(text: str) -> Column:
-        wanted = _trigrams(F.lit(text))
+        wanted = _trigrams(ascii_lower(F.lit(text)))
         return F.size(F.array_except(wanted, F.col("trigrams"))) == 0 if len(text) >= 3 else F.lit(True)
 
     def time_is(op: str, bound: int | None) -> Column:

@@ -88,3 +88,14 @@ def test_index_rows_are_made_by_many_tasks(spark, logs, tmp_path, monkeypatch):
     assert len(made) == 2 and not any("Aggregate" in plan or "Join" in plan for plan in made)
     assert ids(look_up(spark, str(tmp_path / "s"))) == ids(logs)
     assert {p.name for p in (tmp_path / "s").iterdir()} == {"records", "index"}
+
+
+def test_values_are_folded_once(spark):
+    from tallylog.sources import store as module
+
+    df = spark.createDataFrame([({"a": "AbCd", "b": "xY", "c": None, "d": "ab\u00c4\u00e4"},)], "fields map<string,string>").withColumns({"ts_us": F.lit(1), "day": F.lit("d"), "_metadata": F.struct(F.lit("f").alias("file_path"))})
+    described = module._described(df)
+    plan = described._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(translate" not in plan.replace("lambda ", "")
+    want = spark.createDataFrame([(x,) for x in ("abc", "bcd", "ab\u00c4", "b\u00c4\u00e4")], "t string").select(F.pmod(F.xxhash64("t"), F.lit(1 << 16)).cast("int")).collect()
+    assert described.first()["trigrams"] == sorted(r[0] for r in want)
