@@ -82,3 +82,15 @@ def test_bit_error(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [9, 1, 3, 3], 1)], "a array<int>, b array<int>, o int")
     overlap, error = chroma.bit_error(F.col("a"), F.col("b"), F.col("o"))
     assert tuple(df.select(overlap, error).first()) == (3, 1 / 96)
+
+
+def test_levels_are_those_of_all_recordings(spark):
+    rng = np.random.default_rng(5)
+    values = [rng.normal(size=(n, 16)) * 10.0 ** rng.integers(-3, 3, 16) for n in rng.integers(0, 9, 700)] + [np.zeros((40, 16))]
+    rows = spark.createDataFrame([(i, (v + 0.0).astype("<f4").tobytes()) for i, v in enumerate(values)], "id long, responses binary").repartition(5)
+    want = np.quantile(np.concatenate([v.astype("<f4").astype(float) for v in values]), [0.25, 0.5, 0.75], axis=0).T
+    levels = chroma.exact_levels(rows)
+    assert np.allclose(levels, want, rtol=1e-12, atol=0)
+    got = {r["id"]: r["prints"] for r in chroma.prints_of(rows, levels).collect()}
+    assert all(got[i] == chroma.integers(v.astype("<f4").astype(float), levels).tolist() for i, v in enumerate(values))
+    assert (chroma.exact_levels(rows.limit(0)) == 0).all()
