@@ -39,6 +39,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What Arrow's pool keeps of batches that are done goes back to the machine: a Python worker lives on beside its executor, and is used for other stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def md5_long(*cols: Column, salt: str = "") -> Column:
     """First 32 bits of an MD5 over the values as text, as a non-negative long; engines other than Spark can compute it too."""
     text = F.concat_ws("\x1f", F.lit(salt), *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols])

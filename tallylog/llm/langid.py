@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import positional, restored
+from .common import give_back, positional, restored
+from .shingles import byte_slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -156,8 +157,8 @@ def predict(df: DataFrame, model: ByteCNN, text_col: str = "text", lang: str = "
     ``df``'s own columns stay, also such as have other columns' internal names; give ``lang`` and ``score`` names that are free.
     """
 
-    @F.pandas_udf("lang string, score double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fused = model._fused()
         for texts in batches:
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -173,10 +174,10 @@ def predict(df: DataFrame, model: ByteCNN, text_col: str = "text", lang: str = "
                     np.add.at(sums, o[low : low + BATCH], p * s[low : low + BATCH, None])
                 held.clear(), sizes.clear(), owners.clear()
 
-            for i, text in enumerate(texts):
-                if text is None or not model.langs or not any(map(str.isalpha, text)):
+            for i, data in ((i, t) for low, _, some in byte_slices(texts) for i, t in enumerate(some, low)):
+                if not model.langs or not any(map(str.isalpha, data.decode("utf-8", "replace"))):
                     continue
-                x, s = _windows(text.encode("utf-8", "replace"))
+                x, s = _windows(data)
                 held.append(x), sizes.append(s), owners.append(np.full(len(s), i))
                 n += len(s)
                 if n >= 4 * BATCH:
@@ -188,7 +189,9 @@ def predict(df: DataFrame, model: ByteCNN, text_col: str = "text", lang: str = "
             for i in np.flatnonzero(total):
                 k = int(sums[i].argmax())
                 langs[i], scores[i] = model.langs[k], min(1.0, sums[i, k] / total[i])
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+            del texts
+            give_back()
 
     own = df.columns
     df, text_col = positional(df, text_col)

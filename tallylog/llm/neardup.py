@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, positional, restored, stage_table
+from .common import fresh, give_back, positional, restored, stage_table
 from .components import connected_components
 from .shingles import byte_slices, mix, new_key, shingle_sets
 
@@ -88,6 +88,8 @@ def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k
                     [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests[0]), pa.array(digests[1]),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())), pa.array([s.tobytes() for s in sketch], pa.binary())],
                     ["id", "t", "n", "h1", "h2", "bands", "sketch"])
+            del batch
+            give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`")
@@ -249,6 +251,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             made.append(s.tobytes())
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(made, pa.binary())], ["rep", "part", "copies", "grams"])
+            del batch
+            give_back()
 
     grams = texts.select("rep", "text", "part", "copies", "h1").mapInArrow(sets_of, "rep long, part long, copies long, grams binary")
     held = members.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()

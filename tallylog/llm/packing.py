@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell_offsets, md5_long, salts_for, stage_table
+from .common import cell_offsets, give_back, md5_long, salts_for, stage_table
 
 CAPACITY = 4096
 END_ID = 1
@@ -228,6 +228,8 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         rows.append(row)
             made = np.array(rows, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), pa.array(made[:, 0].astype(np.int32)), pa.array(made[:, 1]), pa.array(made[:, 2]), pa.array(made[:, 3])], ["id", "piece", "start", "length", "ids_crc32"])
+            del batch, ids, texts, rows, owner, made
+            give_back()
 
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -1,3 +1,8 @@
+import re
+from pathlib import Path
+
+import pyarrow as pa
+
 import corpus_pipeline
 from tallylog.llm import langid
 
@@ -42,3 +47,17 @@ def test_odd_documents_and_none(spark):
 def test_stage_methods():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "private_data", "mixing", "packing"]
     assert corpus_pipeline.langid is langid
+
+
+def test_batches_that_are_done_go_back_to_the_machine():
+    """Arrow's pool would keep them in a worker that other stages use later, beside its executor."""
+    from tallylog.llm.common import give_back
+
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+    give_back()
+    before = held()
+    batches = [pa.array(["x" * 2000] * 5000) for _ in range(8)]
+    assert held() > before + 60
+    del batches
+    give_back()
+    assert held() < before + 30
