@@ -6,6 +6,7 @@
    shuffled on their band hashes. In a bucket, 16-bit sketches of the MinHash values screen the pairs, and a spanning forest of
    the pairs that pass is all that leaves it. A bucket of over ``BLOCK`` classes is cut by size of set, so that only sets whose sizes
    allow a link meet, and each of these strips into blocks; each pair of blocks is a task of its own: no pair that can link is left out, and no bucket is held whole.
+   What links a block's own rows comes from its own task only; two blocks give an edge for each two of their parts that meet, so that edges grow with a group, not with its square.
 3. The forests' components hold every candidate pair. Their members' full sets are compared, block by block as well (blocks are bounded by n-grams, too); the
    counts of links and a spanning forest of the verified pairs come back. So every link is found. A class of a strip of n classes is sent to n / ``BLOCK`` tasks:
    where n different texts are near copies, each of their links is counted, and that is work of order n squared.
@@ -96,36 +97,32 @@ def describe(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k
     return df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("t")).mapInArrow(run, f"id {kind}, t long, n int, h1 long, h2 long, bands array<long>, sketch binary")
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph on n nodes that the pairs make."""
-    root, edges = list(range(n)), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for left, right in pairs:
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                edges.append((a, b))
+def _forest(ok: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph whose pairs are marked above the diagonal. With ``side`` (two blocks), pairs of one side are those that the blocks' own tasks link: they hold
+    together here without being edges, so that blocks that hang together give one edge, not one for each of their rows."""
+    n, edges = len(ok), []
+    if n == 2:
+        return [(0, 1)] if ok[0, 1] and (side is None or side[0] != side[1]) else []
+    part = np.arange(n)
+    across = None if side is None else side[:, None] != side[None, :]
+    for marked, new in ((ok, True),) if side is None else ((ok & ~across, False), (ok & across, True)):
+        for i in range(n - 1):
+            at = i + 1 + np.flatnonzero(marked[i, i + 1 :])
+            at = at[part[at] != part[i]]
+            if len(at):
+                parts, first = np.unique(part[at], return_index=True)
+                edges += [(i, int(j)) for j in at[first]] if new else []
+                part[np.isin(part, parts)] = part[i]
     return edges
 
 
-def _screen(sketches: np.ndarray, side: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs whose sketches agree in at least that share; with ``side`` (two blocks), only between the sides."""
+def _screen(sketches: np.ndarray, least: float) -> np.ndarray:
+    """Marks, above the diagonal, of the pairs whose sketches agree in at least that share."""
     n, width = sketches.shape
+    ok = np.zeros((n, n), dtype=bool)
     for i in range(n - 1):
-        agree = (sketches[i + 1 :] == sketches[i]).sum(axis=1)
-        ok = agree >= least * width
-        if side is not None:
-            ok &= side[i + 1 :] != side[i]
-        at = np.flatnonzero(ok)
-        if len(at):
-            yield np.full(len(at), i), at + i + 1
+        ok[i, i + 1 :] = (sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least * width
+    return ok
 
 
 def _tasks(rows: DataFrame, key: str, weight: str, threshold: float, small: int) -> DataFrame:
@@ -168,7 +165,7 @@ def _candidates(reps: DataFrame, least: float, threshold: float) -> DataFrame:
         ids, sides, sketches, same = pdf["rep"].to_numpy(), pdf["_low"].to_numpy(), pdf["sketch"].tolist(), pdf["_same"].to_numpy()
         for low, high in zip(cut[:-1], cut[1:], strict=True):
             s = np.frombuffer(b"".join(sketches[low:high]), dtype="<u2").reshape(high - low, -1)
-            for a, b in _forest(high - low, _screen(s, None if same[low] else sides[low:high], least)):
+            for a, b in _forest(_screen(s, least), None if same[low] else sides[low:high]):
                 out_a.append(ids[low + a])
                 out_b.append(ids[low + b])
         return pd.DataFrame({"a": out_a, "b": out_b}).drop_duplicates()
@@ -203,11 +200,11 @@ def _verify(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, side: n
     union = sizes[:, None] + sizes[None, :] - common
     # In whole numbers: 0.8 is met exactly by 4 of 5.
     ok = np.triu(common * 1000 >= np.round(threshold * 1000) * union, 1)
+    edges = _forest(ok, side)
     if side is not None:
         ok &= side[:, None] != side[None, :]
-    left, right = np.nonzero(ok)
     both = ok | ok.T
-    return both.sum(axis=1), both @ copies, _forest(n, iter([(left, right)]))
+    return both.sum(axis=1), both @ copies, edges
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, k: int = N_GRAM) -> DataFrame:

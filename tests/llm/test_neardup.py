@@ -83,6 +83,36 @@ def test_blocks(spark, monkeypatch, block, grams):
     check(spark, docs)
 
 
+def test_edges_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    edges = []
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "connected_components", lambda df, *cols: edges.append(df.count()) or connected_components(df, *cols))
+    base = [f"w{i}" for i in range(120)]
+    for n in (64, 256):
+        check(spark, [(i, " ".join([*base, f"e{i}"]), "en", "s") for i in range(n)])  # all near to all
+    (few, few_links), (many, many_links) = edges[:2], edges[2:]
+    assert many < 6 * few and many_links < 6 * few_links
+
+
+def test_blocks_that_meet_keep_every_part():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 9, 30):
+        for share in (0.02, 0.1, 0.5):
+            ok, side = np.triu(rng.random((n, n)) < share, 1), rng.random(n) < 0.5
+            within = ok & (side[:, None] == side[None, :])
+            whole = neardup._forest(ok)
+            apart = neardup._forest(within) + neardup._forest(ok, side)
+            assert len(apart) == len(whole) and all(ok[a, b] for a, b in whole + apart)  # forests of one graph have as many edges
+
+            def parts(found, n=n):
+                group = list(range(n))
+                for a, b in found:
+                    group = [group[a] if g == group[b] else g for g in group]
+                return [group.index(g) for g in group]
+
+            assert parts(whole) == parts(apart) == parts(np.argwhere(ok))
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
@@ -130,3 +160,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (200, 100)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 100}
+
+
+def test_components_of_hubs_paths_and_chance(spark):
+    rng = random.Random(9)
+    edges = [(i, 99) for i in range(60, 99)] + [(100 + i, 101 + i) for i in range(33)]  # a hub above its leaves; a path upwards
+    edges += [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(45)] + [(300 + 10 * i, 301 + 10 * i + k) for i in range(4) for k in range(9)] + [(309 + 10 * i, 319 + 10 * i) for i in range(3)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in least:
+        for x, y in edges:
+            if x != y:
+                least[x] = least[y] = min(least[x], least[y])
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == least
