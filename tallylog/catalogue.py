@@ -329,8 +329,8 @@ def _(spark, d):
 
 
 def _rendered(spark: SparkSession, d: str, text: Column, *more: str) -> DataFrame:
-    """Events written as text and read again."""
-    df = spark.read.parquet(f"{d}/events.parquet").withColumn("lvl", _level())
+    """Events written as text and read again, dealt by their ids, as a file has few row groups and each is one task."""
+    df = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type").repartition("event_id").withColumn("lvl", _level())
     back = with_records(df.select("event_id", text.alias("text")), F.col("text")).select(F.col("event_id").alias("line_number"), "_record.*")
     return back.select("line_number", "ts_us", "level", F.col("fields")["user_id"].alias("user_id"), "message", *[F.col("fields")[x].alias(x.replace(".", "_")) for x in more])
 

@@ -1,11 +1,13 @@
 """Records of entries' texts, as columns: JSON objects, key=value pairs and plain text are read inside the JVM.
 
-Flat JSON objects without escapes are taken apart by patterns, others are read as variants, whose objects become maps level by level; pairs and plain text are taken apart by patterns, too. Each step knows exactly what it can vouch for: an entry with anything else in it (a number
+Flat JSON objects without escapes are taken apart by patterns, others are read as maps of texts, level by level (arrays as variants); pairs and plain text are taken apart by patterns, too. Each step knows exactly what it can vouch for: an entry with anything else in it (a number
 that may print differently, repeated keys, an unusual time, deep nesting, text behind the object) is refused, and refused entries alone are handed to ``parse_log``, whose argument is null for all others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +20,22 @@ NESTED = 3
 #: Escapes in one entry up to which a pattern is let loose on it.
 MOST_ESCAPES = 200
 
-_TRIMMED = r"(?U)^\s+|\s+$"
+_TRIMMED, _VISIBLE_ENDS = r"(?U)^\s+|\s+$", r"^[!-~]{2}\z"
 #: What counts as white space or as a letter in some engines only.
 _ODD = r"[\x1c-\x1f\u0085İıſK]"
-#: Numbers that print as they are: whole ones, and fractions without an exponent.
-_NUMBER = r"^-?(?:[0-9]{1,15}|(?!0\.0000)[0-9]{1,6}\.[0-9]{1,9})\z"
 #: Arrays that print as they are: plain ASCII strings, short numbers.
 _ARRAY = r"""^(?:[\[\]{}:,]|"[ !#-%'-;=?-\[\]-~]*+"|-?(?:0|[1-9][0-9]{0,8})(?:\.[0-9]{1,5})?(?![0-9.eE])|true|false|null)*+\z"""
 #: A flat object of plain strings, short numbers, true, false and null; and one of its pairs.
 _SCALAR = r'(?:"[^"\\\x00-\x1f]*+"|(?:0|-?[1-9][0-9]{0,14}+)(?![0-9.eE])|(?!-?0\.0000)-?(?:0|[1-9][0-9]{0,5}+)\.[0-9]{0,8}[1-9](?![0-9eE])|true|false|null)'
 _FLAT = rf'^\{{[ \t\r\n]*+(?:"[^"\\\x00-\x1f]++"[ \t\r\n]*+:[ \t\r\n]*+{_SCALAR}[ \t\r\n]*+(?:,[ \t\r\n]*+(?=")|(?=\}}\z)))*+\}}\z'
 _FLAT_PAIR = r'"([^"]++)"[ \t\r\n]*+:[ \t\r\n]*+(?:"([^"]*+)"|([^,} \t\r\n]++))'
-_MINUS_ZERO, _EXPONENT, _SURROGATE = r"-0(?:\.0+)?\s*[,\]}]", r"[0-9][eE][-+]?[0-9]", r"\\u[dD][89a-fA-F]"
+#: Tokens of JSON, in any order, by which its values' texts tell what they are: no string begins with a bracket or prints as a number that ends in zeros, and none has halves of a pair; numbers are short.
+_STRING = r'"(?:(?![\[{\-0-9]|\\u)[^"\\\x00-\x1f]*+(?:\\(?!u[dD][89a-fA-F]).[^"\\\x00-\x1f]*+)*+|(?!-?[0-9]++\.[0-9]*0")[-0-9][^"\\\x00-\x1f]*+)"'
+_SHORT_NUMBER = r"(?!-0(?:\.0*+)?+(?![0-9.]))(?!-?0\.0000)-?(?:(?:0|[1-9][0-9]{0,5}+)\.[0-9]{1,9}+|(?:0|[1-9][0-9]{0,14}+))(?![0-9.eE])"
+_TOKENS = rf"^(?:[{{}}\[\]:, \t\r\n]++|{_STRING}|{_SHORT_NUMBER}|true|false|null)*+\z"
+_ENDS_IN_ZEROS = r"^-?[0-9]+\.[0-9]*0\z"
+#: An object whose values stay texts.
+_OBJECT = "map<string,string>"
 _PAIR = r'\G[ \t]*+([^= \t]*+)=(?:"((?:[^"\\]++|\\[\s\S]|\\\z)*+)"?|([^ \t]*+))'
 
 _DATE, _CLOCK = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}:[0-9]{2}"
@@ -55,33 +61,27 @@ def plain_time(text: Column) -> Column:
 
 def _first_of(fields: Column, keys) -> Column:
     """The first of the fields that isn't empty."""
-    found = F.filter(F.transform(F.array(*map(F.lit, keys)), lambda k: F.try_element_at(fields, k)), lambda v: v != "")
-    return F.try_element_at(found, F.lit(1))
+    return F.coalesce(*[F.nullif(F.try_element_at(fields, F.lit(k)), F.lit("")) for k in keys])
 
 
-def _unfolded(leaves: Column) -> Column:
-    """Entries (k, x, t) with the objects among them replaced by their own entries."""
-    inner = lambda e: F.transform(F.map_entries(e["x"].try_cast("map<string,variant>")), lambda c: F.struct(F.concat(e["k"], F.lit("."), c["key"]).alias("k"), c["value"].alias("x"), F.schema_of_variant(c["value"]).alias("t")))
-    return F.when(F.exists(leaves, lambda e: e["t"].startswith("OBJECT")), F.flatten(F.transform(leaves, lambda e: F.when(e["t"].startswith("OBJECT"), inner(e)).otherwise(F.array(e))))).otherwise(leaves)
+def _inner(objects: Column) -> Column:
+    """Entries of each of the entries whose value is an object's text."""
+    parsed = lambda e: F.map_entries(F.from_json(e["value"], _OBJECT))
+    return F.flatten(F.transform(objects, lambda e: F.transform(parsed(e), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))))
 
 
-def _leaf_text(e: Column, exponents: Column) -> Column:
-    """(k, v, sure) of an entry."""
-    text, kind = e["x"].try_cast("string"), e["t"]
-    array = kind.startswith("ARRAY") & text.rlike(_ARRAY) & ~kind.contains("DOUBLE") & ~exponents
-    number = ((kind == "BIGINT") | kind.startswith("DECIMAL")) & text.rlike(_NUMBER)
-    return F.struct(e["k"].alias("k"), text.alias("v"), (kind.isin("STRING", "BOOLEAN") | number | array).alias("sure"))
+def _leaf_text(e: Column) -> Column:
+    """An entry with its value as it prints; null in its place where that isn't sure."""
+    value = e["value"]
+    array = F.try_parse_json(value).try_cast("string")
+    text = F.when(value.startswith("["), F.when(array.rlike(_ARRAY), array)).when(value.endswith("0") & value.rlike(_ENDS_IN_ZEROS), F.regexp_replace(value, r"\.?0+\z", "")).otherwise(value)
+    return F.struct(e["key"].alias("key"), text.alias("value"))
 
 
-def _unique(pairs: Column) -> Column:
-    keys = F.transform(pairs, lambda p: p["k"])
+def _unique(keys: Column) -> Column:
     return F.size(F.array_distinct(keys)) == F.size(keys)
 
 
-def _as_map(pairs: Column) -> Column:
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], p["v"])))
-
-
 def _flat_columns(df: DataFrame) -> DataFrame:
     """Adds __flat: the fields of a flat JSON object whose strings have no escapes, as most logs' have; null for others."""
     bare = F.col("__bare")
@@ -91,27 +91,31 @@ def _flat_columns(df: DataFrame) -> DataFrame:
     # A bare null is no value, and neither a string nor a number is empty in its own group.
     pairs = F.zip_with(F.arrays_zip(group(1).alias("k"), group(2).alias("q")), group(3), lambda p, u: F.struct(p["k"].alias("k"), F.when(u != "null", F.concat(p["q"], u)).alias("v")))
     df = df.withColumn("__fp", pairs)
-    return df.withColumn("__flat", F.when(_unique(F.col("__fp")), _as_map(F.filter("__fp", lambda p: p["v"].isNotNull()))))
+    return df.withColumn("__flat", F.when(_unique(F.col("__fp.k")), F.map_from_entries(F.filter("__fp", lambda p: p["v"].isNotNull()))))
 
 
 def _json_columns(df: DataFrame) -> DataFrame:
     """Adds __json: (k, v) of all leaves of an entry that is a JSON object; null for others and for refused ones."""
     bare, df = F.col("__bare"), _flat_columns(df)
-    # A variant's reader stops at the end of its value; the digest behind it tells that this end is that of the text.
-    mark = F.xxhash64(bare)
-    alike = (F.col("__kind") == "json") & F.col("__even").isNull() & ~bare.rlike(_SURROGATE) & ~bare.rlike(_MINUS_ZERO)
-    df = df.withColumn("__v", F.when(alike, F.try_parse_json(F.concat(F.lit("["), bare, F.lit(","), mark.cast("string"), F.lit("]")))))
-    whole = (F.try_variant_get("__v", "$[1]", "long") == mark) & F.try_variant_get("__v", "$[2]", "variant").isNull()
-    df = df.withColumn("__o", F.when(whole, F.map_entries(F.try_variant_get("__v", "$[0]", "map<string,variant>"))))
-    df = df.withColumn("__l0", F.transform("__o", lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x"), F.schema_of_variant(e["value"]).alias("t"))))
+    alike = (F.col("__kind") == "json") & F.col("__even").isNull() & bare.rlike(_TOKENS)
+    # Jackson stops at the end of an array; the digest in its last object tells that this end is that of the text.
+    mark = F.xxhash64(bare).cast("string")
+    df = df.withColumn("__v", F.when(alike, F.from_json(F.concat(F.lit("["), bare, F.lit(',{"":"'), mark, F.lit('"}]')), f"array<{_OBJECT}>")))
+    df = df.withColumn("__o", F.when((F.size("__v") == 2) & (F.try_element_at(F.get("__v", F.lit(1)), F.lit("")) == mark), F.get("__v", F.lit(0))))
+    # By these tokens, a value that begins with a bracket is no string: objects and arrays are known by their first characters.
+    levels, whole = [F.map_entries("__o")], ~F.map_contains_key("__o", "")
     for i in range(NESTED):
-        df = df.withColumn(f"__l{i + 1}", _unfolded(F.col(f"__l{i}")))
-    exponents = bare.rlike(_EXPONENT)
-    leaves = F.transform(F.filter(F.col(f"__l{NESTED}"), lambda e: e["t"] != "VOID"), lambda e: _leaf_text(e, exponents))
-    df = df.withColumn("__pj", leaves)
-    keys_there = ~F.exists("__o", lambda e: e["key"] == "")
-    ok = keys_there & F.forall("__pj", lambda p: p["sure"]) & _unique(F.col("__pj"))
-    return df.withColumn("__json", F.coalesce("__flat", F.when(ok, _as_map(F.col("__pj")))))
+        df = df.withColumn(f"__l{i}", levels[i])
+        df = df.withColumn(f"__b{i}", F.filter(f"__l{i}", lambda e: e["value"].startswith("{")))
+        levels.append(F.when(F.size(f"__b{i}") > 0, _inner(F.col(f"__b{i}"))))
+        whole = whole & ((F.coalesce(F.size(f"__b{i}"), F.lit(0)) == 0) | F.col(f"__l{i + 1}").isNotNull())
+    df = df.withColumn(f"__l{NESTED}", levels[NESTED])
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    df = df.withColumn("__all", F.when(F.col("__l0").isNotNull(), F.concat("__l0", *[F.coalesce(f"__l{i + 1}", none) for i in range(NESTED)])))
+    df = df.withColumn("__pj", F.transform(F.filter("__all", lambda e: e["value"].isNotNull() & ~e["value"].startswith("{")), _leaf_text))
+    deeper = F.exists(f"__l{NESTED}", lambda e: e["value"].startswith("{"))
+    ok = whole & ~F.coalesce(deeper, F.lit(False)) & _unique(F.col("__all.key")) & ~F.exists("__pj", lambda e: e["value"].isNull())
+    return df.withColumn("__json", F.coalesce("__flat", F.when(ok, F.map_from_entries("__pj"))))
 
 
 def _pair_columns(df: DataFrame) -> DataFrame:
@@ -122,11 +126,11 @@ def _pair_columns(df: DataFrame) -> DataFrame:
     values = F.zip_with(group(2), group(3), lambda q, u: F.concat(q, u))
     found = F.filter(F.zip_with(group(1), values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda p: p["k"] != "")
     df = df.withColumn("__pp", F.when(asked, found))
-    df = df.withColumn("__pm", F.when((F.size("__pp") > 1) & _unique(F.col("__pp")), _as_map(F.col("__pp"))))
+    df = df.withColumn("__pm", F.when((F.size("__pp") > 1) & _unique(F.col("__pp.k")), F.map_from_entries("__pp")))
     own = F.col("__pm")
     named = [F.struct(F.lit(name).alias("k"), F.try_element_at(own, F.lit(short)).alias("v")) for short, name in SHORT_NAMES.items()]
     more = F.filter(F.array(*named), lambda p: p["v"].isNotNull() & ~F.map_contains_key(own, p["k"]))
-    return df.withColumns({"__pairs": F.when(own.isNotNull(), F.map_concat(own, _as_map(more))), "__loose": F.coalesce(F.size("__pp") < 2, F.lit(False)) & F.col("__pp").isNotNull()})
+    return df.withColumns({"__pairs": F.when(own.isNotNull(), F.map_concat(own, F.map_from_entries(more))), "__loose": F.coalesce(F.size("__pp") < 2, F.lit(False)) & F.col("__pp").isNotNull()})
 
 
 def _plain_columns(df: DataFrame) -> DataFrame:
@@ -147,16 +151,19 @@ def _plain_columns(df: DataFrame) -> DataFrame:
     df = df.withColumns({"__message": message, "__level": level})
     entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     fields = F.filter(F.array(entry("timestamp", F.when(F.col("__ts").isNotNull(), F.col("__stamp"))), entry("message", F.col("__message")), entry("level", F.when(F.col("__word") != "", F.col("__level")))), lambda p: p["v"].isNotNull())
-    made = F.struct(F.col("__ts").alias("ts_us"), F.col("__level").alias("level"), F.col("__message").alias("message"), _as_map(fields).alias("fields"), text.alias("raw"))
+    made = F.struct(F.col("__ts").alias("ts_us"), F.col("__level").alias("level"), F.col("__message").alias("message"), F.map_from_entries(fields).alias("fields"), text.alias("raw"))
     return df.withColumn("__plain", F.when(plain & sure, made))
 
 
 def sure_records(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with __text, and with __sure: the record of each text that is read here; null where it is refused."""
     df = df.withColumn("__text", F.coalesce(text.cast("string"), F.lit("")))
-    df = df.withColumn("__bare", F.regexp_replace("__text", _TRIMMED, ""))
+    text = F.col("__text")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    df = df.withColumn("__bare", F.when(ends.rlike(_VISIBLE_ENDS), text).otherwise(F.regexp_replace(text, _TRIMMED, "")))
     bare = F.col("__bare")
-    df = df.withColumn("__kind", F.when(F.col("__text").rlike(_ODD), "odd").when(bare == "", "blank").when(bare.startswith("{"), "json").when(bare.contains("="), "pairs").otherwise("plain"))
+    odd = F.when(F.octet_length(text) > F.length(text), text.rlike(_ODD)).otherwise(reduce(Column.__or__, [text.contains(c) for c in "\x1c\x1d\x1e\x1f"]))
+    df = df.withColumn("__kind", F.when(odd, "odd").when(bare == "", "blank").when(bare.startswith("{"), "json").when(bare.contains("="), "pairs").otherwise("plain"))
     df = _plain_columns(_pair_columns(_json_columns(df)))
     df = df.withColumn("__fields", F.coalesce("__json", "__pairs"))
     fields = F.col("__fields")

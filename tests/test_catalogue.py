@@ -42,3 +42,9 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5 and set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["roundtrip_json", "roundtrip_pairs", "roundtrip_plain"])
+def test_texts_are_read_by_more_tasks_than_the_file_has_row_groups(spark, name):
+    plan = catalogue.QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [event_id" in plan

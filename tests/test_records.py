@@ -70,3 +70,11 @@ def test_flat_objects(spark):
              '{"a":1,"a":1}', '{"a":"null","b":"true"}', '{"a":123456789012345}', '{"a":1234567890123456}', '{"a":1e5}', '{"a":1.5e5}', '{"a":"é","ü":"ß"}', '{"a":"x\ty"}', '{"a":"\x7f"}', '{"a":-}', '{"a":"1","level":"WARN","time":"1772964001"}', '{"a":999999.5}', '{"a":1999999.5}', '{"a":1 2}', '{"a":"b"c}', '{"":1}', '{"a":- 1}', '{"a":.5}', '{"a":-.5}', "{ }"]
     compare(spark, texts)
     compare(spark, ["{" + ",".join(f'"k{i}":"{"v" * 500}"' for i in range(300)) + "}"])
+
+
+def test_nested_objects(spark):
+    texts = ['{"a":{"x":1},"a":{"y":2}}', '{"a":{"x":1,"x":2}}', '{"a":null,"a":{"x":1}}', '{"n":{"v":235.0,"w":"235.0","x":1.50,"y":0.0,"z":0.0001}}', '{"n":{"v":1000000.0,"w":0.00001}}', '{"n":{"v":"1\\u002e0","w":"\\u007b","x":"{","y":"[1]"}}', '{"n":{"v":-0,"w":-0.0}}', '{"n":{"a":[1.0,2.50,0.0,-0.5]}}', '{"n":{"a":[ "x" , { "b" : 1 , "a" : null } ]}}', '{"n":{"a":[{"z":1,"z":2}]}}',
+             '{"n":{"":1}}', '{"":{"a":1}}', "{'n':{'a':1}}", '{"n":{"a":NaN}}', '{"n":{"a":01}}', '{"n":{"a":1,}}', '{"n":{"a":1}} x', '{"n":{"a":1}}],[{}', '{"n":{"a":1}},{"b":2}', '{"n":{"a":1}', '{"n":{"a":tru}}', '{"n":{"a":{"b":{"c":{"d":1}}}}}', '{"n":{"a":{"b":{"c":{}}}}}', '{"n":{"v":"1.10","w":"-2.0","x":"10"}}', '{"n":{"v":10,"w":100,"x":-20.0}}', '{"n":{"a":"\\/\\"\\\\"}}', '{"n":{"a":"12\\n"}}', '{"n":{"v":1.0E3}}', '{"n" "a"}', '{"n":{"a" 1}}', '{"n":{"a":"x""b":1}}']
+    compare(spark, texts)
+    texts = ['{"n":{"range":"-0]","tags":["a"]},"id":"7e5"}', '{"n":{"v":235.0,"deep":{"tags":["x", {"n": [235, true], "a": null}], "none": null}}}']
+    assert all(r["__sure"] for r in sure_records(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text")).select("__sure").collect())
