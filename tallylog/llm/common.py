@@ -28,14 +28,15 @@ def work_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and survives lost executors.
 
-    The folder's name is new each time, so that concurrent jobs never meet.
+    The folder's name is new each time, so that concurrent jobs never meet. ``file_rows`` bounds the rows of a file (0: no bound), where rows are large: a file's
+    row group goes to one task, whatever its size.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/tallylog-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

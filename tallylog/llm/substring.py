@@ -7,7 +7,8 @@ Every run of ``length`` words (a window) that also starts in a document with a s
    Cores are exchanged by ranges of their hash; a range that holds more than ``LOT_BYTES``, as that of a passage everyone has, is dealt into lots, each of which
    reports its cores' least and greatest documents only.
 2. *Suffixes.* A suffix begins at each core left, and carries its next ``PATH`` words and the five before it, the words themselves. Within a part of the corpus
-   equal ones go as one, from the least id; the others are settled on the spot.
+   equal ones go as one, from the least id; the others are settled on the spot. A suffix is six times as large as the text from its core to the next, so a part's are cut
+   into pieces of ``PIECE``: what a task holds at a time doesn't depend on how much of the corpus repeats.
 3. *Groups by prefixes of variable length.* Suffixes are counted by their first word; where more than ``GROUP`` share it, by the first two, then four, then eight. Each group thus
    fits a task's memory. Where even eight words are shared by more, the prefix is a whole window: its least id is aggregated and met again in salted lots, never gathered.
 4. *Trees.* A task sorts its groups' suffixes by their paths; the depths that neighbours share, in words, make the tree. A node of d words, with those to the left that its suffixes
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,12 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import give_back, stage_table
 from .shingles import byte_slices, mix, new_key, run_hashes, sub_batches, word_hashes
 
 LENGTH, CORE, PATH = 13, 8, 16
 #: Bytes of text for each part of the documents and for each range of cores; bytes of cores in a lot.
-PART_BYTES, RANGE_BYTES, LOT_BYTES = 4 << 20, 10 << 20, 8 << 20
+PART_BYTES, RANGE_BYTES, LOT_BYTES = 2 << 20, 20 << 20, 8 << 20
+#: Suffixes in a row of the table of suffixes (about 110 bytes each), rows in a file of it, suffixes that a task holds while it deals them to groups, and bytes it returns at a time.
+PIECE, PIECES, DEAL, SENT_BYTES = 1 << 14, 10, 1 << 18, 4 << 20
 #: Suffixes in a group of one prefix, and of several prefixes in one task.
 GROUP = 1 << 15
 #: Lengths of prefixes that are tried in turn. None is longer than a core, as windows reach over less than that to its right.
@@ -121,6 +126,7 @@ def _core_lists(df: DataFrame, bits: int, length: int, key: int) -> DataFrame:
                 out.append((int(r), *_by_doc(doc[a:b]), (found[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]], ["range", "docs", "counts", "keys"])
+            give_back()
 
     return df.mapInArrow(run, "range int, docs binary, counts binary, keys binary")
 
@@ -192,6 +198,7 @@ def _parted(df: DataFrame, parts: int) -> DataFrame:
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             z = [pack.compress(t) for _, _, texts in byte_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts).astype(np.int32)), pa.array(ids), pa.array(z, pa.binary())], ["part", "id", "z"])
+            give_back()
 
     return df.mapInArrow(run, "part int, id long, z binary")
 
@@ -207,6 +214,7 @@ class Suffixes:
     """Suffixes of some documents: a row of word numbers each (``LEFT`` before the core, then the path; 0 where the document has none), the words by number, and where each is from."""
 
     LEFT = LENGTH - CORE
+    KINDS = {"id": "<i8", "row": "<i4", "start": "<i4", "part": "<i4"}
 
     def __init__(self, codes: np.ndarray, vocabulary: list[bytes], **columns: np.ndarray) -> None:
         self.codes, self.vocabulary, self.columns = codes, vocabulary, columns
@@ -228,44 +236,50 @@ class Suffixes:
         """Columns of byte planes in the order of paths. Words are numbered as they come, so that a new one, as most are, is 1; others are their number and 2, none is 0."""
         order = np.lexsort(self.codes[:, self.LEFT : self.LEFT + 4].T[::-1])
         flat = self.codes[order].ravel()
-        first = np.full(len(self.vocabulary), -1)
+        if len(flat) < len(self.vocabulary):  # a few of many: their own words only
+            known, flat = np.unique(np.append(0, flat), return_inverse=True)
+            flat = flat[1:]
+        else:
+            known = np.arange(len(self.vocabulary))
+        first = np.full(len(known), -1)
         first[flat[::-1]] = np.arange(len(flat))[::-1]
         first[0] = -1
         new = (first[flat] == np.arange(len(flat))) & (flat > 0)
         used = flat[new]
-        number = np.zeros(len(self.vocabulary), np.int64)
+        number = np.zeros(len(known), np.int64)
         number[used] = np.arange(len(used)) + 2
         codes = np.where(new, 1, number[flat]).astype("<u4").reshape(len(order), -1)
-        columns = [*codes.T, *[self.columns[k][order].astype("<i8") for k in ("id", "row", "start")]]
-        planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
-        words = b"\n".join([self.vocabulary[i] for i in used.tolist()])
-        head = np.array([len(codes), codes.shape[1], self.columns["part"][0], len(words)], "<i8").tobytes()
-        return head + zstandard.ZstdCompressor(level=3).compress(words + planes)
+        columns = [self.columns[k][order].astype(kind)[:, None] for k, kind in self.KINDS.items()]
+        planes = [c.view(np.uint8).reshape(*c.shape, -1).transpose(1, 2, 0).tobytes() for c in (codes, *columns)]
+        words = b"\n".join([self.vocabulary[i] for i in known[used].tolist()])
+        head = np.array([len(codes), codes.shape[1], len(words)], "<i8").tobytes()
+        return head + zstandard.ZstdCompressor(level=3).compress(b"".join([words, *planes]))
 
     @classmethod
     def unclose(cls, data: bytes) -> Suffixes:
-        n, width, part, size = np.frombuffer(data[:32], "<i8").tolist()
-        raw = zstandard.ZstdDecompressor().decompress(data[32:])
+        n, width, size = np.frombuffer(data[:24], "<i8").tolist()
+        raw = zstandard.ZstdDecompressor().decompress(data[24:])
         planes, pos, columns = np.frombuffer(raw, np.uint8, offset=size), 0, []
-        for kind in ["<u4"] * width + ["<i8"] * 3:
-            step = n * int(kind[2])
-            columns.append(np.ascontiguousarray(planes[pos : pos + step].reshape(-1, n).T).view(kind).ravel())
+        for kind, m in (("<u4", width), *[(kind, 1) for kind in cls.KINDS.values()]):
+            step = n * m * int(kind[2])
+            columns.append(np.ascontiguousarray(planes[pos : pos + step].reshape(m, -1, n).transpose(2, 0, 1)).view(kind)[:, :, 0])
             pos += step
-        own = dict(zip(("id", "row", "start"), columns[width:], strict=True), part=np.full(n, part))
-        codes = np.stack(columns[:width], axis=1).astype(np.int32)
+        own = {k: c[:, 0] for k, c in zip(cls.KINDS, columns[1:], strict=True)}
+        codes = columns[0].astype(np.int32)
         new = (codes == 1).ravel()
         codes = np.where(new, np.cumsum(new), np.maximum(codes.ravel() - 1, 0)).reshape(n, width)
         return cls(codes.astype(np.int32), [b"", *raw[:size].split(b"\n")], **own)
 
     @classmethod
-    def joined(cls, some: list[Suffixes]) -> Suffixes:
-        """All together, with one numbering of words."""
-        number: dict[bytes, int] = {b"": 0}
-        codes = []
+    def joined(cls, some: Iterable[Suffixes]) -> Suffixes:
+        """All together, with one numbering of words; one after the other, so that only numbers are held of each."""
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        codes, columns = [], []
         for s in some:
-            table = np.array([number.setdefault(w, len(number)) for w in s.vocabulary], np.int32)
+            table = np.fromiter(map(number.__getitem__, s.vocabulary), np.int32, len(s.vocabulary))  # the first is b"", and 0
             codes.append(table[s.codes])
-        return cls(np.concatenate(codes), list(number), **{k: np.concatenate([s.columns[k] for s in some]) for k in some[0].columns})
+            columns.append(s.columns)
+        return cls(np.concatenate(codes), list(number), **{k: np.concatenate([c[k] for c in columns]) for k in columns[0]})
 
 
 def settle(suffixes: Suffixes) -> tuple[Suffixes, Suffixes]:
@@ -274,9 +288,11 @@ def settle(suffixes: Suffixes) -> tuple[Suffixes, Suffixes]:
     for c in suffixes.codes.T:
         mark = mix(mark ^ c.astype(np.uint64))
     order = np.lexsort((suffixes.columns["id"], mark))
-    codes, ids = suffixes.codes[order], suffixes.columns["id"][order]
-    head = np.ones(len(order), bool)
-    head[1:] = (codes[1:] != codes[:-1]).any(axis=1)
+    ids, head = suffixes.columns["id"][order], np.zeros(len(order), bool)
+    head[:1] = True
+    for c in suffixes.codes.T:
+        c = c[order]
+        head[1:] |= c[1:] != c[:-1]
     least = ids[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     return suffixes.take(order[ids == least]), suffixes.take(order[ids > least])
 
@@ -287,7 +303,7 @@ def _answers(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes
 
 
 def _suffixes(length: int, bits: int, key: int):
-    """For cogroups of (documents of a part, its cores): rows (kind, part, payload); kind 0: suffixes, 2: stretches settled."""
+    """For cogroups of (documents of a part, its cores): rows (kind, part, payload); kind 0: suffixes, ``PIECE`` a row in the order of paths; 2: stretches settled."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"kind": [], "part": [], "payload": []})
@@ -317,14 +333,40 @@ def _suffixes(length: int, bits: int, key: int):
         if not found:
             return none
         codes, own, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
         go, others = settle(Suffixes(codes, list(number), id=own, row=row, start=start, part=np.full(len(own), part)))
         before = others.left()
         out = [(2, part, _answers(others.columns["row"], others.columns["start"] - before, before + others.right()))] if len(others) else []
-        return pd.DataFrame([(0, part, go.close()), *out], columns=["kind", "part", "payload"])
+        order = np.lexsort(go.codes[:, Suffixes.LEFT : Suffixes.LEFT + 4].T[::-1])
+        out += [(0, part, go.take(order[a : a + PIECE]).close()) for a in range(0, len(order), PIECE)]
+        give_back()
+        return pd.DataFrame(out, columns=["kind", "part", "payload"])
 
     return run
 
 
+def _pieces(found: DataFrame) -> DataFrame:
+    """The rows of suffixes; tasks read them as Arrow's, one at a time."""
+    return found.where("kind = 0").select("payload")
+
+
+def _opened(batch) -> Iterator[Suffixes]:
+    for p in batch.column(0):
+        yield Suffixes.unclose(p.as_buffer())
+
+
+def _lots(batch, most: int = DEAL) -> Iterator[Suffixes]:
+    """The suffixes of a batch, about ``most`` at a time."""
+    held: list[Suffixes] = []
+    for s in _opened(batch):
+        held.append(s)
+        if sum(map(len, held)) >= most:
+            yield Suffixes.joined(held)
+            held = []
+    if held:
+        yield Suffixes.joined(held)
+
+
 # 3. Groups by prefixes.
 
 
@@ -350,14 +392,19 @@ def frequent_prefixes(found: DataFrame, key: int, group: int = GROUP) -> tuple[l
     total = 0
     for k in range(len(LADDER)):
 
-        def counts(batches: Iterator[pd.DataFrame], heavy: list[np.ndarray] = tuple(heavy), k: int = k) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for p in pdf["payload"]:
-                    prefix, level = _assigned(Suffixes.unclose(p), key, list(heavy))
-                    own, n = np.unique(prefix[level == k], return_counts=True)
-                    yield pd.DataFrame({"prefix": own.view(np.int64), "n": n})
+        def counts(batches: Iterator, heavy: list[np.ndarray] = tuple(heavy), k: int = k) -> Iterator:
+            import pyarrow as pa
 
-        counted = found.where("kind = 0").select("payload").mapInPandas(counts, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+            for batch in batches:
+                seen = [np.zeros(0, np.uint64)]
+                for s in _opened(batch):
+                    prefix, level = _assigned(s, key, list(heavy))
+                    seen.append(prefix[level == k])
+                own, n = np.unique(np.concatenate(seen), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["prefix", "n"])
+                give_back()
+
+        counted = _pieces(found).mapInArrow(counts, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
         if not k:
             counted = stage_table(counted, "prefixes")
             total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -372,17 +419,29 @@ def frequent_prefixes(found: DataFrame, key: int, group: int = GROUP) -> tuple[l
 def _dealt(found: DataFrame, key: int, heavy: list[np.ndarray], tasks: int) -> DataFrame:
     """(task, payload): suffixes by group, but for those whose core itself is too frequent."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p in pdf["payload"]:
-                suffixes = Suffixes.unclose(p)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in made], pa.int32()), pa.array([p for _, p in made], pa.binary())], ["task", "payload"])
+
+        for batch in batches:
+            for suffixes in _lots(batch):
                 prefix, level = _assigned(suffixes, key, heavy)
                 task = (mix(prefix, 3) % np.uint64(tasks)).astype(np.int64)
                 at = np.flatnonzero(level < len(LADDER))
                 order = at[np.argsort(task[at], kind="stable")]
-                yield pd.DataFrame([(int(t), suffixes.take(order[a:b]).close()) for t, a, b in _groups(task[order])], columns=["task", "payload"])
+                made, size = [], 0
+                for t, a, b in _groups(task[order]):
+                    made.append((int(t), suffixes.take(order[a:b]).close()))
+                    size += len(made[-1][1])
+                    if size >= SENT_BYTES:
+                        yield rows(made)
+                        made, size = [], 0
+                yield rows(made)
+            give_back()
 
-    return found.where("kind = 0").select("payload").mapInPandas(run, "task int, payload binary")
+    return _pieces(found).mapInArrow(run, "task int, payload binary")
 
 
 # 4. Trees.
@@ -446,11 +505,12 @@ def repeats(suffixes: Suffixes, length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 def _trees(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        suffixes = Suffixes.joined([Suffixes.unclose(p) for p in pdf["payload"]])
+        suffixes = Suffixes.joined(Suffixes.unclose(p) for p in pdf["payload"])
         starts, lengths = repeats(suffixes, length)
         at = np.flatnonzero(lengths)
         part, row = suffixes.columns["part"], suffixes.columns["row"]
         at = at[np.argsort(part[at], kind="stable")]
+        give_back()
         return pd.DataFrame([(int(p), _answers(row[at[a:b]], starts[at[a:b]], lengths[at[a:b]])) for p, a, b in _groups(part[at])], columns=["part", "payload"])
 
     return run
@@ -459,19 +519,20 @@ def _trees(length: int):
 def _hot_repeats(found: DataFrame, key: int, heavy: list[np.ndarray], length: int) -> DataFrame:
     """The same where the core is too frequent: the prefix is a whole window, as words. Its least id is aggregated before any exchange, and joined back in salted lots."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p in pdf["payload"]:
-                s = Suffixes.unclose(p)
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in _opened(batch):
                 s = s.take(np.flatnonzero(_assigned(s, key, heavy)[1] >= len(LADDER)))
                 left, right, own = s.left(), s.right(), s.columns
                 for o in range(length - CORE + 1):
                     at = np.flatnonzero((left >= o) & (right >= length - o))
                     window = s.codes[at, Suffixes.LEFT - o : Suffixes.LEFT - o + length]
                     text = [b" ".join([s.vocabulary[i] for i in w]) for w in window.tolist()]
-                    yield pd.DataFrame({"win": text, "id": own["id"][at], "part": own["part"][at], "row": own["row"][at], "start": own["start"][at] - o})
+                    yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), *[pa.array(own[c][at]) for c in ("id", "part", "row")], pa.array(own["start"][at] - np.int32(o))], ["win", "id", "part", "row", "start"])
 
-    each = stage_table(found.where("kind = 0").select("payload").mapInPandas(rows, "win binary, id long, part int, row int, start int"), "windows")
+    each = stage_table(_pieces(found).mapInArrow(rows, "win binary, id long, part int, row int, start int"), "windows")
     least = each.groupBy("win").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").drop("most")
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     late = each.withColumn("salt", F.pmod(F.xxhash64("part", "row"), F.lit(SALTS)).cast("int")).join(least, ["win", "salt"]).where("id > least")
@@ -519,6 +580,7 @@ def _removal(with_text: bool):
                 if with_text:
                     row += [kept.decode("utf-8", "replace"), [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]]
                 out.extend([row] * again.get((int(ids[i]), texts[i]), 1))
+        give_back()
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -539,7 +601,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _parted(docs, parts)
     shared = shared_cores(docs, parts, bits, length, key, lot_bytes)
     found = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_suffixes(length, bits, key), "kind int, part int, payload binary")
-    found = stage_table(found, "suffixes")
+    found = stage_table(found, "suffixes", PIECES)
     heavy, total = frequent_prefixes(found, key, group)
     dealt = _dealt(found, key, heavy, max(16, total // group))
     cuts = found.where("kind = 2").select("part", "payload").unionByName(dealt.groupBy("task").applyInPandas(_trees(length), "part int, payload binary"))

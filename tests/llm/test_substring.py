@@ -118,6 +118,46 @@ def test_nodes_have_real_depths():
     assert substring.shared_depths(path).tolist() == [0, 3, 2, 0, 1]
 
 
+def test_rows_of_suffixes_are_small_even_if_a_whole_part_repeats():
+    """What a task reads and holds at a time is bounded by rows, not by how much of a part other documents have, too."""
+    import numpy as np
+    import pandas as pd
+    import zstandard
+
+    rng, key, bits = random.Random(11), 5, 4
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(25_000)).encode() for _ in range(16)]
+    words_of, first, *_ = substring.word_hashes(texts, key)
+    runs, places, owner = substring.cores(words_of, first)
+    docs, counts = substring._by_doc(owner)
+    left = pd.DataFrame({"part": 3, "id": range(16), "z": [zstandard.ZstdCompressor().compress(t) for t in texts]})
+    right = pd.DataFrame({"part": [3], "docs": [docs], "counts": [counts], "keys": [(runs[places] >> np.uint64(32 - bits)).astype("<u8").tobytes()]})
+    rows = [p for kind, _, p in substring._suffixes(13, bits, key)(left, right).itertuples(index=False) if kind == 0]
+    assert max(map(len, rows)) < 4 << 20
+    some = [substring.Suffixes.unclose(p) for p in rows]
+    assert max(map(len, some)) <= substring.PIECE and sum(map(len, some)) == len(places) > 3 * substring.PIECE
+    assert sorted((i, at) for s in some for i, at in zip(s.columns["id"].tolist(), s.columns["start"].tolist(), strict=True)) == sorted(zip(owner.tolist(), (places - first[owner]).tolist(), strict=True))
+
+
+def test_suffixes_of_several_parts_go_together():
+    """A task deals several rows at once, and each suffix still knows its part, row and words; batches of rows are cut where they hold many."""
+    import numpy as np
+    import pyarrow as pa
+
+    def made(part, n):
+        vocabulary = [b"", *[b"%d.%d" % (part, i) for i in range(9)], b"both"]
+        codes = np.random.default_rng(part).integers(0, 11, (n, substring.Suffixes.LEFT + substring.PATH)).astype(np.int32)
+        return substring.Suffixes(codes, vocabulary, id=np.arange(n) - 2**40, row=np.arange(n), start=np.arange(n) * 3, part=np.full(n, part))
+
+    def rows(*some):
+        return sorted((*[s.columns[k][j].item() for k in ("id", "row", "start", "part")], *[s.vocabulary[i] for i in s.codes[j]]) for s in some for j in range(len(s)))
+
+    some = [made(p, n) for p, n in ((1, 3), (2, 50), (7, 40), (4, 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array([s.close() for s in some], pa.binary())], ["payload"])
+    assert rows(substring.Suffixes.unclose(substring.Suffixes.joined(some).close())) == rows(*some)
+    lots = list(substring._lots(batch, 45))
+    assert [len(s) for s in lots] == [53, 41] and rows(*lots) == rows(*some)
+
+
 def test_repeated_words(spark):
     check(spark, [(i, "a b " * n, "en", "s") for i, n in enumerate((3, 10, 40, 7, 6))] + [(9, "a " * 50, "en", "s"), (10, "a " * 13, "en", "s"), (11, "a " * 12, "en", "s")])
 
